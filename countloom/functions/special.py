@@ -1,136 +1,59 @@
-"""Tail probabilities, applied as Arrow-batched column functions.
+"""Tail probabilities as Arrow-batched column functions.
 
 They run on aggregated rows only (one row per gene, set or state), never on
-count-level rows.
+count-level rows. The NumPy module behind them is sent by value, so executors
+need no copy of this package.
 """
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
+from collections.abc import Callable
+from functools import cache
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
-
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
-
-def _log_gamma(x):
-    return _lgamma(x).astype(float)
-
-
-def _beta_fraction(a, b, x):
-    """Continued fraction of the incomplete beta integral (modified Lentz)."""
-    tiny = 1e-300
-    c = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 2000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        step = np.ones_like(x)
-        for coef in (even, odd):
-            d = 1.0 + coef * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + coef / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            step = c * d
-            h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
-            break
-    return h
-
-
-def t_two_sided_np(t, df):
-    """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom."""
-    t = np.asarray(t, dtype=float)
-    df = np.asarray(df, dtype=float)
-    out = np.full(t.shape, np.nan)
-    ok = np.isfinite(df) & (df > 0) & ~np.isnan(t)
-    out[ok & np.isinf(t)] = 0.0
-    ok &= np.isfinite(t)
-    if not ok.any():
-        return out
-    a, b = df[ok] / 2.0, np.full(int(ok.sum()), 0.5)
-    square = t[ok] ** 2
-    x, y = df[ok] / (df[ok] + square), square / (df[ok] + square)
-    with np.errstate(divide="ignore"):
-        log_front = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log(y)
-    front = np.exp(log_front)
-    direct = x < (a + 1.0) / (a + b + 2.0)
-    res = np.empty_like(x)
-    if direct.any():
-        res[direct] = front[direct] * _beta_fraction(a[direct], b[direct], x[direct]) / a[direct]
-    rest = ~direct
-    if rest.any():
-        res[rest] = 1.0 - front[rest] * _beta_fraction(b[rest], a[rest], y[rest]) / b[rest]
-    out[ok] = np.clip(res, 0.0, 1.0)
-    return out
-
-
-@F.pandas_udf("double")
-def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    p = t_two_sided_np(t.to_numpy(dtype=float), df.to_numpy(dtype=float))
-    return pd.Series(p).where(~np.isnan(p), None)
-
-
-def t_quantile(prob: float, df: float) -> float:
-    """Upper quantile of Student's t by bisection, for interval multipliers."""
-    if prob < 0.5:
-        return -t_quantile(1.0 - prob, df)
-    target = 2.0 * (1.0 - prob)
-    low, high = 0.0, 1.0
-    while t_two_sided_np([high], [df])[0] > target and high < 1e300:
-        high *= 2.0
-    for _ in range(200):
-        mid = (low + high) / 2.0
-        if t_two_sided_np([mid], [df])[0] > target:
-            low = mid
-        else:
-            high = mid
-    return (low + high) / 2.0
-
-
-def normal_quantile(prob: float) -> float:
-    return NormalDist().inv_cdf(prob)
-
-
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    """2 P(Z >= |z|) for a standard normal."""
-    v = z.to_numpy(dtype=float)
-    p = np.full(v.shape, np.nan)
-    ok = ~np.isnan(v)
-    p[ok] = _erfc(np.abs(v[ok]) / math.sqrt(2.0)).astype(float)
-    return pd.Series(p).where(ok, None)
-
-
-def hypergeom_tail_np(k, population, marked, drawn):
-    """P(X >= k): draw ``drawn`` from ``population`` holding ``marked`` marked items."""
-    k, population, marked, drawn = (np.asarray(v, dtype=float) for v in (k, population, marked, drawn))
-    out = np.empty(k.shape)
-    for i in range(len(k)):
-        low = max(k[i], drawn[i] - (population[i] - marked[i]), 0.0)
-        high = min(marked[i], drawn[i])
-        if k[i] <= max(0.0, drawn[i] - (population[i] - marked[i])):
-            out[i] = 1.0
-            continue
-        if low > high:
-            out[i] = 0.0
-            continue
-        j = np.arange(low, high + 1)
-        m, n, r = marked[i], population[i], drawn[i]
-        logs = (
-            _log_gamma(np.array([m + 1, n - m + 1, r + 1, n - r + 1])).sum() - math.lgamma(n + 1)
-            - _log_gamma(j + 1) - _log_gamma(m - j + 1) - _log_gamma(r - j + 1) - _log_gamma(n - m - r + j + 1)
-        )
-        out[i] = min(1.0, float(np.exp(logs).sum()))
-    return out
-
-
-@F.pandas_udf("double")
-def hypergeom_tail(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-    return pd.Series(hypergeom_tail_np(k, population, marked, drawn))
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F, types as T
+
+from countloom.functions import tails
+from countloom.functions.tails import normal_quantile, t_quantile
+
+cloudpickle.register_pickle_by_value(tails)
+
+__all__ = ["hypergeom_tail", "normal_quantile", "normal_two_sided", "t_quantile", "t_two_sided"]
+
+
+@cache
+def _udf(name: str) -> Callable:
+    compute = getattr(tails, f"{name}_np")
+
+    def batch(*columns):
+        import pandas
+
+        values = compute(*[c.to_numpy(dtype=float) for c in columns])
+        out = pandas.Series(values)
+        return out.where(out.notna(), None)
+
+    if name == "normal_two_sided":
+        def call(z: pd.Series) -> pd.Series:
+            return batch(z)
+    elif name == "t_two_sided":
+        def call(t: pd.Series, df: pd.Series) -> pd.Series:
+            return batch(t, df)
+    else:
+        def call(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
+            return batch(k, population, marked, drawn)
+    return F.pandas_udf(call, T.DoubleType(), F.PandasUDFType.SCALAR)
+
+
+def t_two_sided(t: Column | str, df: Column | str) -> Column:
+    """P(|T| >= |t|) with ``df`` degrees of freedom; null in, null out."""
+    return _udf("t_two_sided")(t, df)
+
+
+def normal_two_sided(z: Column | str) -> Column:
+    return _udf("normal_two_sided")(z)
+
+
+def hypergeom_tail(k, population, marked, drawn) -> Column:
+    """P(X >= k) when ``drawn`` items are taken from ``population`` holding ``marked`` marked ones."""
+    return _udf("hypergeom_tail")(k, population, marked, drawn)
