@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from countloom.session import cut_lineage
+
 
 def value_bucket(value: Column, per_octave: int = 64) -> Column:
     """Order-preserving integer bucket of a finite double."""
@@ -49,6 +51,8 @@ def benjamini_hochberg(
 ) -> DataFrame:
     """Add adjusted p-values within each family.
 
+    The input, one row per tested feature, is checkpointed first: ranks, bucket
+    minima and the rows themselves are then read from it, not recomputed.
     ``missing="one"`` counts null, NaN and +inf as 1 and -inf as 0. ``missing="keep"``
     adjusts only finite values and leaves the others null.
     """
@@ -63,7 +67,7 @@ def benjamini_hochberg(
         clean = F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     else:
         raise ValueError("missing must be 'one' or 'keep'")
-    rows = df.withColumn("_p", clean)
+    rows = cut_lineage(df.withColumn("_p", clean))
     pos = tie_positions(rows.where(F.col("_p").isNotNull()).select(*family, "_p"), family, "_p", keep_bucket=True)
     pos = pos.withColumn(
         "_cand", F.least(F.lit(1.0), F.col("_p") * F.col("n_total") / (F.col("n_below") + F.col("n_tie")).cast("double"))

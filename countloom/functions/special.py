@@ -5,8 +5,6 @@ count-level rows. The NumPy module behind them is sent by value, so executors
 need no copy of this package.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable
 from functools import cache
 
@@ -42,7 +40,7 @@ def _udf(name: str) -> Callable:
     else:
         def call(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
             return batch(k, population, marked, drawn)
-    return F.pandas_udf(call, T.DoubleType(), F.PandasUDFType.SCALAR)
+    return F.pandas_udf(call, T.DoubleType())
 
 
 def t_two_sided(t: Column | str, df: Column | str) -> Column:

@@ -81,12 +81,12 @@ def two_sided_moments(samples: DataFrame, features: DataFrame, na: Column, nb: C
     return out.select(key, "n_a", "n_b", *[f"{c}_{s}" for s in "ab" for c in ("mean", "dev", "stored")])
 
 
-def _side_counts(cells: DataFrame, a: str, b: str, donor: str, condition: str) -> tuple[Column, Column]:
-    sides = donor_sides(cells, a, b, donor, condition)
-    return (
-        sides.agg(F.count_if("in_a").alias("n")).scalar().cast("double"),
-        sides.agg(F.count_if("in_b").alias("n")).scalar().cast("double"),
-    )
+def side_counts(cells: DataFrame, a: str, b: str, donor: str = "donor", condition: str = "condition") -> tuple[Column, Column]:
+    """Donors per condition, as two fields of one scalar subquery."""
+    both = donor_sides(cells, a, b, donor, condition).agg(
+        F.struct(F.count_if("in_a").cast("double").alias("a"), F.count_if("in_b").cast("double").alias("b")).alias("n")
+    ).scalar()
+    return both["a"], both["b"]
 
 
 def donor_cpm(counts: DataFrame, cells: DataFrame, a: str, b: str, donor="donor", condition="condition", log=False) -> DataFrame:
@@ -98,7 +98,7 @@ def donor_cpm(counts: DataFrame, cells: DataFrame, a: str, b: str, donor="donor"
 
 def welch_de(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: str, donor="donor", condition="condition", pseudocount: float = 0.5) -> DataFrame:
     """Welch comparison of donor CPM, one row per gene; an undefined test has p = 1."""
-    na, nb = _side_counts(cells, a, b, donor, condition)
+    na, nb = side_counts(cells, a, b, donor, condition)
     m = two_sided_moments(donor_cpm(counts, cells, a, b, donor, condition), genes, na, nb, a, b)
     va, vb = F.col("dev_a") / (F.col("n_a") - 1), F.col("dev_b") / (F.col("n_b") - 1)
     t, df = welch(F.col("mean_a"), va, F.col("n_a"), F.col("mean_b"), vb, F.col("n_b"))
@@ -136,7 +136,7 @@ def differential_abundance(cells: DataFrame, a: str, b: str, state: str, donor="
     )
     per_state = rows.groupBy("donor", "condition", "state").agg(F.count(F.lit(1)).alias("value"))
     shares = counts_per_million(per_state, ["donor", "condition"], target_sum=1.0).where(F.col("condition").isin(a, b))
-    na, nb = _side_counts(cells, a, b, donor, condition)
+    na, nb = side_counts(cells, a, b, donor, condition)
     m = two_sided_moments(shares, per_state.select("state").distinct(), na, nb, a, b, key="state")
     va, vb = F.col("dev_a") / (F.col("n_a") - 1), F.col("dev_b") / (F.col("n_b") - 1)
     t, df = welch(F.col("mean_a"), va, F.col("n_a"), F.col("mean_b"), vb, F.col("n_b"))

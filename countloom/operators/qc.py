@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from countloom.functions.ranking import exact_median
 from countloom.operators.checks import identity_missing
+from countloom.session import cut_lineage
 
 # The four dispositions, in report order.
 REASONS = ["retained", "low_gene_count", "high_mito_percentage", "low_gene_count_and_high_mito_percentage"]
@@ -136,7 +137,9 @@ def mad_thresholds(metrics: DataFrame, multipliers: list[float] = (3,)) -> DataF
     """Thresholds at k scaled median absolute deviations, one row per multiplier.
 
     Medians are exact. Without a mitochondrial measure the percentage limit is 100.
+    The two measured columns are checkpointed, as four medians read them.
     """
+    metrics = cut_lineage(metrics.select("n_genes", "mito_pct"))
     g_mid, g_mad = _centre(metrics, F.log1p(F.col("n_genes")), "g")
     m_mid, m_mad = _centre(metrics, F.col("mito_pct"), "m")
     one = metrics.sparkSession.range(1).select(
@@ -153,7 +156,8 @@ def mad_thresholds(metrics: DataFrame, multipliers: list[float] = (3,)) -> DataF
 
 def branch_plan(metrics: DataFrame, multipliers: list[float] = (2, 3, 4), primary: float = 3) -> DataFrame:
     """Thresholds, predicted retention and status of each perturbation of the primary rule."""
-    limits = mad_thresholds(metrics, list(multipliers))
+    metrics = cut_lineage(metrics.select("n_genes", "mito_pct"))
+    limits = cut_lineage(mad_thresholds(metrics, list(multipliers)))
     packed = limits.agg(F.collect_list(F.struct("multiplier", "min_genes", "max_mito_pct")).alias("l")).scalar()
     kept = (F.col("n_genes") >= F.col("min_genes")) & F.coalesce(F.col("mito_pct") <= F.col("max_mito_pct"), F.lit(True))
     spread = metrics.select("n_genes", "mito_pct", F.inline(packed))

@@ -36,7 +36,7 @@ def leave_one_out(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str,
     """
     sides = ds.donor_sides(cells, a, b)
     cpm = ds.donor_cpm(counts, cells, a, b)
-    na, nb = ds._side_counts(cells, a, b, "donor", "condition")
+    na, nb = ds.side_counts(cells, a, b)
     full = ds.two_sided_moments(cpm, genes, na, nb, a, b)
     per_donor = cpm.groupBy("gene_id", "donor").agg(
         F.max(F.when(F.col("condition") == a, F.col("cpm"))).alias("x_a"),
@@ -94,31 +94,42 @@ def _finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def leave_one_out_summary(folds: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Per gene: coverage, direction consistency, range of effects and retention of the decision."""
-    n_folds = folds.where(F.col("left_out_donor") != FULL_MODEL).agg(F.countDistinct("left_out_donor").alias("n")).scalar()
-    full = folds.where(F.col("left_out_donor") == FULL_MODEL).select(
-        "gene_id", F.when(_finite("log2_fold_change"), F.col("log2_fold_change")).alias("baseline_log2_fold_change"),
-        F.when(_finite("fdr_q_value"), F.col("fdr_q_value")).alias("baseline_fdr_q_value"),
-    )
-    rest = folds.where(F.col("left_out_donor") != FULL_MODEL).select(
-        "gene_id", F.when(_finite("log2_fold_change"), F.col("log2_fold_change")).alias("_e"),
+def _with_baseline(folds: DataFrame) -> DataFrame:
+    """Fold rows with finite effect and q, next to the full-model values of their gene. One pass over the folds."""
+    full = F.col("left_out_donor") == FULL_MODEL
+    per_gene = W.partitionBy("gene_id")
+    rows = folds.select(
+        "gene_id", "left_out_donor", F.when(_finite("log2_fold_change"), F.col("log2_fold_change")).alias("_e"),
         F.when(_finite("fdr_q_value"), F.col("fdr_q_value")).alias("_q"),
     )
-    base = F.col("baseline_log2_fold_change")
-    base_hit = F.col("baseline_fdr_q_value") < alpha
-    out = full.join(rest, "gene_id", "left").groupBy("gene_id", "baseline_log2_fold_change", "baseline_fdr_q_value").agg(
-        F.count("_e").alias("n_estimated_loo"), F.count_if(F.signum("_e") == F.signum(base)).alias("_same"),
-        F.min("_e").alias("min_log2_fold_change"), F.max("_e").alias("max_log2_fold_change"),
-        F.median("_e").alias("median_log2_fold_change"), F.count_if(F.col("_q") < alpha).alias("n_significant_loo"),
-        F.count("_q").alias("_nq"), F.count_if((F.col("_q") < alpha) == base_hit).alias("_kept"),
+    return rows.withColumns({
+        "_b": F.max(F.when(full, F.col("_e"))).over(per_gene), "_bq": F.max(F.when(full, F.col("_q"))).over(per_gene),
+        "_has": F.max(full).over(per_gene), "_full": full,
+    }).where("_has")
+
+
+def leave_one_out_summary(folds: DataFrame, alpha: float = 0.05, n_requested: Column | None = None) -> DataFrame:
+    """Per gene: coverage, direction consistency, range of effects and retention of the decision.
+
+    ``n_requested`` is the number of folds asked for; by default the folds present are counted.
+    """
+    if n_requested is None:
+        n_requested = folds.where(F.col("left_out_donor") != FULL_MODEL).agg(F.countDistinct("left_out_donor").alias("n")).scalar()
+    rest = ~F.col("_full")
+    e, q = F.when(rest, F.col("_e")), F.when(rest, F.col("_q"))
+    out = _with_baseline(folds).groupBy("gene_id", "_b", "_bq").agg(
+        F.count(e).alias("n_estimated_loo"), F.count_if(rest & (F.signum("_e") == F.signum("_b"))).alias("_same"),
+        F.min(e).alias("min_log2_fold_change"), F.max(e).alias("max_log2_fold_change"),
+        F.median(e).alias("median_log2_fold_change"), F.count_if(q < alpha).alias("n_significant_loo"),
+        F.count(q).alias("_nq"), F.count_if((q < alpha) == (F.col("_bq") < alpha)).alias("_kept"),
     )
     return out.select(
-        "gene_id", "baseline_log2_fold_change", "baseline_fdr_q_value", base_hit.alias("baseline_significant_at_alpha"),
-        "n_estimated_loo", F.when(n_folds > 0, F.col("n_estimated_loo") / n_folds).alias("estimated_coverage"),
-        F.when((F.col("n_estimated_loo") > 0) & (base != 0), F.col("_same") / F.col("n_estimated_loo")).alias("direction_consistency"),
+        "gene_id", F.col("_b").alias("baseline_log2_fold_change"), F.col("_bq").alias("baseline_fdr_q_value"),
+        (F.col("_bq") < alpha).alias("baseline_significant_at_alpha"),
+        "n_estimated_loo", F.when(n_requested > 0, F.col("n_estimated_loo") / n_requested).alias("estimated_coverage"),
+        F.when((F.col("n_estimated_loo") > 0) & (F.col("_b") != 0), F.col("_same") / F.col("n_estimated_loo")).alias("direction_consistency"),
         "min_log2_fold_change", "max_log2_fold_change", "median_log2_fold_change", "n_significant_loo",
-        F.when((F.col("_nq") > 0) & F.col("baseline_fdr_q_value").isNotNull(), F.col("_kept") / F.col("_nq")).alias("significance_retention"),
+        F.when((F.col("_nq") > 0) & F.col("_bq").isNotNull(), F.col("_kept") / F.col("_nq")).alias("significance_retention"),
         F.when(F.col("n_estimated_loo") > 0, "estimated").otherwise("not_estimated").alias("summary_status"),
     )
 
@@ -129,39 +140,31 @@ def donor_influence(folds: DataFrame, expected: DataFrame, alpha: float = 0.05)
     ``expected`` lists the donors that must have a fold; a fold that is absent
     counts as missing. Lists are as long as the donor list.
     """
-    full = folds.where(F.col("left_out_donor") == FULL_MODEL).select(
-        "gene_id", F.when(_finite("log2_fold_change"), F.col("log2_fold_change")).alias("_b"),
-        F.when(_finite("fdr_q_value"), F.col("fdr_q_value")).alias("_bq"),
-    )
-    donors = expected.select("donor").distinct().agg(F.collect_list("donor").alias("l")).scalar()
-    rest = folds.where(F.col("left_out_donor") != FULL_MODEL).select(
-        "gene_id", "left_out_donor", F.when(_finite("log2_fold_change"), F.col("log2_fold_change")).alias("_e"),
-        F.when(_finite("fdr_q_value"), F.col("fdr_q_value")).alias("_q"),
-    )
-    grid = full.withColumn("left_out_donor", F.explode(donors)).join(rest, ["gene_id", "left_out_donor"], "left")
+    donors = expected.agg(F.sort_array(F.collect_set("donor")).alias("l")).scalar()
     defined = F.col("_b").isNotNull() & (F.col("_b") != 0)
     sign, base = F.signum("_e"), F.signum("_b")
-    donor = F.col("left_out_donor")
+    donor = F.when(~F.col("_full"), F.col("left_out_donor"))
 
     def named(cond):
         return F.sort_array(F.collect_list(F.when(cond, donor)))
 
-    out = grid.groupBy("gene_id", "_b", "_bq").agg(
-        F.count(F.lit(1)).alias("expected_donor_folds"), F.count("_e").alias("n_finite_loo_effects"),
-        F.count_if(defined & (sign == base)).alias("_same"), named(defined & (sign == -base)).alias("direction_flip_donors"),
-        F.count_if(defined & (sign == 0)).alias("_zero"), named(F.col("_e").isNull()).alias("missing_effect_donors"),
-        named((F.col("_q") < alpha) != (F.col("_bq") < alpha)).alias("q_status_changed_donors"),
-        F.count_if(F.col("_q") < alpha).alias("n_loo_q_below_alpha"),
-        F.min(F.when((F.col("_e") - F.col("_b")).isNotNull(), F.struct((-F.abs(F.col("_e") - F.col("_b"))).alias("d"), donor.alias("who")))).alias("_top"),
-    )
+    rest = ~F.col("_full")
+    gap = F.abs(F.col("_e") - F.col("_b"))
+    out = _with_baseline(folds).groupBy("gene_id", "_b", "_bq").agg(
+        F.count_if(rest & F.col("_e").isNotNull()).alias("n_finite_loo_effects"), F.count_if(rest & defined & (sign == base)).alias("_same"),
+        named(defined & (sign == -base)).alias("direction_flip_donors"), F.count_if(rest & defined & (sign == 0)).alias("_zero"),
+        named(F.col("_e").isNotNull()).alias("_seen"), named((F.col("_q") < alpha) != (F.col("_bq") < alpha)).alias("q_status_changed_donors"),
+        F.count_if(rest & (F.col("_q") < alpha)).alias("n_loo_q_below_alpha"),
+        F.min(F.when(rest & gap.isNotNull(), F.struct((-gap).alias("d"), F.col("left_out_donor").alias("who")))).alias("_top"),
+    ).withColumn("missing_effect_donors", F.array_except(donors, "_seen"))
     flips, missing = F.size("direction_flip_donors") > 0, F.size("missing_effect_donors") > 0
-    defined_row = F.col("_b").isNotNull() & (F.col("_b") != 0)
     return out.select(
         "gene_id", F.col("_b").alias("full_log2_fold_change"), F.col("_bq").alias("full_fdr_q_value"),
-        "expected_donor_folds", "n_finite_loo_effects", F.when(defined_row, F.col("_same")).alias("n_same_sign_loo_effects"),
+        F.size(donors).cast("long").alias("expected_donor_folds"), "n_finite_loo_effects",
+        F.when(defined, F.col("_same")).alias("n_same_sign_loo_effects"),
         "n_loo_q_below_alpha", "direction_flip_donors", "missing_effect_donors", "q_status_changed_donors",
         (-F.col("_top.d")).alias("max_abs_delta_lfc"), F.col("_top.who").alias("most_influential_donor"),
-        F.when(~defined_row, "undefined_full_effect").when(flips & missing, "direction_flip_and_incomplete_coverage")
+        F.when(~defined, "undefined_full_effect").when(flips & missing, "direction_flip_and_incomplete_coverage")
         .when(flips, "direction_flip").when(missing, "incomplete_coverage").when(F.col("_zero") > 0, "zero_effect_nonstable")
         .otherwise("direction_stable").alias("direction_status"),
     )

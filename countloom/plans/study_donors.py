@@ -323,7 +323,8 @@ SELECT gene_id, round(b, 6) AS baseline_log2_fold_change, round(bq, 5) AS baseli
   round(lo, 6) AS min_log2_fold_change, round(hi, 6) AS max_log2_fold_change, round(med, 6) AS median_log2_fold_change, hits AS n_significant_loo,
   round(kept / n, 6) AS significance_retention, 'estimated' AS summary_status FROM sm""")
 def _(spark, sf):
-    out = sens.leave_one_out_summary(brand_folds(spark, sf))
+    asked = ds.donor_sides(v.paired_cells(spark, sf), A, B).agg(F.count(F.lit(1)).alias("n")).scalar()
+    out = sens.leave_one_out_summary(brand_folds(spark, sf), n_requested=asked)
     out = rounded(out, "baseline_log2_fold_change", "estimated_coverage", "direction_consistency", "min_log2_fold_change",
                   "max_log2_fold_change", "median_log2_fold_change", "significance_retention")
     return rounded(out, "baseline_fdr_q_value", digits=5)
