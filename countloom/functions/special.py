@@ -9,13 +9,11 @@ from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
 from countloom.functions import tails
 from countloom.functions.tails import normal_quantile, t_quantile
 
-cloudpickle.register_pickle_by_value(tails)
 
 __all__ = ["hypergeom_tail", "normal_quantile", "normal_two_sided", "t_quantile", "t_two_sided"]
 
