@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from countloom.functions.ranking import benjamini_hochberg, tie_positions
 from countloom.operators.donor_stats import safe_test
+from countloom.session import cut_lineage
 
 PAIR = ["ligand", "receptor"]
 
@@ -67,9 +68,9 @@ def compare_pair_scores(rows: DataFrame, a: str, b: str, paired: bool, min_donor
     Rows of one donor and condition are averaged first.
     """
     keys = ["source", "target", *PAIR]
-    donors = rows.groupBy(*keys, "donor", "condition").agg(
+    donors = cut_lineage(rows.groupBy(*keys, "donor", "condition").agg(
         F.avg("magnitude_rank").alias("magnitude_rank"), F.avg("specificity_rank").alias("specificity_rank")
-    )
+    ))
     out = None
     for score in ("magnitude", "specificity"):
         tested = safe_test(donors, keys, f"{score}_rank", a, b, paired).select(
@@ -113,7 +114,7 @@ def group_pair_scores(values: DataFrame, cells: DataFrame, pairs: DataFrame, by:
     )
     n_pairs = pairs.select(*PAIR).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     grid = sizes.groupBy(*by).agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("_tt")).withColumn("_grid", F.col("_tt") * n_pairs).drop("_tt")
-    out = scored.join(grid, by)
+    out = cut_lineage(scored.join(grid, by))
     for score in ("magnitude", "specificity"):
         flipped = out.withColumn("_neg", -F.col(score))
         pos = tie_positions(flipped.select(*by, "_neg"), by, "_neg").select(*by, "_neg", F.col("n_below").alias("_above"))
