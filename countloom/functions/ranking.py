@@ -127,16 +127,16 @@ def hash_shuffle_rank(df: DataFrame, groups: list[str], id_col: str, seed: Colum
 
 def hash_sample(
     df: DataFrame, id_col: str, seed: Column | int, n: int | None = None, fraction: float | None = None,
-    groups: list[str] | None = None, minimum: int = 0,
+    groups: list[str] | None = None, size: Column | None = None,
 ) -> DataFrame:
-    """Exactly ``n`` (or floor(fraction x group size), at least ``minimum``) rows per group, without replacement.
+    """Exactly ``n`` (or floor(fraction x group size)) rows per group, without replacement.
 
-    Only the one bucket at the boundary of each group is sorted.
+    ``size`` may give the number as an expression of ``n_total``. Only the one bucket at the boundary of each group is sorted.
     """
     groups = list(groups or [])
     keyed = df.withColumn("_key", draw_key(F.col(id_col), seed)).withColumn("_bucket", F.substring("_key", 1, 3))
     counted = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("n_tie"))
-    want = F.lit(n) if n is not None else F.greatest(F.lit(minimum), F.floor(F.col("n_total") * F.lit(fraction)))
+    want = size if size is not None else F.lit(n) if n is not None else F.floor(F.col("n_total") * F.lit(fraction))
     offsets = _bucket_offsets(counted, groups).withColumn("_want", want).where(F.col("_before") < F.col("_want"))
     near = keyed.join(offsets, [*groups, "_bucket"])
     full = near.where(F.col("_before") + F.col("_bucket_n") <= F.col("_want"))

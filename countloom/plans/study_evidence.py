@@ -86,12 +86,12 @@ def evidence_rows(spark, sf):
         F.col("user_id").alias("claim_id"), i.alias("evidence_id"), F.when(i % 23 == 0, "contradicting").otherwise("supporting").alias("polarity"),
         F.element_at(F.array(*[F.lit(t) for t in TYPES]), (i % 6 + 1).cast("int")).alias("type"),
         F.element_at(F.array(*[F.lit(t) for t in STRENGTHS]), (i % 4 + 1).cast("int")).alias("strength"),
-        ((i * 37) % 100 / 100.0).alias("score"), F.array((i % 97).cast("string"), (i * 13 % 101 + 500).cast("string")).alias("origins"), i.alias("task_id"),
+        ((i * 7919) % 9973 / 9973.0).alias("score"), F.array((i % 97).cast("string"), (i * 13 % 101 + 500).cast("string")).alias("origins"), i.alias("task_id"),
     )
 
 
 CONFIDENCE = """RECURSIVE s AS (SELECT user_id AS claim, event_id AS id, ['pseudobulk_deg','pathway_enrichment','perturbation','sensitivity_analysis','clustering_stability','literature_support'][event_id % 6 + 1] AS type,
-  [1.0, 0.8, 0.6, 0.3][event_id % 4 + 1]::DOUBLE AS w, event_id * 37 % 100 / 100.0::DOUBLE AS score, event_id % 23 = 0 AS contra, event_id % 97 AS o1, event_id * 13 % 101 + 500 AS o2 FROM events),
+  [1.0, 0.8, 0.6, 0.3][event_id % 4 + 1]::DOUBLE AS w, event_id * 7919 % 9973 / 9973.0::DOUBLE AS score, event_id % 23 = 0 AS contra, event_id % 97 AS o1, event_id * 13 % 101 + 500 AS o2 FROM events),
 d AS (SELECT *, CASE WHEN type IN ('pseudobulk_deg','clustering_stability') THEN 'a' WHEN type IN ('pathway_enrichment','literature_support') THEN 'm' WHEN type = 'perturbation' THEN 'c' END AS dim FROM s WHERE NOT contra AND type <> 'sensitivity_analysis'),
 l AS (SELECT claim, dim, id, o1 AS o FROM d UNION SELECT claim, dim, id, o2 FROM d),
 pr AS (SELECT DISTINCT x.claim, x.dim, x.id AS i, y.id AS j FROM l x JOIN l y USING (claim, dim, o)),
