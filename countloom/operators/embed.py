@@ -159,8 +159,11 @@ def silhouette(vectors: DataFrame, label: str = "label", sample: int = 200, seed
 
 
 def kmeans(vectors: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 50) -> DataFrame:
-    """Lloyd clustering by Spark ML: every column of ``vectors`` plus an integer ``cluster``."""
-    data = vectors.withColumn("_features", array_to_vector("vec"))
+    """Lloyd clustering by Spark ML: every column of ``vectors`` plus an integer ``cluster``.
+
+    The vectors are checkpointed, as every iteration reads them.
+    """
+    data = cut_lineage(vectors).withColumn("_features", array_to_vector("vec"))
     model = KMeans(k=max(2, k), seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(data)
     return model.transform(data).drop("_features")
 

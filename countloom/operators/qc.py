@@ -150,7 +150,7 @@ def mad_thresholds(metrics: DataFrame, multipliers: list[float] = (3,)) -> DataF
     upper = F.col("_mm") + F.col("multiplier") * MAD_SCALE * F.col("_md")
     return one.select(
         "multiplier", F.greatest(F.lit(1), F.floor(F.expm1(lower))).cast("long").alias("min_genes"),
-        F.coalesce(F.least(F.lit(100.0), F.greatest(F.lit(5.0), upper)), F.lit(100.0)).alias("max_mito_pct"),
+        F.when(upper.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(5.0), upper))).otherwise(F.lit(100.0)).alias("max_mito_pct"),
     )
 
 

@@ -148,12 +148,11 @@ def check_run_events(events: DataFrame, log: str = "log") -> DataFrame:
 
 def read_run_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Read JSON-lines run logs, one log per file. A malformed last line is dropped; any other is an error."""
-    raw = (
-        spark.read.schema(RUN_EVENT_SCHEMA).option("columnNameOfCorruptRecord", "_bad").json(path)
-        .select("*", F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("_block"))
-        .withColumn("_position", F.struct("_block", F.monotonically_increasing_id().alias("r")))
-        .drop("_block")
-    )
+    parsed = F.from_json("value", RUN_EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    raw = spark.read.text(path).select(
+        parsed.alias("e"), F.col("_metadata.file_path").alias("log"),
+        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("_position"),
+    ).select("e.*", "log", "_position")
     last = raw.groupBy("log").agg(F.max("_position").alias("_last"))
     kept = raw.join(last, "log").where(F.col("_bad").isNull() | (F.col("_position") != F.col("_last")))
     if strict:
