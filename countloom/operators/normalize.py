@@ -8,7 +8,10 @@ from countloom.functions.moments import sq_dev_with_zeros
 
 
 def log_normalize(counts: DataFrame, target_sum: float = 1e4, by: list[str] | None = None) -> DataFrame:
-    """log1p(value / total x target); zeros stay unstored. One shuffle, by cell."""
+    """log1p(value / total x target); zeros stay unstored.
+
+    One shuffle, by cell: a cell holds at most one row per gene.
+    """
     by = by or ["cell_id"]
     total = F.sum("value").over(W.partitionBy(*by))
     scaled = F.col("value") / F.when(total > 0, total).otherwise(F.lit(1.0)) * F.lit(float(target_sum))
@@ -16,10 +19,15 @@ def log_normalize(counts: DataFrame, target_sum: float = 1e4, by: list[str] | No
 
 
 def counts_per_million(samples: DataFrame, by: list[str], log: bool = False, target_sum: float = 1e6) -> DataFrame:
-    """Share of the sample total, times a million; optionally log1p."""
-    total = F.sum("value").over(W.partitionBy(*by))
-    cpm = F.col("value") / F.when(total > 0, total).otherwise(F.lit(1.0)) * F.lit(float(target_sum))
-    return samples.withColumn("cpm", F.log1p(cpm) if log else cpm)
+    """Share of the sample total, times a million; optionally log1p.
+
+    Samples can be few and large, so totals are aggregated and joined back; no
+    task holds a whole sample.
+    """
+    totals = samples.groupBy(*by).agg(F.sum("value").alias("_total"))
+    total = F.when(F.col("_total") > 0, F.col("_total")).otherwise(F.lit(1.0))
+    cpm = F.col("value") / total * F.lit(float(target_sum))
+    return samples.join(totals, list(by)).select(*samples.columns, (F.log1p(cpm) if log else cpm).alias("cpm"))
 
 
 def gene_variance(values: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:

@@ -185,9 +185,8 @@ def prioritise_candidates(influence: DataFrame, known: DataFrame, alpha: float =
     rank = F.when(F.col("priority_reason").isin("direction_flip_and_incomplete_coverage", "direction_flip"), 0).when(
         F.col("priority_reason") == "incomplete_coverage", 1
     ).when(F.col("priority_reason") == "zero_effect_nonstable", 2).when(F.col("priority_reason") == "q_status_change", 3).otherwise(4)
-    order = W.partitionBy(F.lit(1)).orderBy("_rank", F.desc("max_abs_delta_lfc"), "full_fdr_q_value", "gene_id")
-    ranked = hits.withColumn("priority_reason", reason).withColumn("_rank", rank)
-    return ranked.withColumn("priority", F.row_number().over(order).cast("long")).drop("_rank")
+    ranked = hits.withColumn("priority_reason", reason).withColumn("priority_class", rank.cast("long"))
+    return ranked.orderBy("priority_class", F.desc("max_abs_delta_lfc"), "full_fdr_q_value", "gene_id")
 
 
 def fold_integrity(folds: DataFrame, expected: DataFrame, genes: DataFrame, removed: int) -> DataFrame:

@@ -134,10 +134,22 @@ def state_transitions(distances: DataFrame) -> DataFrame:
 
 
 def _gram(block_genes: int = 1024):
+    """Sums of products within one block of cells: by co-stored pairs when cells are sparse, else by dense slices."""
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         cells, row = np.unique(batch["cell_id"].to_numpy(), return_inverse=True)
         genes, col = np.unique(batch["gene_id"].to_numpy(), return_inverse=True)
-        value = batch["value"].to_numpy(dtype=float)
+        order = np.lexsort((col, row))
+        row, col, value = row[order], col[order], batch["value"].to_numpy(dtype=float)[order]
+        per_cell = np.bincount(row)
+        if (per_cell.astype(float) ** 2).sum() < len(cells) * float(len(genes)) ** 2 / 100:
+            keys, sums = [np.empty(0, dtype=np.int64)], [np.empty(0)]
+            for step in range(1, int(per_cell.max(initial=0))):
+                same = np.flatnonzero(row[step:] == row[:-step])
+                keys.append(col[same].astype(np.int64) * len(genes) + col[same + step])
+                sums.append(value[same] * value[same + step])
+            pair, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, np.concatenate(sums), len(pair))
+            return pd.DataFrame({"gene_i": genes[pair // len(genes)], "gene_j": genes[pair % len(genes)], "s": total})
         out = []
         starts = range(0, len(genes), block_genes)
 

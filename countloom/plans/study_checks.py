@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from countloom.functions.ranking import hash_sample
+from countloom.functions.ranking import hash_sample, tie_positions
 from countloom.operators import checks
 from countloom.plans import views as v
 from countloom.plans.catalog import query
@@ -38,14 +38,13 @@ def _(spark, sf):
 
 
 def run_events(spark, sf):
-    from pyspark.sql import Window as W
-
-    e = v.table(spark, sf, "events")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(
-        F.col("user_id").alias("log"), F.col("user_id").alias("run_id"), F.lit("study").alias("study_id"),
-        F.row_number().over(order).alias("sequence"), F.col("ts").alias("timestamp"), F.col("value").alias("elapsed_seconds"),
-        F.col("event_type").alias("kind"), F.struct("ts", "event_id").alias("_position"),
+    """Events of a user as one run; event ids follow time, so their rank is the sequence."""
+    e = v.table(spark, sf, "events").withColumn("_id", F.col("event_id").cast("double"))
+    place = tie_positions(e.select("user_id", "_id"), ["user_id"], "_id")
+    return e.join(place.select("user_id", "_id", (F.col("n_below") + 1).alias("sequence")), ["user_id", "_id"]).select(
+        F.col("user_id").alias("log"), F.col("user_id").alias("run_id"), F.lit("study").alias("study_id"), "sequence",
+        F.col("ts").alias("timestamp"), F.col("value").alias("elapsed_seconds"), F.col("event_type").alias("kind"),
+        F.struct("ts", "event_id").alias("_position"),
     )
 
 

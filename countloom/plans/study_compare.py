@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from countloom.functions.ranking import exact_median
 from countloom.operators import markers as mk, normalize, partitions as pt, reconcile as rc
 from countloom.plans import views as v
 from countloom.plans.catalog import query
@@ -191,10 +192,13 @@ def module_rows(spark, sf):
         F.struct(F.lit("m2").alias("module_id"), (F.col("total_counts") / (1 + F.col("src_raw_UMI"))).alias("score")),
     )
     rows = masked(spark, sf).where("passed").select("state", "mask", "sample_id", F.inline(score))
+    per = rows.groupBy("state", "mask", "module_id", "sample_id").agg(F.count("score").alias("n")).join(
+        exact_median(rows, ["state", "mask", "module_id", "sample_id"], "score", "m"), ["state", "mask", "module_id", "sample_id"], "left"
+    )
     ref, qry = F.col("sample_id") == "ref", F.col("sample_id") == "query"
-    modules = rows.groupBy("state", "mask", "module_id").agg(
-        F.count_if(ref).alias("n_finite_scores_reference"), F.count_if(qry).alias("n_finite_scores_query"),
-        F.median(F.when(ref, F.col("score"))).alias("median_score_reference"), F.median(F.when(qry, F.col("score"))).alias("median_score_query"),
+    modules = per.groupBy("state", "mask", "module_id").agg(
+        F.coalesce(F.max(F.when(ref, F.col("n"))), F.lit(0)).alias("n_finite_scores_reference"), F.coalesce(F.max(F.when(qry, F.col("n"))), F.lit(0)).alias("n_finite_scores_query"),
+        F.max(F.when(ref, F.col("m"))).alias("median_score_reference"), F.max(F.when(qry, F.col("m"))).alias("median_score_query"),
     )
     return rc.module_status(modules, selections(spark, sf), ["state"], "ref", "query", 25)
 

@@ -358,12 +358,11 @@ def _(spark, sf):
 @query("d16_candidates", v.with_ctes(*LOO_BRANDS, SUMMARY, INFLUENCE) + """
 , c AS (SELECT *, CASE WHEN direction_status = 'direction_flip' THEN 'direction_flip' WHEN changed > 0 THEN 'q_status_change'
    ELSE 'direction_stable_without_q_status_change' END AS priority_reason FROM infl WHERE bq < 1.1 AND abs(b) >= 0.01 AND upper(gene_id) <> 'BRAND#1')
-SELECT gene_id, priority_reason, row_number() OVER (ORDER BY CASE WHEN priority_reason = 'direction_flip' THEN 0 WHEN priority_reason = 'q_status_change' THEN 3 ELSE 4 END,
-  top DESC, bq, gene_id) AS priority FROM c""".lstrip())
+SELECT gene_id, priority_reason, CAST(CASE WHEN priority_reason = 'direction_flip' THEN 0 WHEN priority_reason = 'q_status_change' THEN 3 ELSE 4 END AS BIGINT) AS priority_class FROM c""".lstrip())
 def _(spark, sf):
     known = v.genes(spark, sf).select(F.col("brand").alias("gene_id")).where(F.col("gene_id") == "Brand#1").distinct()
     out = sens.prioritise_candidates(_influence(spark, sf), known, alpha=1.1, min_abs_lfc=0.01)
-    return out.select("gene_id", "priority_reason", "priority")
+    return out.select("gene_id", "priority_reason", "priority_class")
 
 
 @query("d17_fold_integrity", v.with_ctes(PAIRED_CELLS, PAIRS) + """

@@ -11,17 +11,10 @@ from countloom.plans.study_qc import LOGN
 
 
 def sets(spark, sf):
-    """Brands as sets of parts; the part name class gives a category."""
-    return v.table(spark, sf, "part").select(
-        F.col("p_brand").alias("set_id"), F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene"),
-        F.count(F.lit(1)).over(_by_brand()).alias("set_size"), F.lit("BP").alias("category"),
-    )
-
-
-def _by_brand():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("p_brand")
+    """Brands as sets of parts."""
+    p = v.table(spark, sf, "part").select(F.col("p_brand").alias("set_id"), F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene"))
+    sizes = p.groupBy("set_id").agg(F.count(F.lit(1)).alias("set_size"))
+    return p.join(sizes, "set_id").withColumn("category", F.lit("BP"))
 
 
 def set_query(spark, sf):

@@ -135,15 +135,26 @@ def read_reference_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_run_events(events: DataFrame, log: str = "log") -> DataFrame:
-    """One row per log: is the sequence 1..n in file order, and is there one run and one study?"""
-    order = W.partitionBy(log).orderBy("_position")
-    stepped = events.withColumn("_prev", F.lag("sequence", 1, 0).over(order))
-    return stepped.groupBy(log).agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.count_if(F.coalesce(F.col("sequence") != F.col("_prev") + 1, F.lit(True))).alias("n_sequence_breaks"),
+    """One row per log: is the sequence 1..n in file order, and is there one run and one study?
+
+    Every event must follow exactly one predecessor, numbered one less and
+    placed before it. Predecessors are found by an equi-join, so a long log is
+    not sorted by one task.
+    """
+    here = events.select(log, F.col("sequence").cast("long").alias("sequence"), "_position", "run_id", "study_id", "elapsed_seconds")
+    before = here.groupBy(log, (F.col("sequence") + 1).alias("sequence")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_position").alias("_last")
+    )
+    follows = F.when(F.col("sequence") == 1, F.col("_n").isNull()).otherwise((F.col("_n") == 1) & (F.col("_last") < F.col("_position")))
+    out = here.join(before, [log, "sequence"], "left").groupBy(log).agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_if(~F.coalesce(follows, F.lit(False))).alias("_gaps"), F.max("sequence").alias("_top"),
         F.count_if(F.col("elapsed_seconds") < 0).alias("n_negative_elapsed"),
         ((F.min("run_id") == F.max("run_id")) & (F.min("study_id") == F.max("study_id"))).alias("one_identity"),
-    ).withColumn("valid", (F.col("n_sequence_breaks") == 0) & (F.col("n_negative_elapsed") == 0) & F.col("one_identity"))
+    )
+    breaks = F.col("_gaps") + F.coalesce(F.abs(F.col("_top") - F.col("n_events")), F.lit(0))
+    return out.select(log, "n_events", breaks.alias("n_sequence_breaks"), "n_negative_elapsed", "one_identity").withColumn(
+        "valid", (F.col("n_sequence_breaks") == 0) & (F.col("n_negative_elapsed") == 0) & F.col("one_identity")
+    )
 
 
 def read_run_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
