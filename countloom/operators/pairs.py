@@ -45,7 +45,7 @@ def coverage_gaps(rows: DataFrame, groups: DataFrame, expected: DataFrame, types
     seen = rows.select(group, *PAIR).distinct()
     names = groups.select(group).distinct()
     every = names.agg(F.sort_array(F.collect_list(group)).alias("l")).scalar()
-    known = seen.join(names, group, "left_semi")
+    known = seen.withColumn("_every", every).where(F.array_contains("_every", F.col(group))).drop("_every")
     per_pair = expected.select(*PAIR).distinct().join(
         known.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("_n")), PAIR, "left"
     ).where(F.coalesce("_n", F.lit(0)) < F.size(every))

@@ -174,6 +174,6 @@ def _(spark, sf):
         "src", ((F.col("src") * 7 + F.col("k")) % n).alias("dst"), (1 + F.col("src") % 3 + F.col("k")).cast("double").alias("weight")
     )
     vec = v.vectors(spark, sf)
-    names = vec.select("label").distinct()
-    pairs = names.select(F.col("label").alias("source"), F.lit(1).alias("_k")).join(names.select(F.col("label").alias("target"), F.lit(1).alias("_k")), "_k").where("source < target")
+    names = vec.agg(F.collect_set("label").alias("l")).scalar()
+    pairs = vec.select(F.col("label").alias("source")).distinct().withColumn("target", F.explode(names)).where("source < target")
     return rounded(od.flow_index(edges, vec.select("cell_id", "label"), pairs), "forward_flow", "reverse_flow", "direction_index")

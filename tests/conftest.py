@@ -12,6 +12,7 @@ from countloom.session import local_session  # noqa: E402
 def spark():
     s = local_session("tests")
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.shuffle.partitions", "4")
     return s
 
 
