@@ -43,7 +43,23 @@ def _(spark, sf):
     return pt.contingency(*_labels(spark, sf))
 
 
-@query("r03_cluster_matching")
+# Every one-to-one assignment of the few primary labels, the best total Jaccard taken.
+ASSIGN = """
+sj AS (SELECT ct.a, ct.b, ct.n, ra.n AS na, rb.n AS nb, ct.n / (ra.n + rb.n - ct.n) AS j FROM ct JOIN ra USING (a) JOIN rb USING (b)),
+al AS (SELECT a, row_number() OVER (ORDER BY a) AS k FROM ra),
+rec AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS bs, CAST(0 AS DOUBLE) AS t UNION ALL
+  SELECT r.k + 1, list_append(r.bs, rb.b), r.t + coalesce(sj.j, 0) FROM rec r JOIN al ON al.k = r.k + 1 CROSS JOIN rb LEFT JOIN sj ON sj.a = al.a AND sj.b = rb.b
+  WHERE NOT list_contains(r.bs, rb.b)),
+best AS (SELECT bs FROM rec WHERE k = (SELECT count(*) FROM al) ORDER BY t DESC LIMIT 1),
+mt AS (SELECT al.a, best.bs[al.k] AS b FROM al, best)"""
+
+
+@query("r03_cluster_matching", "WITH RECURSIVE " + LABELS + "," + ASSIGN + """
+SELECT mt.a AS primary_cluster, (SELECT count(*) FROM la WHERE label = mt.a) AS primary_total_cells, CAST(ra.n AS BIGINT) AS shared_cells,
+  CASE WHEN ra.n < 10 THEN 'small_support' ELSE 'described' END AS support_status, mt.b AS matched_branch_cluster, 'matched' AS matching_status,
+  coalesce(sj.n, 0) AS intersection_cells, CAST(ra.n + rb.n - coalesce(sj.n, 0) AS BIGINT) AS union_cells, round(coalesce(sj.n, 0) / (ra.n + rb.n - coalesce(sj.n, 0)), 6) AS shared_jaccard,
+  round(coalesce(sj.n, 0) / ra.n, 6) AS shared_recall, round(coalesce(sj.n, 0) / rb.n, 6) AS shared_precision
+FROM mt JOIN ra ON ra.a = mt.a JOIN rb ON rb.b = mt.b LEFT JOIN sj ON sj.a = mt.a AND sj.b = mt.b""")
 def _(spark, sf):
     out = pt.match_clusters(*_labels(spark, sf))
     return rounded(out, "shared_jaccard", "shared_recall", "shared_precision")
