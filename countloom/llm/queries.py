@@ -71,3 +71,10 @@ def op10_quality(spark, sf):
     docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
     model = train(docs.where(~held_out("doc_id", 5, 0)), labels.where(~held_out("doc_id", 5, 0)))
     return score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op7_near_dedup(spark, sf):
+    from countloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf, "documents"))
