@@ -78,3 +78,10 @@ def op7_near_dedup(spark, sf):
     from countloom.llm.near_dedup import near_duplicates
 
     return near_duplicates(_table(spark, sf, "documents"))
+
+
+@_query
+def op1_decontamination(spark, sf):
+    from countloom.llm.decontamination import contaminated
+
+    return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
