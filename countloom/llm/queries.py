@@ -85,3 +85,11 @@ def op1_decontamination(spark, sf):
     from countloom.llm.decontamination import contaminated
 
     return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+@_query
+def op2_html_text(spark, sf):
+    from countloom.llm.html_text import main_text, train
+
+    pages = _table(spark, sf, "pages")
+    return main_text(pages, train(pages))
