@@ -23,7 +23,7 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 24, smooth: float = 2.0, least: int = 8) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 24, smooth: float = 2.0, least: int = 8) -> Trees:
     """Newton boosting of the logistic loss; every level splits all nodes by the best of the binned thresholds."""
     if not len(x) or y.min() == y.max():
         base = 0.0 if not len(x) else (4.0 if y[0] else -4.0)

@@ -468,7 +468,7 @@ def extract(trees: Trees, pages: list[str]) -> list[str]:
     return out
 
 
-def train(pages: DataFrame, sample: int = 150, id_col: str = "page_id", html_col: str = "html") -> Trees:
+def train(pages: DataFrame, sample: int = 200, id_col: str = "page_id", html_col: str = "html") -> Trees:
     """Fit on at most about ``sample`` pages, those with the smallest hash of their id, in one task."""
     d = columns_of(pages, id_col, html_col).where(F.col(html_col).isNotNull())
     share = min(1.0, sample / max(1, d.select(id_col).count()))
