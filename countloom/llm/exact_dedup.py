@@ -55,6 +55,7 @@ class DigestIndex:
         if not self.rows().where(F.col("batch") == batch).isEmpty():
             return
         found = batch_digests.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        found = stash(found, "digest-groups")  # else Spark moves the anti-join below the grouping and shuffles every copy
         new = found.join(self.rows().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         new.withColumn("batch", F.lit(batch)).write.insertInto(self.name)
 
