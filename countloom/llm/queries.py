@@ -93,3 +93,14 @@ def op2_html_text(spark, sf):
 
     pages = _table(spark, sf, "pages")
     return main_text(pages, train(pages))
+
+
+@_query
+def op4_lm_scoring(spark, sf):
+    from pyspark.sql import functions as F
+
+    from countloom.llm.language_id import held_out
+    from countloom.llm.lm_scoring import score_texts
+
+    found = score_texts(_table(spark, sf, "documents"), ~held_out("doc_id", 7, 2))
+    return found.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), *[F.col(c) for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")])
