@@ -17,9 +17,10 @@ from countloom.llm.textarrays import mix, shingle_hashes, word_hashes
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS  # registers
-#: Registers that agree between texts at LEAST or more, less than once in 100,000 pairs fewer (4.5 deviations below).
-AGREE = int(LEAST * SIZE - 4.5 * (LEAST * (1 - LEAST) * SIZE) ** 0.5)
-BROADCAST_IDS = 1_000_000
+#: Registers that agree between texts at LEAST or more: 3.5 deviations below the mean, so one link in 4,000 at LEAST
+#: itself, and fewer above, is not looked at.
+AGREE = int(LEAST * SIZE - 3.5 * (LEAST * (1 - LEAST) * SIZE) ** 0.5)
+BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def weighted_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +161,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = stash(texts.mapInArrow(_sets, "doc_id long, shingles binary, weights binary").dropDuplicates(["doc_id"]), "near-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
+    if (sets.agg(F.sum(F.length("shingles") + F.length("weights"))).head()[0] or 0) <= BROADCAST_BYTES:
+        left, right = F.broadcast(left), F.broadcast(right)
     return pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long, similarity double")
 
 
@@ -175,8 +178,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        a grouped minimum, so copies cost nothing further.
     2. Nodes that share a band meet in its bucket. Each is compared with two of the bucket's members, chosen by hash and
        different in each band, never with all: that joins most of each class.
-    3. What is left: pairs in one bucket whose classes still differ. The join compares registers as it goes and returns
-       only pairs that may reach 0.8, so dissimilar members of a large bucket make no rows.
+    3. What is left: pairs in one bucket whose classes still differ. The join returns a pair in its first common bucket
+       only, and only if it may reach 0.8: by the triangle inequality over the known distances to the bucket's two
+       members of step 2, and by registers. So dissimilar members of a large bucket make no rows.
     4. Candidates are verified on the shingle sets of the whole texts; components close the classes.
     """
     named = columns_of(docs, id_col, text_col).where(F.col(id_col).isNotNull())
@@ -203,14 +207,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first.where(F.col("similarity") >= LEAST)
 
     comps = stash(components(links), "near-components")
-    placed = shared.select("node", "band").join(comps.select("node", "component"), "node", "left")
-    placed = placed.select("node", "band", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(comps.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    open_ = placed.join(mixed, "band").join(banded.select("node", "registers"), "node")
-    open_ = stash(open_, "near-open")
+    open_ = placed.join(mixed, "band")
+    for leader in ("p", "q"):  # each member's known distance to the bucket's two leaders; null where it was not computed
+        known = first.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1.0 - F.col("similarity")).alias("_d"))
+        same = (F.least("node", leader) == F.col("_a")) & (F.greatest("node", leader) == F.col("_b"))
+        open_ = open_.join(known, same, "left").withColumn(f"d{leader}", F.when(F.col("node") == F.col(leader), 0.0).otherwise(F.col("_d"))).drop("_a", "_b", "_d")
+    open_ = stash(open_.select("node", "band", "component", "dp", "dq").join(banded, "node"), "near-open")
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    rest = x.join(y, apart & _similar_registers("x.registers", "y.registers")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    for leader in ("dp", "dq"):  # Jaccard distance is a metric
+        apart &= F.coalesce(F.abs(F.col(f"x.{leader}") - F.col(f"y.{leader}")) <= 1.0 - LEAST + 1e-9, F.lit(True))
+    here = F.array_position("x.bands", F.col("x.band"))
+    earlier = F.exists(F.arrays_zip(F.slice("x.bands", F.lit(1), (here - 1).cast("int")).alias("p"), F.slice("y.bands", F.lit(1), (here - 1).cast("int")).alias("q")), lambda t: t["p"] == t["q"])
+    rest = x.join(y, apart & ~earlier & _similar_registers("x.registers", "y.registers")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     second = stash(_verified(named, rest.join(first.select("a", "b"), ["a", "b"], "left_anti")), "near-links")
     links = links.unionByName(second.where(F.col("similarity") >= LEAST))
     comps = stash(components(links), "near-components")
