@@ -87,6 +87,14 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: s
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns."""
-    keep = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, one per text, with all their columns.
+
+    A row that is there several times with the same id and text stays once.
+    """
+    kept = exact_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = stash(kept, "kept-digests")
+    sha = F.sha2(normal_text(docs["text"]).cast("binary"), 256)
+    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha"))
+    out = docs.join(kept.where("_rows = 1"), same, "left_semi")
+    again = kept.where("_rows > 1")
+    return out if again.isEmpty() else out.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

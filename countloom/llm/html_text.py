@@ -476,10 +476,11 @@ def train(pages: DataFrame, sample: int = 200, id_col: str = "page_id", html_col
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = pd.concat([pd.DataFrame({"id": [], "html": []}), *frames]).sort_values(["id", "html"])
-        yield pd.DataFrame({"model": [pickle.dumps(fit_pages(part["html"].tolist()))]})
+        t = fit_pages(part["html"].tolist())
+        yield pd.DataFrame({"model": [pickle.dumps((t.feature, t.threshold, t.leaf, t.base))]})
 
     found = few.repartition(1).mapInPandas(run, "model binary").head()
-    return pickle.loads(found["model"]) if found else fit_pages([])
+    return Trees(*pickle.loads(found["model"])) if found else fit_pages([])
 
 
 def main_text(pages: DataFrame, trees: Trees, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

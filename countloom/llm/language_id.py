@@ -262,20 +262,29 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     them, with equal priors. ``und`` with score 0 if the text is null or has no letter. Ties go to the first language
     in order. Ids may be null or repeat; further columns are ignored; an empty input gives no row.
     """
+    predict = _predictor(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, langs, scores in predict(batches):
+            yield pa.record_batch([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+
+    d = columns_of(docs, id_col, text_col)
+    d = d.select(d[id_col].cast("long").alias("doc_id"), d[text_col].cast("string").alias("text"))
+    return d.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def _predictor(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number per piece and language
     key = uuid.uuid4().hex
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(batches: Iterator[pa.RecordBatch]):
         own = _CURRENT.get(key) or shared.value  # a worker that serves several tasks keeps the words it has met
         _CURRENT.clear()
         _CURRENT[key] = own
         for part in text_slices(batches):
-            langs, scores = own.predict([t or "" for t in part.column("text").to_pylist()])
-            yield pa.record_batch([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield part, *own.predict([t or "" for t in part.column("text").to_pylist()])
 
-    d = columns_of(docs, id_col, text_col)
-    d = d.select(d[id_col].cast("long").alias("doc_id"), d[text_col].cast("string").alias("text"))
-    return d.mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return predict
 
 
 def held_out(id_col: str, modulus: int, remainder: int):
@@ -284,11 +293,14 @@ def held_out(id_col: str, modulus: int, remainder: int):
 
 
 def keep_recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with at least that score, with all their columns."""
+    """The rows of ``docs`` whose language is recognised with at least that score, with all their columns, in place."""
     import public_tokenizers
 
     model = train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    if not model.langs:
-        return docs.limit(0)
-    good = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("_good_id"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("_good_id")), "left_semi")
+    predict = _predictor(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, langs, scores in predict(batches):
+            yield part.filter(pa.array((np.array(langs, object) != "und") & (scores >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

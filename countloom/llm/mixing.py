@@ -142,6 +142,6 @@ def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     mixed = mix_sources(docs, seed=seed)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))
-    per_id = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("copies"), F.max("taken").alias("taken")).where("copies > 0")
+    per_id = mixed.groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max(copies).alias("copies"), F.max("taken").alias("taken")).where("copies > 0")
     kept = docs.drop("copies", "taken")
-    return kept.join(per_id, kept["doc_id"].eqNullSafe(per_id["_id"])).drop("_id")
+    return kept.join(per_id, kept["doc_id"].eqNullSafe(per_id["_mixed_id"])).drop("_mixed_id")

@@ -1,0 +1,44 @@
+"""The pipeline's stages against what they promise, each on its own input."""
+
+import corpus_pipeline
+import pytest
+from compare import compare, oracle_connection
+from test_operators import brute_classes, brute_contaminated
+
+from countloom.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_and_drop(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        left = {r["doc_id"]: r["text"] for r in docs.collect()}
+        gone = rows.keys() - left.keys()
+        if name == "language ID":
+            assert not any(any(c.isalpha() for c in rows[d] or "") for d in gone)
+        elif name == "exact dedup":
+            assert len({t.casefold() for t in left.values()}) == len(left)
+        elif name == "MinHash near-dedup":
+            classes = brute_classes(sorted(rows.items()))
+            assert set(left) == set(classes.values())
+        else:
+            assert gone == {d for d, _ in brute_contaminated(rows.items(), items)}
+        rows = left
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in mixed} <= set(rows) and all(r["copies"] in (1, 2) and r["text"] == rows[r["doc_id"]] for r in mixed)
+
+
+def test_run_of_the_whole(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "copies", "taken"} and 0 < out.count() < 200
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracles(spark, name):
+    _took, _n, result = compare(spark, oracle_connection(SF), SF, name, QUERIES[name], ORACLES[name])
+    assert result == "ok", result
