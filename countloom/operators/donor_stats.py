@@ -151,7 +151,8 @@ def differential_abundance(cells: DataFrame, a: str, b: str, state: str, donor="
 def safe_test(rows: DataFrame, keys: list[str], value: str, a: str, b: str, paired: bool, donor="donor", condition="condition") -> DataFrame:
     """Two-sided test per key on one value per donor and condition; null when it cannot be estimated.
 
-    Paired tests use donors seen on both sides. A spread below 1e-12, a side
+    Paired tests use donors seen on both sides; a key without one is returned
+    with n = 0. A spread below 1e-12, a side
     with fewer than two values or any infinite value gives null.
     """
     x = F.col(value)
@@ -159,10 +160,11 @@ def safe_test(rows: DataFrame, keys: list[str], value: str, a: str, b: str, pair
     if paired:
         wide = rows.groupBy(*keys, donor).agg(
             F.max(F.when(F.col(condition) == a, x)).alias("_x"), F.max(F.when(F.col(condition) == b, x)).alias("_y"),
-        ).where(F.col("_x").isNotNull() & F.col("_y").isNotNull()).withColumn("_d", F.col("_x") - F.col("_y"))
+        ).withColumn("_d", F.col("_x") - F.col("_y"))
+        both = F.col("_d").isNotNull()
         fine = ~F.isnan("_d") & (F.abs("_d") != float("inf"))
         m = wide.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_a"), F.count_if(~fine).alias("_bad"), F.avg("_x").alias("mean_a"), F.avg("_y").alias("mean_b"),
+            F.count("_d").alias("n_a"), F.count_if(both & ~fine).alias("_bad"), F.avg(F.when(both, F.col("_x"))).alias("mean_a"), F.avg(F.when(both, F.col("_y"))).alias("mean_b"),
             F.avg("_d").alias("_m"), F.var_samp("_d").alias("_v"), (F.max("_d") - F.min("_d")).alias("_range"),
         )
         ok = (F.col("n_a") >= 2) & (F.col("_bad") == 0) & (F.col("_range") > 1e-12)
@@ -298,13 +300,35 @@ def result_status(results: DataFrame, supported: Column, tested: Column | None =
     )
 
 
-def prepare_network(network: DataFrame, genes: DataFrame, tmin: int = 1, key="gene_id") -> DataFrame:
-    """Edges with finite weight (default 1), non-empty ends, measured targets and enough targets per source."""
-    w = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in network.columns else F.lit(1.0)
+def check_network(network: DataFrame, species: str | None = None) -> DataFrame:
+    """One row: edges, edges without a source or target, weights that are no finite number, edges of another species."""
+    empty = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    weight = F.try_to_number(F.lit("0"), F.lit("0")).cast("double") if "weight" not in network.columns else F.col("weight").try_cast("double")
+    bad = weight.isNull() | F.isnan(weight) | (F.abs(weight) == float("inf"))
+    other = F.lit(False)
+    if species is not None and "species" in network.columns:
+        other = ~F.lower(F.trim(F.coalesce(F.col("species").cast("string"), F.lit("")))).eqNullSafe(species.strip().lower())
+    one = network.agg(
+        F.count(F.lit(1)).alias("n_edges"), F.count_if(empty("source") | empty("target")).alias("n_missing_ends"),
+        F.count_if(bad).alias("n_bad_weights"), F.count_if(other).alias("n_other_species"),
+    )
+    return one.withColumn("valid", F.col("n_missing_ends") + F.col("n_bad_weights") + F.col("n_other_species") == 0)
+
+
+def prepare_network(network: DataFrame, genes: DataFrame, tmin: int = 1, key="gene_id", strict: bool = False, species: str | None = None) -> DataFrame:
+    """Edges with finite weight (default 1), non-empty ends, measured targets and enough targets per source.
+
+    Other edges are left out; ``check_network`` counts them, and ``strict`` raises when there are any.
+    """
+    if strict:
+        found = check_network(network, species).head()
+        if not found["valid"]:
+            raise ValueError(f"Network has invalid edges: {found.asDict()}")
+    w = F.col("weight").try_cast("double") if "weight" in network.columns else F.lit(1.0)
     source, target = F.trim(F.col("source").cast("string")), F.col("target")
     clean = network.select(source.alias("source"), target.alias("target"), w.alias("weight")).where(
         (F.col("source") != "") & F.col("target").isNotNull() & (F.trim(F.col("target").cast("string")) != "")
-        & ~F.isnan("weight") & (F.abs("weight") != float("inf"))
+        & F.col("weight").isNotNull() & ~F.isnan("weight") & (F.abs("weight") != float("inf"))
     )
     measured = clean.join(genes.select(F.col(key).alias("target")), "target", "left_semi")
     kept = measured.groupBy("source").agg(F.countDistinct("target").alias("_n")).where(F.col("_n") >= tmin)

@@ -161,10 +161,12 @@ def silhouette(vectors: DataFrame, label: str = "label", sample: int = 200, seed
 def kmeans(vectors: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 50) -> DataFrame:
     """Lloyd clustering by Spark ML: every column of ``vectors`` plus an integer ``cluster``.
 
-    The vectors are checkpointed, as every iteration reads them.
+    Fewer than two clusters are one, cluster 0. The vectors are checkpointed, as every iteration reads them.
     """
+    if k < 2:
+        return vectors.withColumn("cluster", F.lit(0))
     data = cut_lineage(vectors).withColumn("_features", array_to_vector("vec"))
-    model = KMeans(k=max(2, k), seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(data)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(data)
     return model.transform(data).drop("_features")
 
 
@@ -178,7 +180,7 @@ def display_coordinates(vectors: DataFrame) -> DataFrame:
 def _resolved_markers(markers: DataFrame, genes: DataFrame, exact_only: bool) -> DataFrame:
     """Marker symbols as gene ids: as written, else capitalised, upper or lower case."""
     name = F.col("marker")
-    forms = [name] if exact_only else [name, F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1000))), F.upper(name), F.lower(name)]
+    forms = [name] if exact_only else [name, F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.expr("substring(marker, 2)"))), F.upper(name), F.lower(name)]
     tried = markers.select("label", "label_order", "marker", F.posexplode(F.array(*forms)).alias("_try", "gene_name"))
     known = genes.select("gene_name", "gene_id")
     best = tried.join(known, "gene_name").groupBy("label", "label_order", "marker")

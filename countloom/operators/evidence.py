@@ -177,7 +177,7 @@ def admit_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     is_simulated and a ``context`` map.
     """
     prefix = "[SIMULATED DATA] "
-    bare = F.when(F.col("statement").startswith(prefix), F.substring("statement", len(prefix) + 1, 100_000)).otherwise(F.col("statement"))
+    bare = F.when(F.col("statement").startswith(prefix), F.expr(f"substring(statement, {len(prefix) + 1})")).otherwise(F.col("statement"))
     tagged = F.concat(
         F.transform("support_ids", lambda x: F.struct(x.alias("evidence_id"), F.lit(True).alias("supports"))),
         F.transform("contradiction_ids", lambda x: F.struct(x.alias("evidence_id"), F.lit(False).alias("supports"))),

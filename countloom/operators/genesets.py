@@ -91,7 +91,8 @@ def lookup_genes(queries: DataFrame, info: DataFrame, species: str = "auto") ->
     keep = ["symbol", "gene_symbol", "species", "orthologs", "entry_order"]
     named = q.join(entries.withColumn("_up", F.upper("gene_symbol")), "_up")
     is_upper = F.col("symbol") == F.col("_up")
-    is_title = (F.col("symbol") == F.initcap("symbol")) & ~is_upper
+    # Upper case only after no letter, lower case only after a letter: Cox7a2 is no title case.
+    is_title = F.col("symbol").rlike(r"^\P{L}*\p{Lu}\p{Ll}*(\P{L}+\p{Lu}\p{Ll}*)*\P{L}*$") & ~is_upper
     wanted = F.when(is_title, F.lit("mus_musculus")).when(is_upper, F.lit("homo_sapiens"))
     by_name = named.select(
         *keep, F.when(F.col("symbol") == F.col("gene_symbol"), 1).otherwise(2).alias("tier"),

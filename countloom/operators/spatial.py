@@ -288,9 +288,9 @@ def contact_enrichment(edges: DataFrame, cells: DataFrame, k: int, cell_type: st
     )
 
 
-def section_moran(values: DataFrame, cells: DataFrame, genes: DataFrame, graph: DataFrame, first: int = 10, section: str = "section") -> DataFrame:
-    """Moran's I with values centred inside sections, for the first genes by index; constant genes are left out."""
-    chosen = genes.orderBy("gene_index").limit(first).select("gene_id")
+def section_moran(values: DataFrame, cells: DataFrame, genes: DataFrame, graph: DataFrame, first: int | None = None, section: str = "section") -> DataFrame:
+    """Moran's I with values centred inside sections; constant genes are left out. ``first`` asks for the first genes by index only."""
+    chosen = (genes if first is None else genes.orderBy("gene_index").limit(first)).select("gene_id")
     where = cells.select("cell_id", F.col(section).alias("_s"))
     sizes = where.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     graph = cut_lineage(graph.select("src", "dst", "weight"))

@@ -506,6 +506,19 @@ def _(spark, sf):
     return ds.prepare_network(network(spark, sf), v.genes(spark, sf).where(~F.col("mt")), tmin=60)
 
 
+@query("d24_network_check", v.with_ctes(NET) + """
+, b AS (SELECT source, target, CASE WHEN target % 7 = 0 THEN 'NaN'::DOUBLE WHEN target % 7 = 1 THEN NULL ELSE weight END AS weight, CASE WHEN target % 11 = 0 THEN ' ' ELSE source END AS s2, target % 13 = 0 AS other FROM net)
+SELECT count(*) AS n_edges, count(*) FILTER (WHERE s2 = ' ') AS n_missing_ends, count(*) FILTER (WHERE weight IS NULL OR isnan(weight)) AS n_bad_weights, count(*) FILTER (WHERE other) AS n_other_species,
+  count(*) FILTER (WHERE s2 = ' ' OR other OR weight IS NULL OR isnan(weight)) = 0 AS valid FROM b""".lstrip())
+def _(spark, sf):
+    t = F.col("target")
+    broken = network(spark, sf).select(
+        F.when(t % 11 == 0, " ").otherwise(F.col("source").cast("string")).alias("source"), "target",
+        F.when(t % 7 == 0, float("nan")).when(t % 7 != 1, F.col("weight")).alias("weight"), F.when(t % 13 == 0, "Mouse").otherwise(" Human ").alias("species"),
+    )
+    return ds.check_network(broken, "human")
+
+
 @query("f01_student_tail", f"""
 WITH r AS (SELECT event_id, value / 20 AS t_stat, 2.0 + event_id % 40 AS df FROM events), {sp.t_tail('r', 'event_id', n=4000)}
 SELECT event_id, round(p, 4) AS p FROM tails""")

@@ -14,10 +14,15 @@ def _top(spark, sf):
     return logs, v.cells(spark, sf), normalize.top_variable_genes(logs, v.cells(spark, sf), v.genes(spark, sf), 100)
 
 
-@query("m01_pca_scores")
+@query("m01_pca_scores", v.with_ctes(v.PLACE_COUNTS) + """
+, z AS (SELECT cell_id, gene_id FROM (SELECT vec_id AS cell_id FROM embeddings) CROSS JOIN (SELECT DISTINCT gene_id FROM pcounts)),
+x AS (SELECT z.cell_id, z.gene_id, coalesce(value, 0)::DOUBLE AS x FROM z LEFT JOIN pcounts p ON p.cell_id = z.cell_id AND p.gene_id = z.gene_id)
+SELECT a.cell_id, round(sum(pow(a.x - b.x, 2)), 4) AS squared_distance FROM x a JOIN x b ON b.cell_id = a.cell_id + 1 AND b.gene_id = a.gene_id GROUP BY 1""".lstrip())
 def _(spark, sf):
-    logs, cells, genes = _top(spark, sf)
-    return em.pca_scores(logs, cells, 10, centre=True, genes=genes)
+    # With as many components as genes, distances between scores are those between the cells; signs are free.
+    scores = em.pca_scores(v.place_counts(spark, sf), v.vectors(spark, sf), 64, centre=True)
+    after = scores.select((F.col("cell_id") - 1).alias("cell_id"), F.col("vec").alias("other"))
+    return scores.join(after, "cell_id").select("cell_id", F.round(em.squared_distance("vec", "other"), 4).alias("squared_distance"))
 
 
 @query("m02_batch_centring", v.with_ctes(v.VECTORS) + """
@@ -39,9 +44,9 @@ def _(spark, sf):
     return rounded(em.batch_mixing(v.vectors(spark, sf)), "mixing_score")
 
 
-@query("m04_kmeans")
+@query("m04_kmeans", "SELECT vec_id AS cell_id, min(vec_id) OVER (PARTITION BY label) AS cluster FROM embeddings")
 def _(spark, sf):
-    return em.kmeans(v.vectors(spark, sf), 6).select("cell_id", "cluster")
+    return v.by_first_cell(em.kmeans(v.separate_vectors(spark, sf), 10), "cluster")
 
 
 @query("m05_silhouette", v.with_ctes(v.VECTORS, SAMPLE.format(200)) + f"""
@@ -59,15 +64,14 @@ def _(spark, sf):
 
 def marker_reference(spark, sf):
     """The part types as labels and some of their parts as markers, written in mixed case."""
-    p = v.table(spark, sf, "part")
-    return p.where(F.col("p_partkey") % 11 == 0).select(
+    return v.table(spark, sf, "part").select(
         F.col("p_type").alias("label"), F.ascii("p_type").alias("label_order"),
         F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("G"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("p_partkey").cast("string"))).alias("marker"),
     )
 
 
 ANNOTATE = """
-r AS (SELECT p_type AS label, ascii(p_type) AS o, p_partkey AS gene_id, p_partkey % 2 = 1 AS ok FROM part WHERE p_partkey % 11 = 0),
+r AS (SELECT p_type AS label, ascii(p_type) AS o, p_partkey AS gene_id, p_partkey % 2 = 1 AS ok FROM part),
 cs AS (SELECT cluster, count(*) AS n FROM cells GROUP BY 1), sm AS (SELECT cluster, gene_id, sum(value) AS t FROM logn JOIN cells USING (cell_id) GROUP BY 1, 2),
 mm AS (SELECT cs.cluster, label, o, ok, coalesce(t, 0) / n AS m FROM r CROSS JOIN cs LEFT JOIN sm ON sm.cluster = cs.cluster AND sm.gene_id = r.gene_id)"""
 
@@ -88,10 +92,13 @@ def _(spark, sf):
     return rounded(em.annotate_clusters(logs, v.cells(spark, sf), v.genes(spark, sf), marker_reference(spark, sf), how="mean"), "score")
 
 
-@query("m08_sub_states")
+@query("m08_sub_states", "SELECT vec_id AS cell_id, min(vec_id) OVER (PARTITION BY label) AS sub_state FROM embeddings WHERE label % 2 = 1")
 def _(spark, sf):
-    logs, cells, genes = _top(spark, sf)
-    return em.sub_states(logs, cells, "1-urgent", "cluster", genes=genes)
+    # Inside one section, each label has a gene of its own beside the small values of the others.
+    own = v.vectors(spark, sf).select("cell_id", (F.col("label").cast("long") + 1000).alias("gene_id"), F.lit(100.0).alias("value"))
+    small = v.place_counts(spark, sf).select("cell_id", "gene_id", (F.col("value") / 100).alias("value"))
+    found = em.sub_states(own.unionByName(small), v.places(spark, sf), "1", "section", k=5, components=8)
+    return v.by_first_cell(found, "sub_state")
 
 
 @query("m09_knn_graph", v.with_ctes(v.VECTORS) + f"""

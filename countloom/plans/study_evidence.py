@@ -121,7 +121,7 @@ def claim_tables(spark, sf):
         F.create_map(F.lit("gene"), F.col("event_type")).alias("context"),
     )
     ids = F.sort_array(F.collect_list(i))
-    claims = e.where(i % 40 < 3).groupBy(u.alias("claim_id")).agg(ids.alias("support_ids")).select(
+    claims = e.groupBy(u.alias("claim_id")).agg(ids.alias("support_ids")).select(
         "claim_id", (F.col("claim_id") % 4 + 1).alias("tier"),
         F.when(F.col("claim_id") % 13 == 0, F.lit("The signal drives growth")).otherwise(F.concat(F.lit("event "), F.element_at("support_ids", 1).cast("string"))).alias("statement"),
         F.lit("observational").alias("causal_status"),
@@ -132,9 +132,9 @@ def claim_tables(spark, sf):
 
 
 @query("e05_claim_admission", """
-WITH c AS (SELECT user_id AS claim_id, min(event_id) AS lead, user_id % 4 + 1 AS tier FROM events WHERE event_id % 40 < 3 GROUP BY 1),
+WITH c AS (SELECT user_id AS claim_id, min(event_id) AS lead, user_id % 4 + 1 AS tier FROM events GROUP BY 1),
 x AS (SELECT c.*, e.event_id AS id, value / 100 AS q, event_type, CASE WHEN c.claim_id % 13 = 0 THEN 'The signal drives growth' ELSE 'event ' || lead END AS txt
-  FROM c JOIN events e ON e.user_id = claim_id AND event_id % 40 < 3),
+  FROM c JOIN events e ON e.user_id = claim_id),
 f AS (SELECT claim_id, tier, txt, count(*) FILTER (WHERE id % 211 = 0) AS wrong, count(*) FILTER (WHERE id % 301 = 0) AS una,
   count(*) FILTER (WHERE id % 301 <> 0 AND q >= 0 AND q < 0.05) AS st, count(*) FILTER (WHERE id % 301 <> 0 AND q >= 0 AND q < 0.05 AND 'event ' || id = txt) AS exa,
   count(*) FILTER (WHERE id % 3 = 0) AS kn,
@@ -217,7 +217,7 @@ def requirement_tables(spark, sf):
         F.when(F.col("o_orderkey") % 29 == 0, F.array(F.lit("no donors"))).otherwise(F.array().cast("array<string>")).alias("prerequisite_gaps"),
     )
     k = F.col("l_partkey")
-    res = li.where((F.col("l_suppkey") % 5 == 0) & (F.col("l_quantity") > 45)).select(
+    res = li.select(
         F.col("l_orderkey").alias("task_id"), F.when(F.col("l_returnflag") == "A", "deg").when(F.col("l_returnflag") == "N", "cluster_markers").otherwise("qc").alias("capability"),
         F.when(F.col("l_linestatus") == "F", "success").otherwise("failed").alias("status"),
         F.when(k % 4 == 0, "not_estimable").otherwise("estimated_inconclusive").alias("scientific_status"), (k % 7).alias("n_features_tested"),
@@ -229,7 +229,7 @@ def requirement_tables(spark, sf):
 
 @query("e09_requirement_coverage", """
 WITH rs AS (SELECT CASE l_returnflag WHEN 'A' THEN 'deg' WHEN 'N' THEN 'cluster_markers' ELSE 'qc' END AS cap, CASE WHEN l_partkey % 4 = 0 THEN 'not_estimable' ELSE 'estimated_inconclusive' END AS sci,
-  CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_partkey % 50 AS VARCHAR) END AS tgt, l_partkey % 7 AS nf FROM lineitem WHERE l_suppkey % 5 = 0 AND l_quantity > 45 AND l_linestatus = 'F' GROUP BY ALL),
+  CASE WHEN l_partkey % 10 <> 0 THEN CAST(l_partkey % 50 AS VARCHAR) END AS tgt, l_partkey % 7 AS nf FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL),
 rq AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey % 50 AS VARCHAR) END AS tgt, unnest(['deg', CASE WHEN o_orderkey % 2 = 0 THEN 'cluster_markers' ELSE 'qc' END]) AS cap FROM orders),
 j AS (SELECT id, rq.cap, count(*) FILTER (WHERE rs.cap IS NOT NULL AND (rq.cap <> 'deg' OR (sci = 'estimated_inconclusive' AND nf >= 1))) AS n, coalesce(bool_or(sci = 'not_estimable'), false) AS ne
   FROM rq LEFT JOIN rs ON rs.cap = rq.cap AND rs.tgt IS NOT DISTINCT FROM rq.tgt GROUP BY 1, 2)

@@ -69,7 +69,8 @@ def gene_info(spark, sf):
     p = v.table(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
     return p.select(
-        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Abc"), key)).otherwise(F.concat(F.lit("ABC"), (F.col("p_partkey") - 1).cast("string"))).alias("gene_symbol"),
+        F.when(F.col("p_partkey") % 20 == 4, F.concat(F.lit("abC"), key)).when(F.col("p_partkey") % 20 == 5, F.concat(F.lit("aBC"), (F.col("p_partkey") - 1).cast("string")))
+        .when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Abc"), key)).otherwise(F.concat(F.lit("ABC"), (F.col("p_partkey") - 1).cast("string"))).alias("gene_symbol"),
         F.when(F.col("p_partkey") % 2 == 0, "mus_musculus").otherwise("homo_sapiens").alias("species"),
         F.array(F.concat(F.lit("al"), key), F.concat(F.lit("x"), key)).alias("aliases"),
         F.create_map(F.lit("human"), F.concat(F.lit("HO"), key), F.lit("rat"), F.concat(F.lit("Ro"), key)).alias("orthologs"),
@@ -88,14 +89,14 @@ def symbols(spark, sf):
 
 
 LOOKUP = """
-WITH info AS (SELECT p_partkey AS o, CASE WHEN p_partkey % 2 = 0 THEN 'Abc' || p_partkey ELSE 'ABC' || (p_partkey - 1) END AS gene_symbol,
+WITH info AS (SELECT p_partkey AS o, CASE WHEN p_partkey % 20 = 4 THEN 'abC' || p_partkey WHEN p_partkey % 20 = 5 THEN 'aBC' || (p_partkey - 1) WHEN p_partkey % 2 = 0 THEN 'Abc' || p_partkey ELSE 'ABC' || (p_partkey - 1) END AS gene_symbol,
   CASE WHEN p_partkey % 2 = 0 THEN 'mus_musculus' ELSE 'homo_sapiens' END AS species, 'AL' || p_partkey AS alias, 'HO' || p_partkey AS human FROM part),
 s AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN 'Abc' || p_partkey WHEN 1 THEN 'abc' || (p_partkey - 1) WHEN 2 THEN 'ABC' || p_partkey
   WHEN 3 THEN 'AL' || p_partkey WHEN 4 THEN 'ho' || p_partkey ELSE 'none' || p_partkey END AS symbol FROM part),
 c AS (SELECT symbol, gene_symbol, species, o, human, CASE WHEN symbol = gene_symbol THEN 1 ELSE 2 END AS tier FROM s JOIN info ON upper(symbol) = upper(gene_symbol)
   UNION ALL SELECT symbol, gene_symbol, species, o, human, 3 FROM s JOIN info ON upper(symbol) = alias
   UNION ALL SELECT symbol, gene_symbol, species, o, human, 4 FROM s JOIN info ON upper(symbol) = human),
-r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY tier, o) AS rn FROM c)
+r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY tier, CASE WHEN tier = 2 AND symbol LIKE 'Abc%' THEN species <> 'mus_musculus' WHEN tier = 2 AND symbol LIKE 'ABC%' THEN species <> 'homo_sapiens' ELSE false END, o) AS rn FROM c)
 """
 
 
@@ -225,12 +226,11 @@ def _(spark, sf):
 
 
 def _pair_keys(spark, sf):
-    """Pairs of neighbouring parts of small size, as gene ids."""
-    p = v.table(spark, sf, "part").where(F.col("p_size") <= 10)
-    return p.select(F.col("p_partkey").alias("ligand"), (F.col("p_partkey") + 1).alias("receptor"))
+    """Pairs of neighbouring parts, as gene ids."""
+    return v.table(spark, sf, "part").select(F.col("p_partkey").alias("ligand"), (F.col("p_partkey") + 1).alias("receptor"))
 
 
-PK = "pk AS (SELECT p_partkey AS ligand, p_partkey + 1 AS receptor FROM part WHERE p_size <= 10)"
+PK = "pk AS (SELECT p_partkey AS ligand, p_partkey + 1 AS receptor FROM part)"
 GROUP_SCORES = """
 tn AS (SELECT donor, condition, cluster AS cell_type, count(*) AS n FROM two GROUP BY 1, 2, 3),
 tm AS (SELECT two.donor, two.condition, cluster AS cell_type, gene_id, sum(value) / max(n) AS m FROM counts JOIN two USING (cell_id)
@@ -251,32 +251,35 @@ def group_scores(spark, sf):
 
 
 @query("l05_group_pair_scores", v.with_ctes(v.COUNTS, PAIRED_CELLS, PAIRS, PK, GROUP_SCORES) + """
-SELECT donor, condition, source, target, ligand, receptor, round(magnitude, 6) AS magnitude, round(specificity, 6) AS specificity,
+SELECT donor, condition, source, target, ligand, receptor, round(magnitude, 5) AS magnitude, round(specificity, 5) AS specificity,
   round(magnitude_rank, 6) AS magnitude_rank, round(specificity_rank, 6) AS specificity_rank FROM gx""")
 def _(spark, sf):
-    return rounded(group_scores(spark, sf), "magnitude", "specificity", "magnitude_rank", "specificity_rank")
+    return rounded(rounded(group_scores(spark, sf), "magnitude", "specificity", digits=5), "magnitude_rank", "specificity_rank")
 
 
 L04 = f"""
-li AS (SELECT source, target, ligand % 5 AS ligand, receptor % 3 AS receptor, donor, condition, avg(magnitude_rank) AS x, avg(specificity_rank) AS y FROM gx GROUP BY 1, 2, 3, 4, 5, 6),
-lw AS (SELECT source, target, ligand, receptor, donor, max(x) FILTER (WHERE condition = '{A}') - max(x) FILTER (WHERE condition = '{B}') AS dx,
-  max(y) FILTER (WHERE condition = '{A}') - max(y) FILTER (WHERE condition = '{B}') AS dy FROM li GROUP BY 1, 2, 3, 4, 5),
-lt AS (SELECT source, target, ligand, receptor, count(*) AS n, CAST(count(*) - 1 AS DOUBLE) AS df,
-  CASE WHEN count(*) > 1 THEN avg(dx) / (stddev_samp(dx) / sqrt(count(*))) END AS tx, CASE WHEN count(*) > 1 THEN avg(dy) / (stddev_samp(dy) / sqrt(count(*))) END AS ty
-  FROM lw WHERE dx IS NOT NULL GROUP BY 1, 2, 3, 4),
+li AS (SELECT source, target, ligand, receptor, donor, condition, avg(magnitude_rank) AS x, avg(specificity_rank) AS y FROM gx GROUP BY 1, 2, 3, 4, 5, 6),
+lw AS (SELECT source, target, ligand, receptor, donor, max(x) FILTER (WHERE condition = '{A}') AS xa, max(x) FILTER (WHERE condition = '{B}') AS xb,
+  max(y) FILTER (WHERE condition = '{A}') AS ya, max(y) FILTER (WHERE condition = '{B}') AS yb, xa - xb AS dx, ya - yb AS dy FROM li GROUP BY 1, 2, 3, 4, 5),
+lt AS (SELECT source, target, ligand, receptor, count(dx) AS n, CAST(count(dx) - 1 AS DOUBLE) AS df,
+  avg(xa) FILTER (WHERE dx IS NOT NULL) AS mxa, avg(xb) FILTER (WHERE dx IS NOT NULL) AS mxb, avg(ya) FILTER (WHERE dy IS NOT NULL) AS mya, avg(yb) FILTER (WHERE dy IS NOT NULL) AS myb,
+  CASE WHEN count(dx) > 1 AND max(dx) - min(dx) > 1e-12 THEN avg(dx) / (stddev_samp(dx) / sqrt(count(dx))) END AS tx, CASE WHEN count(dx) > 1 AND max(dy) - min(dy) > 1e-12 THEN avg(dy) / (stddev_samp(dy) / sqrt(count(dx))) END AS ty
+  FROM lw GROUP BY 1, 2, 3, 4),
 {sp.t_tail('lt', 'source, target, ligand, receptor', 'px', 'tx')}, {sp.t_tail('lt', 'source, target, ligand, receptor', 'py', 'ty')},
-rx AS (SELECT *, {sp.bh_ranks('p')} FROM px), qx AS (SELECT *, {sp.bh('p')} AS q FROM rx)"""
+rx AS (SELECT *, {sp.bh_ranks('p')} FROM px), qx AS (SELECT *, {sp.bh('p')} AS q FROM rx),
+ry AS (SELECT *, {sp.bh_ranks('p')} FROM py), qy AS (SELECT *, {sp.bh('p')} AS q FROM ry)"""
 
 
 @query("l04_pair_comparison", v.with_ctes(v.COUNTS, PAIRED_CELLS, PAIRS, PK, GROUP_SCORES, L04) + """
-SELECT source, target, ligand, receptor, n AS n_donors_a, round(px.p, 5) AS p_magnitude, round(py.p, 5) AS p_specificity, round(qx.q, 5) AS fdr_magnitude,
+SELECT source, target, ligand, receptor, n AS n_donors_a, n AS n_donors_b, round(mxa, 5) AS mean_magnitude_rank_a, round(mxb, 5) AS mean_magnitude_rank_b,
+  round(mya, 5) AS mean_specificity_rank_a, round(myb, 5) AS mean_specificity_rank_b, round(px.p, 5) AS p_magnitude, round(py.p, 5) AS p_specificity, round(qx.q, 5) AS fdr_magnitude, round(qy.q, 5) AS fdr_specificity,
   CASE WHEN n < 2 THEN 'insufficient_donors' WHEN px.p IS NULL OR py.p IS NULL THEN 'not_estimated' ELSE 'tested' END AS status
-FROM lt LEFT JOIN px USING (source, target, ligand, receptor) LEFT JOIN py USING (source, target, ligand, receptor) LEFT JOIN qx USING (source, target, ligand, receptor)""")
+FROM lt LEFT JOIN px USING (source, target, ligand, receptor) LEFT JOIN py USING (source, target, ligand, receptor) LEFT JOIN qx USING (source, target, ligand, receptor) LEFT JOIN qy USING (source, target, ligand, receptor)""")
 def _(spark, sf):
-    rows = group_scores(spark, sf).withColumns({"ligand": F.col("ligand") % 5, "receptor": F.col("receptor") % 3})
-    out = lr.compare_pair_scores(rows, A, B, paired=True)
-    out = out.select("source", "target", "ligand", "receptor", "n_donors_a", "p_magnitude", "p_specificity", "fdr_magnitude", "status")
-    return rounded(out, "p_magnitude", "p_specificity", "fdr_magnitude", digits=5)
+    out = lr.compare_pair_scores(group_scores(spark, sf), A, B, paired=True)
+    means = [f"mean_{s}_rank_{x}" for s in ("magnitude", "specificity") for x in "ab"]
+    tests = [f"{x}_{s}" for s in ("magnitude", "specificity") for x in ("p", "fdr")]
+    return rounded(out.select("source", "target", "ligand", "receptor", "n_donors_a", "n_donors_b", *means, *tests, "status"), *means, *tests, digits=5)
 
 
 def condition_sides(cells, a, b):

@@ -77,18 +77,18 @@ def _(spark, sf):
 
 
 @query("x06_smoothed_embedding", v.with_ctes(*GRAPH, v.VECTORS) + """
-, n AS (SELECT src, i, sum(wn * vec[i]) AS m FROM graph JOIN vectors ON cell_id = dst, range(1, 9) t(i) GROUP BY 1, 2)
-SELECT cell_id, i - 1 AS component, round(0.7 * vec[i] + 0.3 * coalesce(m, 0), 6) AS value FROM vectors CROSS JOIN range(1, 9) t(i) LEFT JOIN n USING (i) WHERE n.src = cell_id""".lstrip())
+, n AS (SELECT src, i, sum(wn * vec[i]) AS m FROM graph JOIN vectors ON cell_id = dst, range(1, 65) t(i) GROUP BY 1, 2)
+SELECT cell_id, i - 1 AS component, round(0.7 * vec[i] + 0.3 * coalesce(m, 0), 6) AS value FROM vectors CROSS JOIN range(1, 65) t(i) LEFT JOIN n USING (i) WHERE n.src = cell_id""".lstrip())
 def _(spark, sf):
-    vec = v.vectors(spark, sf).select("cell_id", F.slice("vec", 1, 8).alias("vec"))
-    out = sx.smooth_embedding(vec, graph(spark, sf), 8)
+    out = sx.smooth_embedding(v.vectors(spark, sf).select("cell_id", "vec"), graph(spark, sf), 64)
     return out.select("cell_id", F.posexplode("vec").alias("component", "value")).select("cell_id", F.col("component").cast("long").alias("component"), F.round("value", 6).alias("value"))
 
 
-@query("x07_spatial_domains")
+@query("x07_spatial_domains", "SELECT vec_id AS cell_id, min(vec_id) OVER (PARTITION BY label) AS domain FROM embeddings")
 def _(spark, sf):
-    vec = v.vectors(spark, sf).select("cell_id", F.slice("vec", 1, 8).alias("vec"))
-    return sx.spatial_domains(vec, graph(spark, sf), 8).groupBy("domain").agg(F.count(F.lit(1)).alias("n_cells"))
+    # Labels far apart: smoothing over the graph moves no cell into another group.
+    found = sx.spatial_domains(v.separate_vectors(spark, sf), graph(spark, sf), 74, k=10, strength=0.1)
+    return v.by_first_cell(found.select("cell_id", "domain"), "domain")
 
 
 MORAN = f"""
@@ -143,7 +143,7 @@ def _(spark, sf):
 
 def lr_pairs(spark, sf):
     g = genes(spark, sf)
-    return g.select(F.upper("gene_name").alias("ligand"), F.concat(F.lit("gene"), ((F.col("gene_id") + 1) % 20).cast("string")).alias("receptor"))
+    return g.select(F.upper("gene_name").alias("ligand"), F.concat(F.lit("gene"), (F.col("gene_id") + 1).cast("string")).alias("receptor"))
 
 
 SCORES = """
@@ -205,7 +205,7 @@ def _(spark, sf):
 
 
 @query("x16_section_moran", v.with_ctes(*GRAPH, v.PLACE_COUNTS) + """
-, gn AS (SELECT DISTINCT gene_id FROM pcounts ORDER BY 1 LIMIT 10), fx AS (SELECT gene_id, cell_id, section, coalesce(value, 0) AS x FROM gn CROSS JOIN places LEFT JOIN pcounts USING (gene_id, cell_id)),
+, gn AS (SELECT DISTINCT gene_id FROM pcounts), fx AS (SELECT gene_id, cell_id, section, coalesce(value, 0) AS x FROM gn CROSS JOIN places LEFT JOIN pcounts USING (gene_id, cell_id)),
 d AS (SELECT gene_id, cell_id, x - avg(x) OVER (PARTITION BY gene_id, section) AS d FROM fx), v AS (SELECT gene_id, sum(d * d) AS v FROM d GROUP BY 1)
 SELECT a.gene_id, round((SELECT count(*) FROM places) / (SELECT count(*) FROM graph) * sum(a.d * b.d) / max(v), 4) AS moran_i
 FROM graph JOIN d a ON a.cell_id = src JOIN d b ON b.cell_id = dst AND b.gene_id = a.gene_id JOIN v ON v.gene_id = a.gene_id GROUP BY 1""".lstrip())
@@ -213,9 +213,11 @@ def _(spark, sf):
     return sx.section_moran(v.place_counts(spark, sf), v.places(spark, sf), genes(spark, sf), graph(spark, sf))
 
 
-@query("x17_niche_summary")
+@query("x17_niche_summary", "SELECT count(*) AS cell_count, CAST((label + 1) % 10 AS VARCHAR) AS dominant_cell_type, 1.0::DOUBLE AS dominant_cell_type_fraction FROM embeddings GROUP BY label")
 def _(spark, sf):
+    # Every cell's neighbourhood is all of the next type, so the niches are the types and SQL knows them.
     cells = v.places(spark, sf)
-    types = [r[0] for r in cells.select("cell_type").distinct().orderBy("cell_type").limit(1000).collect()]
-    found = sx.niches(sx.composition(edges(spark, sf), cells), cells, types)
-    return rounded(sx.niche_summary(found, types), "dominant_cell_type_fraction")
+    shares = cells.select("cell_id", F.pmod(F.col("cell_type").cast("int") + 1, F.lit(10)).cast("string").alias("cell_type"), F.lit(1.0).alias("share"))
+    types = [r[0] for r in cells.select("cell_type").distinct().orderBy("cell_type").collect()]
+    found = sx.niches(shares, cells, types, k=len(types))
+    return rounded(sx.niche_summary(found, types).drop("niche_id"), "dominant_cell_type_fraction")

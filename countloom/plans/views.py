@@ -49,6 +49,18 @@ def vectors(spark, sf) -> DataFrame:
     )
 
 
+def separate_vectors(spark, sf) -> DataFrame:
+    """Vectors with a long one-hot part for the label in front, so that the labels are groups far apart."""
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i.cast("string") == F.col("label"), 100.0).otherwise(0.0))
+    return vectors(spark, sf).select("cell_id", F.concat(one_hot, "vec").alias("vec"), "label")
+
+
+def by_first_cell(found: DataFrame, column: str) -> DataFrame:
+    """Groups named by their smallest cell id, as their own names are free."""
+    first = found.groupBy(column).agg(F.min("cell_id").alias("_first"))
+    return found.join(first, column).select("cell_id", F.col("_first").alias(column))
+
+
 def places(spark, sf) -> DataFrame:
     """Cells with coordinates: two components of a vector, in two sections."""
     return table(spark, sf, "embeddings").select(
@@ -59,10 +71,10 @@ def places(spark, sf) -> DataFrame:
 
 
 def place_counts(spark, sf) -> DataFrame:
-    """Expression on the same cells: positive parts of the first 16 vector components."""
+    """Expression on the same cells: positive parts of all vector components."""
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("cell_id"),
-        F.posexplode(F.slice("embedding", 1, 16)).alias("gene_id", "raw"),
+        F.posexplode("embedding").alias("gene_id", "raw"),
     ).where(F.col("raw") > 0).select(
         "cell_id", F.col("gene_id").cast("long").alias("gene_id"), F.floor(F.col("raw").cast("double") * 100).alias("value")
     ).where(F.col("value") > 0)
@@ -96,7 +108,7 @@ PLACES = (
 PLACE_COUNTS = (
     "pcounts AS (SELECT * FROM (SELECT vec_id AS cell_id, CAST(i - 1 AS BIGINT) AS gene_id, "
     "CAST(floor(CAST(embedding[i] AS DOUBLE) * 100) AS BIGINT) AS value "
-    "FROM embeddings, range(1, 17) t(i) WHERE embedding[i] > 0) WHERE value > 0)"
+    "FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) WHERE embedding[i] > 0) WHERE value > 0)"
 )
 
 
