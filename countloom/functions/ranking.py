@@ -45,14 +45,26 @@ def tie_positions(df: DataFrame, groups: list[str], value: str, keep_bucket: boo
     return placed.select(*cols, "_bucket") if keep_bucket else placed.select(*cols)
 
 
+def ordered_positions(df: DataFrame, order: str) -> DataFrame:
+    """Add ``n_below`` (rows before, in order of a column of any type) and ``n_total``, without one big sort.
+
+    Rows are dealt to ranges, checkpointed there, counted by range and numbered
+    inside their range. Null comes first; rows with equal values are numbered in some order.
+    """
+    ranged = cut_lineage(df.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("n_total"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(F.col(order).asc_nulls_first())) - 1
+    return ranged.join(offsets, "_range").withColumn("n_below", F.col("_before") + inside).drop("_range", "_before")
+
+
 def benjamini_hochberg(
     df: DataFrame, p: str = "p_value", out: str = "fdr_q_value", family: list[str] | None = None,
     missing: str = "one",
 ) -> DataFrame:
     """Add adjusted p-values within each family.
 
-    The input, one row per tested feature, is checkpointed first: ranks, bucket
-    minima and the rows themselves are then read from it, not recomputed.
     ``missing="one"`` counts null, NaN and +inf as 1 and -inf as 0. ``missing="keep"``
     adjusts only finite values and leaves the others null.
     """
@@ -67,7 +79,7 @@ def benjamini_hochberg(
         clean = F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     else:
         raise ValueError("missing must be 'one' or 'keep'")
-    rows = cut_lineage(df.withColumn("_p", clean))
+    rows = df.withColumn("_p", clean)
     pos = tie_positions(rows.where(F.col("_p").isNotNull()).select(*family, "_p"), family, "_p", keep_bucket=True)
     pos = pos.withColumn(
         "_cand", F.least(F.lit(1.0), F.col("_p") * F.col("n_total") / (F.col("n_below") + F.col("n_tie")).cast("double"))

@@ -8,13 +8,41 @@ from statistics import NormalDist
 import numpy as np
 
 
-def _each(fn, x):
-    x = np.asarray(x, dtype=float)
-    return np.fromiter((fn(v) for v in x.ravel()), dtype=float, count=x.size).reshape(x.shape)
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
 
 
 def _log_gamma(x):
-    return _each(math.lgamma, x)
+    """log Gamma of positive values: Stirling's series from 10 on, the recurrence below."""
+    x = np.asarray(x, dtype=float)
+    shift = np.where(x < 10.0, np.ceil(10.0 - x), 0.0)
+    below = np.zeros_like(x)
+    for k in range(10):
+        below += np.where(k < shift, np.log(np.where(k < shift, x + k, 1.0)), 0.0)
+    y = x + shift
+    tail, power = np.zeros_like(x), 1.0 / y
+    for c in _STIRLING:
+        tail += c * power
+        power = power / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2.0 * math.pi) + tail - below
+
+
+def _erfc(x):
+    """Complementary error function of non-negative values: a series of positive terms below 2, a continued fraction above."""
+    x = np.asarray(x, dtype=float)
+    out = np.zeros_like(x)
+    low = x < 2.0
+    z = x[low]
+    term = total = 2.0 / math.sqrt(math.pi) * z * np.exp(-z * z)
+    for n in range(1, 80):
+        term = term * 2.0 * z * z / (2 * n + 1)
+        total = total + term
+    out[low] = 1.0 - total
+    z = x[~low & np.isfinite(x)]
+    fraction = np.zeros_like(z)
+    for n in range(120, 0, -1):
+        fraction = (n / 2.0) / (z + fraction)
+    out[~low & np.isfinite(x)] = np.exp(-z * z) / math.sqrt(math.pi) / (z + fraction)
+    return out
 
 
 def _beta_fraction(a, b, x):
@@ -93,28 +121,29 @@ def normal_two_sided_np(z):
     z = np.asarray(z, dtype=float)
     out = np.full(z.shape, np.nan)
     ok = ~np.isnan(z)
-    out[ok] = _each(math.erfc, np.abs(z[ok]) / math.sqrt(2.0))
+    out[ok] = _erfc(np.abs(z[ok]) / math.sqrt(2.0))
     return out
 
 
 def hypergeom_tail_np(k, population, marked, drawn):
     """P(X >= k): draw ``drawn`` from ``population`` holding ``marked`` marked items."""
     k, population, marked, drawn = (np.asarray(v, dtype=float) for v in (k, population, marked, drawn))
-    out = np.empty(k.shape)
-    for i in range(len(k)):
-        low = max(k[i], drawn[i] - (population[i] - marked[i]), 0.0)
-        high = min(marked[i], drawn[i])
-        if k[i] <= max(0.0, drawn[i] - (population[i] - marked[i])):
-            out[i] = 1.0
-            continue
-        if low > high:
-            out[i] = 0.0
-            continue
-        j = np.arange(low, high + 1)
-        m, n, r = marked[i], population[i], drawn[i]
-        logs = (
-            _log_gamma(np.array([m + 1, n - m + 1, r + 1, n - r + 1])).sum() - math.lgamma(n + 1)
-            - _log_gamma(j + 1) - _log_gamma(m - j + 1) - _log_gamma(r - j + 1) - _log_gamma(n - m - r + j + 1)
-        )
-        out[i] = min(1.0, float(np.exp(logs).sum()))
+    least = np.maximum(0.0, drawn - (population - marked))
+    low, high = np.maximum(k, least), np.minimum(marked, drawn)
+    out = np.where(k <= least, 1.0, 0.0)
+    rows = np.flatnonzero((k > least) & (low <= high))
+    sizes = (high - low + 1)[rows].astype(np.int64)
+    start = 0
+    while start < len(rows):  # about a million terms of the sums at a time
+        stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), 1 << 20)))
+        part, terms = rows[start:stop], sizes[start:stop]
+        first = np.cumsum(terms) - terms
+        at = np.repeat(part, terms)
+        j = low[at] + np.arange(terms.sum()) - np.repeat(first, terms)
+        m, n, r = marked[part], population[part], drawn[part]
+        whole = _log_gamma(m + 1) + _log_gamma(n - m + 1) + _log_gamma(r + 1) + _log_gamma(n - r + 1) - _log_gamma(n + 1)
+        m, n, r = marked[at], population[at], drawn[at]
+        logs = np.repeat(whole, terms) - _log_gamma(j + 1) - _log_gamma(m - j + 1) - _log_gamma(r - j + 1) - _log_gamma(n - m - r + j + 1)
+        out[part] = np.minimum(1.0, np.add.reduceat(np.exp(logs), first))
+        start = stop
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from countloom.functions.ranking import benjamini_hochberg, tie_positions
+from countloom.functions.ranking import benjamini_hochberg, ordered_positions
 from countloom.session import cut_lineage
 
 # Verbs that claim a cause.
@@ -90,9 +90,13 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def select_evidence(results: DataFrame, table: str = "table_id", alpha: float = 0.05, top: int = 10, effect: str = "log2_fold_change", gene: str = "gene_id") -> DataFrame:
-    """Per result table: the ``top`` rows by q among q < alpha, then only non-zero finite effects."""
-    hits = results.where((F.col("fdr_q_value") >= 0) & (F.col("fdr_q_value") < alpha))
+def select_evidence(results: DataFrame, table: str = "table_id", alpha: float | str = 0.05, top: int = 10, effect: str = "log2_fold_change", gene: str = "gene_id") -> DataFrame:
+    """Per result table: the ``top`` rows by q among q < alpha, then only non-zero finite effects.
+
+    ``alpha`` is one level or the name of a column; rows whose level is not between 0 and 1 give no evidence.
+    """
+    level = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
+    hits = results.where((F.col("fdr_q_value") >= 0) & (F.col("fdr_q_value") < level) & (level > 0) & (level < 1))
     ranked = hits.withColumn("_r", F.row_number().over(W.partitionBy(table).orderBy("fdr_q_value", gene))).where(F.col("_r") <= top)
     return ranked.where(finite(F.col(effect)) & (F.col(effect) != 0)).select(
         table, gene, effect, "fdr_q_value", (1 - F.col("fdr_q_value")).alias("score"),
@@ -320,8 +324,7 @@ def result_page(results: DataFrame, page: int = 1, size: int = 50, query: str =
 def display_points(points: DataFrame, max_points: int = 2000, order: str = "cell_id") -> DataFrame:
     """At most ``max_points`` rows with finite coordinates, evenly spaced in cell order; first and last are kept."""
     good = points.where(finite(F.col("x")) & finite(F.col("y")))
-    place = tie_positions(good.select(F.col(order).cast("double").alias("_o")), [], "_o").select("_o", F.col("n_below").alias("_p"), F.col("n_total").alias("_n"))
-    at = good.withColumn("_o", F.col(order).cast("double")).join(place, "_o")
+    at = ordered_positions(good, order).withColumnsRenamed({"n_below": "_p", "n_total": "_n"})
     span, last = F.col("_n") - 1, F.lit(max_points - 1).cast("long")
     # the i-th point shown is row floor(i * (n - 1) / (m - 1)); exact in whole numbers
     step = F.when(F.pmod(F.col("_p") * last, span) == 0, F.expr(f"(_p * {max_points - 1}L) div (_n - 1)")).otherwise(F.expr(f"(_p * {max_points - 1}L) div (_n - 1) + 1"))

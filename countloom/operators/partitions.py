@@ -102,6 +102,8 @@ def _assign(batch: pd.DataFrame) -> pd.DataFrame:
 def match_clusters(first: DataFrame, second: DataFrame, minimum: int = 10) -> DataFrame:
     """One-to-one matching of labels by Jaccard on shared cells; unmatched and small labels stay in the table.
 
+    Branch labels without a partner follow as rows without a primary label, with their shared cells.
+
     Only the label-by-label summary enters the assignment; its size is checked.
     """
     table = contingency(first, second)
@@ -116,8 +118,9 @@ def match_clusters(first: DataFrame, second: DataFrame, minimum: int = 10) -> Da
     common, inter = F.coalesce("na", F.lit(0)), F.coalesce("n", F.lit(0))
     shared = common > 0
     union = common + F.coalesce("nb", F.lit(0)) - inter
-    return both.select(
-        F.col("a").alias("primary_cluster"), "primary_total_cells", common.alias("shared_cells"),
+    described = both.select(
+        F.col("a").alias("primary_cluster"), "primary_total_cells", common.alias("shared_cells"), (common / F.col("primary_total_cells")).alias("shared_coverage"),
+        (F.col("primary_total_cells") < minimum).alias("small_primary_support"),
         F.when(~shared, "not_evaluable").when(common < minimum, "small_support").otherwise("described").alias("support_status"),
         F.col("b").alias("matched_branch_cluster"),
         F.when(~shared, "no_shared_cells").when(F.col("b").isNotNull(), "matched").otherwise("unmatched").alias("matching_status"),
@@ -125,6 +128,9 @@ def match_clusters(first: DataFrame, second: DataFrame, minimum: int = 10) -> Da
         F.when(shared, inter / union).alias("shared_jaccard"), F.when(shared, inter / common).alias("shared_recall"),
         F.when(shared, F.when(F.col("b").isNotNull(), inter / F.col("nb")).otherwise(F.lit(0.0))).alias("shared_precision"),
     )
+    branch = second.select(F.col("label").cast("string").alias("b")).distinct().join(size_b, "b", "left").join(matched, "b", "left").where(F.col("a").isNull())
+    alone = branch.select(F.col("b").alias("matched_branch_cluster"), F.coalesce("nb", F.lit(0)).alias("shared_cells"), F.lit("branch_unmatched").alias("matching_status"))
+    return described.unionByName(alone, allowMissingColumns=True)
 
 
 def class_retention(truth: DataFrame, retained: DataFrame, key: str = "cell_id") -> DataFrame:
@@ -192,17 +198,27 @@ def score_annotation(predicted: DataFrame, reference: DataFrame, aliases: DataFr
     )
 
 
-def perturbed_sets(cells: DataFrame, seed: int = 20261003, fraction: float = 0.8, donor: str | None = "donor") -> DataFrame:
-    """(branch, cell_id): all cells, an exact 80% sample, and each donor left out when there are two to four."""
+def fold_status(cells: DataFrame, donor: str = "donor", most: int | None = None) -> DataFrame:
+    """One row: the number of donors, and whether leaving each out is possible (two at least, ``most`` at most) or why not."""
+    n = F.countDistinct(F.trim(F.col(donor).cast("string")))
+    few, many = n < 2, F.lit(False) if most is None else n > most
+    reason = F.when(few, "fewer than two donors").when(many, f"more than {most} donors")
+    return cells.agg(n.alias("n_donors"), F.when(few | many, "not_eligible").otherwise("planned").alias("status"), reason.alias("reason"))
+
+
+def perturbed_sets(cells: DataFrame, seed: int = 20261003, fraction: float = 0.8, donor: str | None = "donor", most: int | None = None) -> DataFrame:
+    """(branch, cell_id): all cells, an exact 80% sample, and each donor left out.
+
+    There is no donor fold below two donors, nor above ``most`` where it is given; ``fold_status`` says so.
+    """
     ids = cells.select("cell_id", *([donor] if donor else []))
     out = ids.select(F.lit("primary").alias("branch"), "cell_id").unionByName(
         hash_sample(ids, "cell_id", seed, fraction=fraction).select(F.lit("uniform_sample_80pct").alias("branch"), "cell_id")
     )
     if donor is None:
         return out
-    names = [r[0] for r in ids.where(F.col(donor).isNotNull()).select(F.trim(F.col(donor).cast("string"))).distinct().take(5)]
-    if not 2 <= len(names) <= 4:
-        return out
-    each = F.array(*[F.lit(n) for n in sorted(names)])
-    folds = ids.withColumn("_left", F.explode(each)).where(F.trim(F.col(donor).cast("string")) != F.col("_left"))
+    own = F.trim(F.col(donor).cast("string"))
+    names = ids.where(own.isNotNull()).select(own.alias("_n")).distinct().agg(F.sort_array(F.collect_set("_n")).alias("l")).scalar()
+    eligible = (F.size(names) >= 2) & (F.lit(True) if most is None else F.size(names) <= most)
+    folds = ids.withColumn("_left", F.explode(F.when(eligible, names))).where(own != F.col("_left"))
     return out.unionByName(folds.select(F.concat(F.lit("leave_out_"), "_left").alias("branch"), "cell_id"))

@@ -56,13 +56,16 @@ mt AS (SELECT al.a, best.bs[al.k] AS b FROM al, best)"""
 
 @query("r03_cluster_matching", "WITH RECURSIVE " + LABELS + "," + ASSIGN + """
 SELECT mt.a AS primary_cluster, (SELECT count(*) FROM la WHERE label = mt.a) AS primary_total_cells, CAST(ra.n AS BIGINT) AS shared_cells,
+  round(ra.n / (SELECT count(*) FROM la WHERE label = mt.a), 6) AS shared_coverage, (SELECT count(*) FROM la WHERE label = mt.a) < 10 AS small_primary_support,
   CASE WHEN ra.n < 10 THEN 'small_support' ELSE 'described' END AS support_status, mt.b AS matched_branch_cluster, 'matched' AS matching_status,
   coalesce(sj.n, 0) AS intersection_cells, CAST(ra.n + rb.n - coalesce(sj.n, 0) AS BIGINT) AS union_cells, round(coalesce(sj.n, 0) / (ra.n + rb.n - coalesce(sj.n, 0)), 6) AS shared_jaccard,
   round(coalesce(sj.n, 0) / ra.n, 6) AS shared_recall, round(coalesce(sj.n, 0) / rb.n, 6) AS shared_precision
-FROM mt JOIN ra ON ra.a = mt.a JOIN rb ON rb.b = mt.b LEFT JOIN sj ON sj.a = mt.a AND sj.b = mt.b""")
+FROM mt JOIN ra ON ra.a = mt.a JOIN rb ON rb.b = mt.b LEFT JOIN sj ON sj.a = mt.a AND sj.b = mt.b
+UNION ALL SELECT NULL, NULL, CAST(coalesce(rb.n, 0) AS BIGINT), NULL, NULL, NULL, s.label, 'branch_unmatched', NULL, NULL, NULL, NULL, NULL
+FROM (SELECT DISTINCT label FROM lb) s LEFT JOIN rb ON rb.b = s.label WHERE s.label NOT IN (SELECT b FROM mt)""")
 def _(spark, sf):
     out = pt.match_clusters(*_labels(spark, sf))
-    return rounded(out, "shared_jaccard", "shared_recall", "shared_precision")
+    return rounded(out, "shared_coverage", "shared_jaccard", "shared_recall", "shared_precision")
 
 
 @query("r04_class_retention", "WITH " + LABELS + """, u AS (SELECT cell_id, unnest(['__all__', label]) AS class FROM la)
@@ -109,6 +112,20 @@ def _(spark, sf):
     return rounded(pt.score_annotation(second, first, spark.createDataFrame(rows, "alias string, canonical string")), "accuracy", "macro_f1")
 
 
+@query("r07_all_donors", v.with_ctes(v.CELLS) + """
+, s AS (SELECT cell_id FROM cells ORDER BY substr(md5('20261003:' || cell_id), 1, 15), cell_id LIMIT (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM cells))
+SELECT branch, count(*) AS n_cells, CAST(sum(cell_id) AS BIGINT) AS id_sum FROM (SELECT 'primary' AS branch, cell_id FROM cells UNION ALL SELECT 'uniform_sample_80pct', cell_id FROM s
+UNION ALL SELECT 'leave_out_' || d.nation, c.cell_id FROM (SELECT DISTINCT nation FROM cells) d JOIN cells c ON c.nation <> d.nation) GROUP BY 1""".lstrip())
+def _(spark, sf):
+    return pt.perturbed_sets(v.cells(spark, sf), donor="nation").groupBy("branch").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("cell_id").alias("id_sum"))
+
+
+@query("r07_fold_status", v.with_ctes(v.CELLS) + """
+SELECT count(DISTINCT nation) AS n_donors, CASE WHEN count(DISTINCT nation) > 4 THEN 'not_eligible' ELSE 'planned' END AS status, CASE WHEN count(DISTINCT nation) > 4 THEN 'more than 4 donors' END AS reason FROM cells""")
+def _(spark, sf):
+    return pt.fold_status(v.cells(spark, sf), "nation", most=4)
+
+
 @query("r07_perturbed_sets", v.with_ctes(v.CELLS) + """
 , s AS (SELECT cell_id FROM cells ORDER BY substr(md5('20261003:' || cell_id), 1, 15), cell_id LIMIT (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM cells))
 SELECT 'primary' AS branch, cell_id FROM cells UNION ALL SELECT 'uniform_sample_80pct', cell_id FROM s

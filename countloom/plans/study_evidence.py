@@ -74,6 +74,18 @@ def _(spark, sf):
     return rounded(ev.select_evidence(event_results(spark, sf)), "log2_fold_change", "fdr_q_value", "score")
 
 
+@query("e03_evidence_own_level", """
+WITH r AS (SELECT event_type AS table_id, event_id AS gene_id, CASE WHEN event_id % 9 <> 0 THEN value - 20 ELSE 0 END AS lfc, value / 500 AS q,
+  CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 1.5 WHEN event_id % 5 = 2 THEN 0.001 ELSE 0.05 END AS level FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY q, gene_id) AS n FROM r WHERE q >= 0 AND q < level AND level > 0 AND level < 1)
+SELECT table_id, gene_id, round(lfc, 6) AS log2_fold_change, round(q, 6) AS fdr_q_value, round(1 - q, 6) AS score, CASE WHEN lfc > 0 THEN 'higher' ELSE 'lower' END AS direction
+FROM k WHERE n <= 10 AND lfc <> 0""")
+def _(spark, sf):
+    kind = F.col("gene_id") % 5
+    level = F.when(kind == 1, 1.5).when(kind == 2, 0.001).when(kind > 2, 0.05)
+    return rounded(ev.select_evidence(event_results(spark, sf).withColumn("level", level), alpha="level"), "log2_fold_change", "fdr_q_value", "score")
+
+
 TYPES = ["pseudobulk_deg", "pathway_enrichment", "perturbation", "sensitivity_analysis", "clustering_stability", "literature_support"]
 STRENGTHS = ["very_strong", "strong", "moderate", "weak"]
 
@@ -258,6 +270,15 @@ def _(spark, sf):
     return rounded(ev.display_points(p, 200).select("cell_id", "x", "y"), "x", "y")
 
 
+@query("e11_display_text_ids", """
+WITH f AS (SELECT 'cell ' || vec_id AS cell_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, row_number() OVER (ORDER BY 'cell ' || vec_id) - 1 AS p, count(*) OVER () AS n FROM embeddings),
+i AS (SELECT DISTINCT (k * (n - 1)) // 99 AS p FROM (SELECT max(n) AS n FROM f), range(0, 100) t(k))
+SELECT cell_id, round(x, 6) AS x, round(y, 6) AS y FROM f WHERE p IN (SELECT p FROM i)""")
+def _(spark, sf):
+    p = v.places(spark, sf).withColumn("cell_id", F.concat(F.lit("cell "), F.col("cell_id").cast("string")))
+    return rounded(ev.display_points(p, 100).select("cell_id", "x", "y"), "x", "y")
+
+
 @query("e11_group_counts", "SELECT CAST(label AS VARCHAR) AS label, count(*) AS n FROM embeddings GROUP BY 1")
 def _(spark, sf):
     return ev.group_counts(v.places(spark, sf), "cell_type")
