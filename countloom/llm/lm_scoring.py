@@ -16,7 +16,7 @@ from countloom.llm.elias_fano import ContextTrie
 from countloom.llm.textarrays import mix, word_hashes
 
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-CONTEXT_BITS, WORD_BITS = 48, 32
+CONTEXT_BITS, WORD_BITS, SPREAD_BITS = 22, 26, 12
 _EXACT, _STEPS = 64, 16  # counts below _EXACT are exact codes; above, _STEPS codes for each doubling
 _BLOCK_BYTES = 8 << 20
 
@@ -43,33 +43,39 @@ def _unplanes(blob: bytes, dtype) -> np.ndarray:
 
 
 class Grams:
-    """The distinct n-grams of one order in one block, by shard, context and word, with the place of each token's n-gram.
+    """The distinct n-grams of one order in one block, by shard and key, with the place of each token's n-gram.
 
-    The shard is drawn from the context and the word's top byte: a context's successors are dealt over up to 256
-    shards, so a word that fills a third of the text is no hot shard. Order one has the word itself as its context.
+    A key is 22 bits of the context and 26 of the word, which tell a shard's n-grams apart: shards are of one size
+    (about a million and a half) however large the text, so a wrong match has a chance of some 1 in 10**8. The shard is
+    drawn from the context and the word's top 12 bits: a context's successors are dealt over up to 4096 shards, so a
+    word that fills a third of the text makes no shard hot. A single word has no context but its own further bits.
     """
 
     def __init__(self, tokens: np.ndarray, starts: np.ndarray, order: int, shards: int):
+        context = np.zeros(len(tokens), np.uint64)
+        before = tokens
+        for _ in range(order - 1):  # an n-gram does not reach back over its text's begin
+            before = np.concatenate(([BEGIN], before[:-1]))
+            before[starts] = BEGIN
+            context = mix(context * np.uint64(3) + before)
         if order == 1:
-            context, word = tokens, np.zeros(len(tokens), np.uint64)
-        else:
-            context, before = np.zeros(len(tokens), np.uint64), tokens
-            for _ in range(order - 1):  # an n-gram does not reach back over its text's begin
-                before = np.concatenate(([BEGIN], before[:-1]))
-                before[starts] = BEGIN
-                context = mix(context * np.uint64(3) + before)
-            word = tokens >> np.uint64(64 - WORD_BITS)
-        shard = (mix(context + (word >> np.uint64(WORD_BITS - 8)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(shards)
-        key = shard << np.uint64(CONTEXT_BITS) | context >> np.uint64(64 - CONTEXT_BITS)
-        order_ = np.argsort(key, kind="stable") if order == 1 else np.lexsort((word, key))
-        key, word = key[order_], word[order_]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (word[1:] != word[:-1]))) if len(key) else np.zeros(0, bool)
+            context = mix(tokens)
+        word = tokens >> np.uint64(64 - SPREAD_BITS - WORD_BITS) & np.uint64((1 << WORD_BITS) - 1)
+        spread = tokens >> np.uint64(64 - SPREAD_BITS)
+        shard = (mix(context + spread * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(shards)
+        key = context >> np.uint64(64 - CONTEXT_BITS) << np.uint64(WORD_BITS) | word
+        order_ = np.argsort(key)
+        if shards > 1:
+            small = shard.astype(np.uint16) if shards <= 65536 else shard
+            order_ = order_[np.argsort(small[order_], kind="stable")]
+        key, shard = key[order_], shard[order_]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]))) if len(key) else np.zeros(0, bool)
         self.first = np.flatnonzero(new)
         self.sorted_by = order_
         self.place = np.empty(len(tokens), np.int64)
         self.place[order_] = np.cumsum(new) - 1
-        self.context, self.word = key[self.first] & np.uint64((1 << CONTEXT_BITS) - 1), word[self.first]
-        self.cuts = np.searchsorted(key[self.first] >> np.uint64(CONTEXT_BITS), np.arange(shards + 1, dtype=np.uint64))
+        self.key = key[self.first]
+        self.cuts = np.searchsorted(shard[self.first], np.arange(shards + 1, dtype=np.uint64))
 
     def counts(self, weights: np.ndarray) -> np.ndarray:
         return np.add.reduceat(weights[self.sorted_by], self.first) if len(self.first) else np.zeros(0, np.int64)
@@ -117,11 +123,10 @@ def _emit(shards: int, order: int):
                     out = []
                     for s in np.flatnonzero(np.diff(grams.cuts)):
                         a, b = grams.cuts[s], grams.cuts[s + 1]
-                        context = grams.context[a:b]
-                        steps = np.concatenate((context[:1], np.diff(context)))
-                        out.append((row["block"], k, int(s), _planes(steps), _planes(grams.word[a:b].astype(np.uint32)) if k > 1 else b"", _planes(counts[a:b])))
+                        key = grams.key[a:b]
+                        out.append((row["block"], k, int(s), _planes(np.concatenate((key[:1], np.diff(key)))), _planes(counts[a:b])))
                     if out:
-                        yield pd.DataFrame(out, columns=["block", "level", "shard", "contexts", "words", "counts"])
+                        yield pd.DataFrame(out, columns=["block", "level", "shard", "keys", "counts"])
 
     return run
 
@@ -130,21 +135,23 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard of one order: add up its training counts, build its trie, and look up every block's n-grams."""
     level, shard = int(rows["level"].iloc[0]), int(rows["shard"].iloc[0])
     rows = rows.sort_values("block", kind="stable")
-    contexts = [np.cumsum(_unplanes(b, np.uint64), dtype=np.uint64) for b in rows["contexts"]]
-    words = [_unplanes(b, np.uint32).astype(np.uint64) if level > 1 else np.zeros(len(c), np.uint64) for b, c in zip(rows["words"], contexts)]
-    context, word = np.concatenate(contexts), np.concatenate(words)
+    keys = [np.cumsum(_unplanes(b, np.uint64), dtype=np.uint64) for b in rows["keys"]]
+    cuts = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+    key = np.concatenate(keys)
     count = np.concatenate([_unplanes(b, np.uint32) for b in rows["counts"]]).astype(np.int64)
-    seen = count > 0
-    context, word, count = context[seen], word[seen], count[seen]
-    order = np.lexsort((word, context))
-    context, word, count = context[order], word[order], count[order]
-    new = np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(context) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    count = np.add.reduceat(count, first) if len(first) else count
-    values = count.astype(np.uint32) if level == 1 else encode_counts(count)
-    trie = ContextTrie.build(context[first], word[first], values, 1 << CONTEXT_BITS, WORD_BITS if level > 1 else 1)
-    answers = [_planes(trie.lookup(c, w)) for c, w in zip(contexts, words)]
-    return pd.DataFrame({"block": rows["block"].to_numpy(), "level": level, "shard": shard, "codes": answers, "known": len(first) if level == 1 else 0})
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.add.reduceat(count[order], first)
+    context, word = key[first] >> np.uint64(WORD_BITS), key[first] & np.uint64((1 << WORD_BITS) - 1)
+    known = np.flatnonzero(count)
+    values = count[known].astype(np.uint32) if level == 1 else encode_counts(count[known])
+    trie = ContextTrie.build(context[known], word[known], values, 1 << CONTEXT_BITS, WORD_BITS)
+    found = trie.lookup(context, word)  # every distinct n-gram that some block asks for
+    codes = np.empty(len(key), found.dtype)
+    codes[order] = np.repeat(found, np.diff(np.concatenate((first, [len(key)]))))
+    answers = [_planes(codes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    return pd.DataFrame({"block": rows["block"].to_numpy(), "level": level, "shard": shard, "codes": answers, "known": len(known) if level == 1 else 0})
 
 
 def _score(order: int, shards: int, total: int, texts: int, distinct: int, strength: float):
@@ -186,8 +193,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, strength: float
     with A-Z in lower case, then one end; the words of a null or empty text are none, its end is scored. base_score is
     the add-one unigram log10 probability; score that of the n-gram model, which mixes each order's count with the lower
     order's probability: (c(hw) + strength * p(w | h')) / (c(h) + strength). It sums to one over the words and the
-    unknown word but for the quantised counts. Words are known by 64-bit hashes (at a billion distinct words, one pair
-    in 40 runs would clash), contexts by 48 bits within a shard.
+    unknown word but for the quantised counts. Words and n-grams are known by hashes, see ``Grams``.
 
     1. Texts become blocks of token numbers, one row each, in a stored table.
     2. Each block sends its distinct n-grams with their training counts to their shards, as sorted arrays. A shard is
@@ -208,7 +214,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, strength: float
     shards = max(1, -(-tokens // shard_grams))
     blocks = blocks.select("block", "ids", "nulls", "train", "sizes", "vocabulary", "numbers")
     with arrow_rows(docs.sparkSession, 4):
-        sent = blocks.mapInPandas(_emit(shards, order), "block long, level int, shard long, contexts binary, words binary, counts binary")
+        sent = blocks.mapInPandas(_emit(shards, order), "block long, level int, shard long, keys binary, counts binary")
         answers = sent.groupBy("level", "shard").applyInPandas(_answer, "block long, level int, shard long, codes binary, known long")
         answers = stash(answers, "lm-answers")
     each = answers.where("level = 1").groupBy("shard").agg(F.max("known").alias("n"))
