@@ -127,6 +127,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("doc_id"), pa.array([x for x, _ in blobs], pa.binary()), pa.array([w for _, w in blobs], pa.binary())], names=["doc_id", "shingles", "weights"])
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle as often as it occurs, numbered, as 32-bit hashes: common marks are the sum of the lesser weights."""
+    for part in text_slices(batches):
+        docs, shingles, weights = weighted_shingles(part.column("text"))
+        owner = np.repeat(docs, weights)
+        ends = np.cumsum(weights)
+        number = np.arange(len(owner)) - np.repeat(ends - weights, weights)
+        marks = (mix(np.repeat(shingles, weights) + number.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        cuts = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
+        yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(marks))], names=["doc_id", "marks"])
+
+
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Sum of the lesser over sum of the greater weights; shingles sorted and distinct."""
     if not len(a) or not len(b):
@@ -152,13 +164,22 @@ def _similar_registers(x: str, y: str):
     return same >= AGREE
 
 
+def _similar_marks(x: str, y: str):
+    """Whether the marks may be as similar as LEAST; a few of 32 bits may clash, so the bound is a little lower."""
+    least = LEAST - 0.01  # common >= least * (|x| + |y| - common)
+    return F.size(F.array_intersect(x, y)) * (1.0 + least) >= least * (F.size(x) + F.size(y))
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    small = ids.count() <= BROADCAST_IDS  # else Spark shuffles the texts by id
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) with their exact similarity, computed from the whole texts of their documents."""
     pairs = stash(pairs, "near-candidates")
     need = stash(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-needed")
-    small = need.count() <= BROADCAST_IDS  # else Spark shuffles the texts by id
-    texts = docs.join(F.broadcast(need) if small else need, "doc_id", "left_semi")
-    sets = stash(texts.mapInArrow(_sets, "doc_id long, shingles binary, weights binary").dropDuplicates(["doc_id"]), "near-sets")
+    sets = stash(_texts_of(docs, need).mapInArrow(_sets, "doc_id long, shingles binary, weights binary").dropDuplicates(["doc_id"]), "near-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
     if (sets.agg(F.sum(F.length("shingles") + F.length("weights"))).head()[0] or 0) <= BROADCAST_BYTES:
@@ -180,7 +201,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        different in each band, never with all: that joins most of each class.
     3. What is left: pairs in one bucket whose classes still differ. The join returns a pair in its first common bucket
        only, and only if it may reach 0.8: by the triangle inequality over the known distances to the bucket's two
-       members of step 2, and by registers. So dissimilar members of a large bucket make no rows.
+       members of step 2, by registers, and by hashes of the whole weighted sets. So dissimilar members of a large
+       bucket make no rows.
     4. Candidates are verified on the shingle sets of the whole texts; components close the classes.
     """
     named = columns_of(docs, id_col, text_col).where(F.col(id_col).isNotNull())
@@ -215,13 +237,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         same = (F.least("node", leader) == F.col("_a")) & (F.greatest("node", leader) == F.col("_b"))
         open_ = open_.join(known, same, "left").withColumn(f"d{leader}", F.when(F.col("node") == F.col(leader), 0.0).otherwise(F.col("_d"))).drop("_a", "_b", "_d")
     open_ = stash(open_.select("node", "band", "component", "dp", "dq").join(banded, "node"), "near-open")
+    members = stash(open_.select(F.col("node").alias("doc_id")).distinct(), "near-members")
+    marked = _texts_of(named, members).mapInArrow(_marks, "doc_id long, marks array<int>").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    open_ = open_.join(marked, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.array_position("bands", F.col("band")).cast("int") - 1))
+    open_ = stash(open_.drop("bands"), "near-marked")
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
     for leader in ("dp", "dq"):  # Jaccard distance is a metric
         apart &= F.coalesce(F.abs(F.col(f"x.{leader}") - F.col(f"y.{leader}")) <= 1.0 - LEAST + 1e-9, F.lit(True))
-    here = F.array_position("x.bands", F.col("x.band"))
-    earlier = F.exists(F.arrays_zip(F.slice("x.bands", F.lit(1), (here - 1).cast("int")).alias("p"), F.slice("y.bands", F.lit(1), (here - 1).cast("int")).alias("q")), lambda t: t["p"] == t["q"])
-    rest = x.join(y, apart & ~earlier & _similar_registers("x.registers", "y.registers")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    apart &= ~F.exists(F.zip_with("x.earlier", "y.earlier", lambda p, q: p.eqNullSafe(q)), lambda same: same)  # the first common band only
+    rest = x.join(y, apart & _similar_registers("x.registers", "y.registers") & _similar_marks("x.marks", "y.marks")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     second = stash(_verified(named, rest.join(first.select("a", "b"), ["a", "b"], "left_anti")), "near-links")
     links = links.unionByName(second.where(F.col("similarity") >= LEAST))
     comps = stash(components(links), "near-components")
