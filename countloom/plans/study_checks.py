@@ -1,16 +1,75 @@
 """Queries for sources, key checks and subsets (S, V)."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
-from countloom.functions.ranking import hash_sample, tie_positions
+from countloom.functions.ranking import hash_sample, ordered_positions, tie_positions
 from countloom.operators import checks
 from countloom.plans import views as v
 from countloom.plans.catalog import query
+from countloom.session import scratch_path
 from countloom.sources import tables
 
 KEY = "substr(md5('7:' || CAST({0} AS VARCHAR)), 1, 15)"
 
 
+@query("s01_matrix_market", """
+SELECT 'o' || l_orderkey AS cell_id, 'p' || l_partkey AS gene_id, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2""")
+def _(spark, sf):
+    """Lines of a Matrix Market directory made from the line items, in any order, with comments and an empty line."""
+    li, orders, part = (v.table(spark, sf, t) for t in ("lineitem", "orders", "part"))
+    n_cells, n_genes, n_lines = (t.agg(F.count(F.lit(1)).alias("n")).scalar() for t in (orders, part, li))
+    place = {}
+    for name, t, key in (("cell", orders, "o_orderkey"), ("gene", part, "p_partkey")):
+        place[name] = ordered_positions(t.select(F.col(key).alias(name)), name).select(name, (F.col("n_below") + 1).cast("long").alias("position"))
+    barcodes = place["cell"].select(F.concat(F.lit("o"), F.col("cell").cast("string")).alias("line"), "position")
+    features = place["gene"].select(F.concat_ws("\t", F.concat(F.lit("p"), F.col("gene").cast("string")), F.lit("name"), F.lit("Gene Expression")).alias("line"), "position")
+    at = li.join(place["cell"].withColumnRenamed("position", "c"), F.col("l_orderkey") == F.col("cell")).join(place["gene"].withColumnRenamed("position", "g"), F.col("l_partkey") == F.col("gene"))
+    entries = at.select(F.concat_ws(" ", "g", "c", F.col("l_quantity").cast("long")).alias("line"), (F.xxhash64("l_orderkey", "l_linenumber").bitwiseAND(F.lit((1 << 62) - 1)) + 10).alias("position"))
+    top = [(1, F.lit("%%MatrixMarket matrix coordinate integer general")), (2, F.lit("% made from line items")), (3, F.lit(" ")), (4, F.concat_ws(" ", n_genes, n_cells, n_lines))]
+    head = v.table(spark, sf, "region").where("r_regionkey = 0").select(F.inline(F.array(*[F.struct(line.alias("line"), F.lit(k).cast("long").alias("position")) for k, line in top])))
+    counts, _cells, _genes = tables.parse_matrix_market(entries.unionByName(head), barcodes, features)
+    return counts
+
+
+@query("s03_reference_tables", "SELECT k.kind, CAST(p_partkey AS BIGINT) AS p_partkey, p_name, p_retailprice FROM part, (VALUES ('csv'), ('tsv'), ('jsonl'), ('parquet')) k(kind)")
+def _(spark, sf):
+    """The part table written in each format and read back."""
+    p = v.table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
+    out = None
+    for kind in ("csv", "tsv", "jsonl", "parquet"):
+        path = scratch_path(spark, f"parts.{kind}")
+        writer = p.write.option("header", True).option("sep", "\t" if kind == "tsv" else ",")
+        {"csv": writer.csv, "tsv": writer.csv, "jsonl": p.write.json, "parquet": p.write.parquet}[kind](path)
+        read = tables.read_reference_table(spark, path).select(F.lit(kind).alias("kind"), F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", F.col("p_retailprice").cast("double").alias("p_retailprice"))
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
+@query("s04_run_event_reader", """
+SELECT CAST(user_id AS VARCHAR) AS log, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, round(abs(value), 6) AS elapsed FROM events""")
+def _(spark, sf):
+    """Events as JSON-lines logs, one file per user, every third one cut off in the middle of a last line."""
+    e = v.table(spark, sf, "events")
+    number = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    text = F.to_json(F.struct(F.lit("run").alias("run_id"), F.lit("study").alias("study_id"), F.col("n").alias("sequence"), F.abs("value").alias("elapsed_seconds"), F.lit("task").alias("kind"), F.col("event_id").cast("string").alias("task_id")))
+    lines = e.withColumn("n", number).select(F.col("user_id").alias("log"), "n", text.alias("value"))
+    cut = lines.where("log % 3 = 0").groupBy("log").agg((F.max("n") + 1).alias("n"), F.lit('{"run_id": "ru').alias("value"))
+    path = scratch_path(spark, "logs")
+    lines.unionByName(cut).repartition("log").sortWithinPartitions("log", "n").drop("n").write.partitionBy("log").text(path)
+    found = tables.read_run_events(spark, path)
+    return found.select(F.regexp_extract("log", "log=(\\d+)", 1).alias("log"), F.col("task_id").cast("long").alias("event_id"), F.col("sequence").cast("long").alias("sequence"), F.round("elapsed_seconds", 6).alias("elapsed"))
+
+
+@query("s05_versioned_sink", "SELECT k.version, c_custkey, c_acctbal + (k.version - 1) AS c_acctbal FROM customer, (VALUES (1), (2)) k(version)")
+def _(spark, sf):
+    """The customers written as two versions; both are read back from the paths the sink returned."""
+    c = v.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    base = scratch_path(spark, "versions")
+    paths = [tables.write_version(c, base), tables.write_version(c.withColumn("c_acctbal", F.col("c_acctbal") + 1), base)]
+    read = [spark.read.parquet(p).withColumn("version", F.regexp_extract(F.lit(p), "v(\\d+)$", 1).cast("int")) for p in paths]
+    return read[0].unionByName(read[1])
+
+
 @query("s02_completed_cells", v.with_ctes(v.COUNTS, v.CELLS) + """
 SELECT c.cell_id, CAST(coalesce(sum(value), 0) AS BIGINT) AS n_counts, count(value) AS n_genes
 FROM cells c LEFT JOIN counts USING (cell_id) GROUP BY 1""")

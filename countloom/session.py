@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,18 @@ def local_session(app: str = "countloom", cores: str = "8") -> SparkSession:
     )
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that ``spark.checkpoint.dir`` names, deleted when the file system closes."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="countloom-files-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path.getParent())
+    return path.toString()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 

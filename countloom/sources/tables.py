@@ -43,34 +43,46 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_matrix_market(spark: SparkSession, folder: str, partitions: int | None = None):
     """Read ``matrix``, ``barcodes`` and ``features`` files into (counts, cells, genes).
 
-    The matrix is features by barcodes. Shape, ids and values are checked with
-    one aggregate per table. A compressed matrix is read by one task and then
-    spread over ``partitions``.
+    A compressed matrix is read by one task and then spread over ``partitions``.
     """
     matrix = _first_existing(spark, folder, ["matrix.mtx", "matrix.mtx.gz"])
-    cells = _numbered_lines(spark, _first_existing(spark, folder, ["barcodes.tsv", "barcodes.tsv.gz"])).select(
-        F.col("line").alias("cell_id"), F.col("position").alias("cell_index")
+    placed = _placed_lines(spark, matrix).select("line", F.struct("_block", "_row").alias("position"))
+    if matrix.endswith(".gz"):
+        placed = placed.repartition(partitions or spark.sparkContext.defaultParallelism)
+    return parse_matrix_market(
+        placed, _numbered_lines(spark, _first_existing(spark, folder, ["barcodes.tsv", "barcodes.tsv.gz"])),
+        _numbered_lines(spark, _first_existing(spark, folder, ["features.tsv", "features.tsv.gz", "genes.tsv", "genes.tsv.gz"])),
     )
+
+
+def parse_matrix_market(matrix: DataFrame, barcodes: DataFrame, features: DataFrame):
+    """(counts, cells, genes) from the lines of the three files, each with its ``position`` in the file.
+
+    The matrix is features by barcodes; positions of its lines need only be
+    ordered, those of the others count from 1. Shape, ids and values are checked
+    with one aggregate per table. Values are long where the banner says integer.
+    """
+    cells = barcodes.select(F.col("line").alias("cell_id"), F.col("position").alias("cell_index"))
     tabs = F.split("line", "\t")
-    genes = _numbered_lines(
-        spark, _first_existing(spark, folder, ["features.tsv", "features.tsv.gz", "genes.tsv", "genes.tsv.gz"])
-    ).select(
+    genes = features.select(
         tabs.getItem(0).alias("gene_id"),
         F.when(F.size(tabs) > 1, tabs.getItem(1)).otherwise(F.split(F.trim("line"), r"\s+").getItem(0)).alias("gene_name"),
         F.col("position").alias("gene_index"),
     )
-    body = _placed_lines(spark, matrix).where(~F.col("line").startswith("%") & (F.trim("line") != ""))
-    head = body.where(F.col("_block") == 0).first()
-    if head is None:
+    lines = matrix.where(F.trim("line") != "")
+    comment = F.col("line").startswith("%")
+    body = lines.where(~comment)
+    head = lines.agg(F.min_by("line", "position").alias("banner"), F.min_by(F.when(~comment, F.col("line")), F.when(~comment, F.col("position"))).alias("size")).head()
+    if head is None or head["size"] is None:
         raise ValueError("Matrix Market file has no size line")
-    n_rows, n_cols, n_stored = (int(v) for v in head["line"].split()[:3])
+    n_rows, n_cols, n_stored = (int(v) for v in head["size"].split()[:3])
+    kind = "long" if "integer" in head["banner"].lower().split() else "double"
     part = F.split(F.trim("line"), r"\s+")
-    entries = body.where(F.col("_row") != head["_row"]).select(
+    size_line = body.agg(F.min("position").alias("p")).scalar()
+    entries = body.where(F.col("position") != size_line).select(
         part.getItem(0).cast("long").alias("gene_index"), part.getItem(1).cast("long").alias("cell_index"),
         part.getItem(2).cast("double").alias("value"),
     )
-    if matrix.endswith(".gz"):
-        entries = entries.repartition(partitions or spark.sparkContext.defaultParallelism)
     seen_cells = cells.agg(F.count(F.lit(1)), F.countDistinct("cell_id")).first()
     seen_genes = genes.agg(F.count(F.lit(1)), F.countDistinct("gene_id")).first()
     if (n_rows, n_cols) != (seen_genes[0], seen_cells[0]):
@@ -88,7 +100,7 @@ def read_matrix_market(spark: SparkSession, folder: str, partitions: int | None
     counts = (
         entries.join(genes.select("gene_id", "gene_index"), "gene_index")
         .join(cells, "cell_index").where(F.col("value") != 0)
-        .groupBy("cell_id", "gene_id").agg(F.sum("value").alias("value"))
+        .groupBy("cell_id", "gene_id").agg(F.sum("value").cast(kind).alias("value"))
     )
     return counts, cells, genes
 
