@@ -104,3 +104,70 @@ def op4_lm_scoring(spark, sf):
 
     found = score_texts(_table(spark, sf, "documents"), ~held_out("doc_id", 7, 2))
     return found.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), *[F.col(c) for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score")])
+
+
+def crawl_records(pages):
+    """A crawl log over the pages: each page in full, a later not-modified visit to it under another spelling of its URL, and
+    a not-modified visit to its host's front page; every fiftieth page also answers for its host's front page."""
+    from pyspark.sql import functions as F
+
+    i, tag = F.col("page_id"), F.md5(F.coalesce("html", F.lit("")))
+    host = F.regexp_extract(F.col("url"), r"^[^/]*//([^/?#]*)", 1)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    def rows(kind, url, seconds, full, headers):
+        pairs = [x for k, v in headers.items() for x in (F.lit(k), v)]
+        given = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+        return pages.select(text(kind, i).alias("record_id"), url.alias("url"), F.timestamp_seconds(i * 3600 + seconds).alias("date"), F.lit(full).alias("is_response"), given.alias("headers"), F.col("html" if full else "url").alias("payload"))
+
+    later = F.when(i % 5 == 0, '"other"').when(i % 5 > 1, text('W/"', tag, '"'))
+    page = rows("page-", F.col("url"), 0, True, {"etag": text('"', tag, '"'), "content-type": F.lit("text/html"), "date": text("d", i), "last-modified": text("m", i), "cache-control": F.lit("max-age=60")})
+    again = rows("again-", F.concat(F.regexp_replace("url", "^https?", "HTTP"), F.lit("#again")), 432_000, False, {"etag": later, "last-modified": F.when(i % 5 == 1, text("m", i)), "cache-control": F.lit("max-age=90"), "content-length": F.lit("0"), "date": text("d", i + 5)})
+    visit = rows("visit-", F.concat(F.lit("http://www."), F.upper(host), F.lit(":80/?utm_source=x")), 1800, False, {"etag": F.lit('"f0"'), "x-cache": F.lit("hit")})
+    front = rows("front-", F.concat(F.lit("https://"), host), 0, True, {"etag": text('"f', i % 100, '"'), "content-type": F.lit("text/html")}).where(F.regexp_extract("record_id", r"(\d+)$", 1).cast("long") % 50 == 0)
+    return page.unionByName(again).unionByName(visit).unionByName(front)
+
+
+@_query
+def op6_revisits(spark, sf):
+    from pyspark.sql import functions as F
+
+    from countloom.llm.revisits import header_lines, resolve_revisits, with_payload
+
+    records = crawl_records(_table(spark, sf, "pages"))
+    found = with_payload(resolve_revisits(records), records.where("is_response").select("record_id", "payload"))
+    return found.select("record_id", "canonical", "is_response", "response_id", "status", header_lines("headers").alias("headers"), F.length("payload").cast("long").alias("n_chars"))
+
+
+ORACLES["op6_revisits"] = r"""
+WITH p AS (SELECT page_id AS i, url, html, md5(coalesce(html, '')) AS tag, regexp_extract(url, '^[^/]*//([^/?#]*)', 1) AS host FROM pages),
+r AS (
+    SELECT 'page-' || i AS record_id, url, i * 3600 AS t, true AS is_response, '"' || tag || '"' AS etag, 'm' || i AS modified, 'd' || i AS d, 'max-age=60' AS cache, 'text/html' AS kind, NULL AS size, NULL AS hit, html FROM p
+    UNION ALL SELECT 'again-' || i, regexp_replace(url, '^https?', 'HTTP') || '#again', i * 3600 + 432000, false, CASE WHEN i % 5 = 0 THEN '"other"' WHEN i % 5 > 1 THEN 'W/"' || tag || '"' END, CASE WHEN i % 5 = 1 THEN 'm' || i END, 'd' || (i + 5), 'max-age=90', NULL, '0', NULL, NULL FROM p
+    UNION ALL SELECT 'visit-' || i, 'http://www.' || upper(host) || ':80/?utm_source=x', i * 3600 + 1800, false, '"f0"', NULL, NULL, NULL, NULL, NULL, 'hit', NULL FROM p
+    UNION ALL SELECT 'front-' || i, 'https://' || host, i * 3600, true, '"f' || (i % 100) || '"', NULL, NULL, NULL, 'text/html', NULL, NULL, html FROM p WHERE i % 50 = 0
+),
+b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS bare FROM r),
+c AS (
+    SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS h, regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|ref)(=.*)?$'))), '&') AS q
+    FROM b
+),
+u AS (SELECT *, h || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM c),
+a AS (
+    SELECT *, last_value(CASE WHEN is_response THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY t, is_response, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM u
+),
+j AS (
+    SELECT a.*, f.etag AS fe, f.modified AS fm, f.d AS fd, f.cache AS fc, f.kind AS fk, f.html AS fh,
+        CASE WHEN a.is_response THEN 'response' WHEN a.before IS NULL THEN 'no_earlier_response'
+            WHEN a.etag IS NOT NULL AND f.etag IS NOT NULL THEN CASE WHEN regexp_replace(a.etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') THEN 'resolved' ELSE 'validator_mismatch' END
+            WHEN a.modified IS NOT NULL AND f.modified IS NOT NULL THEN CASE WHEN a.modified = f.modified THEN 'resolved' ELSE 'validator_mismatch' END ELSE 'no_validator' END AS status
+    FROM a LEFT JOIN u f ON f.record_id = a.before AND NOT a.is_response
+)
+SELECT record_id, canonical, is_response, CASE WHEN is_response THEN record_id ELSE before END AS response_id, status,
+    CASE WHEN status = 'resolved' THEN concat_ws(chr(10), 'cache-control: ' || coalesce(cache, fc), 'content-type: ' || fk, 'date: ' || coalesce(d, fd), 'etag: ' || coalesce(etag, fe), 'last-modified: ' || coalesce(modified, fm))
+        ELSE concat_ws(chr(10), 'cache-control: ' || cache, 'content-length: ' || size, 'content-type: ' || kind, 'date: ' || d, 'etag: ' || etag, 'last-modified: ' || modified, 'x-cache: ' || hit) END AS headers,
+    CASE WHEN is_response THEN length(html) WHEN status = 'resolved' THEN length(fh) END AS n_chars
+FROM j
+"""
