@@ -12,8 +12,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import functions as F
 
-from countloom.llm import boosting, components, decontamination, elias_fano, exact_dedup, html_text, language_id, lm_scoring, mixing, near_dedup, quality, textarrays, token_counts
+from countloom.llm import boosting, components, decontamination, elias_fano, exact_dedup, html_text, language_id, lm_scoring, mixing, near_dedup, quality, revisits, textarrays, token_counts
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -256,8 +257,6 @@ def test_scores_equal_counts(spark, order):
 
 
 def test_scores_of_odd_input(spark, odd, none):
-    from pyspark.sql import functions as F
-
     got = as_dicts(lm_scoring.score_texts(odd, F.col("doc_id") != 5))
     assert len(got) == odd.count() and all(r["n_tokens"] >= 1 and r["score"] <= 0 for r in got)
     assert next(r for r in got if r["doc_id"] == 1)["n_tokens"] == 1
@@ -307,6 +306,40 @@ def test_language_held_out_and_odd(spark, odd, none):
     assert kept.columns == odd.columns and not {1, 2, 3, 4} & {r["doc_id"] for r in kept.collect()} and kept.where("doc_id IN (5, 6, 7, 8)").count() == 5
 
 
+# 6 revisits
+
+
+def test_canonical_urls(spark):
+    cases = {
+        "HTTP://WWW.Example.com:80/a/?b=2&a=1&utm_source=x#f": "example.com/a?a=1&b=2", "https://example.com": "example.com/", "example.com?ref=q": "example.com/", " https://e.org:8080/A/B// ": "e.org:8080/A/B",
+        "": "/", None: None, "https://e.org/x?utm=1&&gclid": "e.org/x?utm=1",
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "url string").withColumn("c", revisits.canonical_url(F.col("url"))).collect()
+    assert {r["url"]: r["c"] for r in rows} == cases
+
+
+def test_revisits_of_odd_input(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    at = lambda h: None if h is None else t0 + timedelta(hours=h)
+    rows = [
+        ("r1", "http://a.org/", 0, True, {"etag": '"1"', "content-type": "text/html", "cache-control": "x"}), ("r2", "https://www.a.org", 5, True, {"last-modified": "m"}), ("r2", "https://www.a.org", 5, True, {"last-modified": "m"}),
+        ("v1", "http://A.org/#x", 3, False, {"etag": 'W/"1"', "cache-control": "y", "content-length": "0"}), ("v2", "http://a.org", 0, False, {"etag": '"1"'}), ("v3", "http://a.org", 5, False, {"etag": '"2"'}),
+        ("v4", "http://a.org", 9, False, {"last-modified": "m"}), ("v5", "http://a.org", 9, False, None), ("v6", None, 9, False, {}), ("v7", "http://a.org", None, None, {"etag": "e"}), ("v8", "http://b.org", 9, False, {}),
+        (None, "http://a.org", 9, False, {}), ("v9", "http://a.org", 9, False, {"last-modified": "n"}), ("v9", "http://a.org", 9, False, {"last-modified": "n"}),
+    ]
+    frame = spark.createDataFrame([(i, u, at(h), f, m, "z") for i, u, h, f, m in rows], "record_id string, url string, date timestamp, is_response boolean, headers map<string,string>, status string")
+    got = as_dicts(revisits.resolve_revisits(frame))
+    assert len(got) == len(rows)
+    assert {(r["record_id"], r["response_id"], r["status"]) for r in got} == {
+        ("r1", "r1", "response"), ("r2", "r2", "response"), ("v1", "r1", "resolved"), ("v2", None, "no_earlier_response"), ("v3", "r1", "validator_mismatch"), ("v4", "r2", "resolved"), ("v5", "r2", "no_validator"),
+        ("v6", None, "no_earlier_response"), ("v7", None, "no_earlier_response"), ("v8", None, "no_earlier_response"), (None, None, "no_earlier_response"), ("v9", "r2", "validator_mismatch"),
+    }
+    assert next(r for r in got if r["record_id"] == "v1")["headers"] == {"etag": 'W/"1"', "content-type": "text/html", "cache-control": "y"}
+    assert revisits.resolve_revisits(frame.limit(0)).count() == 0
+
+
 # 7 near duplicates
 
 
