@@ -179,9 +179,27 @@ def is_derived_column(name: str) -> bool:
     )
 
 
-def drop_derived_columns(cells: DataFrame, keep: list[str] | None = None) -> DataFrame:
+# Gene-table columns that earlier analyses leave behind, by name and by the start of the name.
+DERIVED_GENE_EXACT = ["variance_log1p", "means", "dispersions", "dispersions_norm"]
+DERIVED_GENE_COMPACT_PREFIX = "highlyvariable"
+DERIVED_GENE_PREFIX = ["velocity_", "fit_"]
+
+
+def is_derived_gene_column(name: str) -> bool:
+    """The same for a column of the gene table."""
+    low = name.lower()
+    compact = re.sub(r"[^a-z0-9]", "", low)
+    return low in DERIVED_GENE_EXACT or compact.startswith(DERIVED_GENE_COMPACT_PREFIX) or low.startswith(tuple(DERIVED_GENE_PREFIX))
+
+
+def drop_derived_gene_columns(genes: DataFrame) -> DataFrame:
+    return genes.select(*[c for c in genes.columns if not is_derived_gene_column(c)])
+
+
+def drop_derived_columns(cells: DataFrame, keep: list[str] | None = None, labels: list[str] = ()) -> DataFrame:
+    """``labels`` names cell-type columns to leave out as well, for a study that does not use the labels it was given."""
     keep = keep or []
-    return cells.select(*[c for c in cells.columns if c in keep or not is_derived_column(c)])
+    return cells.select(*[c for c in cells.columns if c in keep or not (is_derived_column(c) or c in labels)])
 
 
 def subset_by_label(cells: DataFrame, label: str, column: str = "cell_type") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from countloom.functions.ranking import benjamini_hochberg, ordered_positions
+from countloom.functions.tails import normal_quantile
 from countloom.session import cut_lineage
 
 # Verbs that claim a cause.
@@ -229,6 +230,40 @@ def admit_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+def _close(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= 1e-8 + 1e-6 * F.abs(b)
+
+
+def audit_intervals(results: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row: are the intervals ``effect -/+ z * se``, with no negative standard error? Rows with a missing part are passed over."""
+    z = normal_quantile(1.0 - alpha / 2.0)
+    low, high, se, effect = (F.col(c).try_cast("double") for c in ("ci_low", "ci_high", "lfc_se", "log2_fold_change"))
+    whole = results.where(low.isNotNull() & high.isNotNull() & se.isNotNull() & effect.isNotNull())
+    out = whole.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(se < 0).alias("n_negative_se"),
+        F.count_if(~_close(low, effect - z * se)).alias("n_wrong_low"), F.count_if(~_close(high, effect + z * se)).alias("n_wrong_high"),
+    )
+    return out.withColumn("passed", F.col("n_negative_se") + F.col("n_wrong_low") + F.col("n_wrong_high") == 0)
+
+
+def audit_statistics(results: DataFrame) -> DataFrame:
+    """One row: values out of range, adjusted values without a raw one, and missing values that no status explains.
+
+    ``results`` has p_value, fdr_q_value, status and status_reason.
+    """
+    p, q = F.col("p_value").try_cast("double"), F.col("fdr_q_value").try_cast("double")
+    gap = lambda c: c.isNull() | F.isnan(c)
+    infinite = lambda c: F.abs(c) == float("inf")
+    explainable = F.coalesce(F.col("status").isin("not_estimated", "estimated_fdr_missing", "skipped"), F.lit(False))
+    silent = F.trim(F.coalesce("status_reason", F.lit(""))) == ""
+    out = results.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~gap(p) & ~p.between(0, 1)).alias("n_p_out_of_range"), F.count_if(~gap(q) & ~q.between(0, 1)).alias("n_q_out_of_range"),
+        F.count_if(infinite(p) | infinite(q)).alias("n_infinite"), F.count_if(~gap(q) & gap(p)).alias("n_q_without_p"), F.count_if(explainable & silent).alias("n_without_reason"),
+        F.count_if(gap(p) & ~explainable).alias("n_unmarked_p"), F.count_if(gap(q) & ~explainable).alias("n_unmarked_q"),
+    )
+    return out.withColumn("passed", sum((F.col(c) for c in out.columns[1:]), F.lit(0)) == 0)
+
+
 def audit_table(df: DataFrame, numeric: list[str], nullable: list[str] = (), fdr: str | None = None, moran: str | None = None, geary: str | None = None, score: str | None = None) -> DataFrame:
     """Check rows of one result table from a single aggregate: emptiness, finite values and value ranges."""
     def bad(c, allow_null):

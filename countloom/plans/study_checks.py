@@ -213,6 +213,19 @@ def _(spark, sf):
     return checks.drop_derived_columns(full)
 
 
+@query("v07_genes", v.with_ctes(v.GENES) + "SELECT gene_id, gene_name, brand, size, size + 1 AS \"mean_size\" FROM genes")
+def _(spark, sf):
+    full = v.genes(spark, sf).select("gene_id", "gene_name", "brand", "size", (F.col("size") + 1).alias("mean_size")).withColumns({
+        "Means": F.lit(0.1), "variance_log1p": F.lit(0.2), "dispersions_norm": F.lit(0.3), "highly_variable_rank": F.lit(1), "Velocity_r2": F.lit(0.4), "fit_alpha": F.lit(0.5),
+    })
+    return checks.drop_derived_gene_columns(full)
+
+
+@query("v07_cell_labels", v.with_ctes(v.CELLS) + "SELECT cell_id, donor, condition, batch, nation FROM cells")
+def _(spark, sf):
+    return checks.drop_derived_columns(v.cells(spark, sf), labels=["cluster"])
+
+
 @query("v08_label_subset", v.with_ctes(v.CELLS) + "SELECT cell_id, cluster FROM cells WHERE lower(cluster) = '1-urgent'")
 def _(spark, sf):
     return checks.subset_by_label(v.cells(spark, sf), "1-Urgent", "cluster").select("cell_id", "cluster")

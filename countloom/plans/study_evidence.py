@@ -183,6 +183,38 @@ def _(spark, sf):
     return ev.audit_table(r, ["value", "q"], nullable=["q"], fdr="q", moran="moran", geary="geary")
 
 
+@query("e08_intervals", """
+WITH r AS (SELECT event_id AS i, value - 20 AS effect, CASE WHEN event_id % 41 = 0 THEN -value / 50 WHEN event_id % 29 = 0 THEN NULL ELSE value / 50 END AS se FROM events),
+c AS (SELECT *, effect - 1.959963984540054::DOUBLE * se + CASE WHEN i % 23 = 0 THEN 0.01 ELSE 0 END AS lo, effect + 1.959963984540054::DOUBLE * se - CASE WHEN i % 19 = 0 THEN 0.01 ELSE 0 END AS hi FROM r WHERE se IS NOT NULL)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE se < 0) AS n_negative_se, count(*) FILTER (WHERE i % 23 = 0) AS n_wrong_low, count(*) FILTER (WHERE i % 19 = 0) AS n_wrong_high,
+  count(*) FILTER (WHERE se < 0 OR i % 23 = 0 OR i % 19 = 0) = 0 AS passed FROM c""")
+def _(spark, sf):
+    i = F.col("event_id")
+    r = v.table(spark, sf, "events").select(i, (F.col("value") - 20).alias("log2_fold_change"), F.when(i % 41 == 0, -F.col("value") / 50).when(i % 29 != 0, F.col("value") / 50).alias("lfc_se"))
+    z = 1.959963984540054 * F.col("lfc_se")
+    low = F.col("log2_fold_change") - z + F.when(i % 23 == 0, 0.01).otherwise(0.0)
+    return ev.audit_intervals(r.withColumns({"ci_low": low, "ci_high": F.col("log2_fold_change") + z - F.when(i % 19 == 0, 0.01).otherwise(0.0)}))
+
+
+@query("e08_statistics", """
+WITH r AS (SELECT CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 37 = 0 THEN 1.5 ELSE value / 1000 END AS p,
+  CASE WHEN event_id % 11 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 53 = 0 THEN 'infinity'::DOUBLE WHEN event_id % 43 = 0 THEN -0.1 ELSE value / 900 END AS q,
+  CASE WHEN event_id % 26 = 0 THEN 'not_estimated' WHEN event_id % 22 = 0 THEN 'estimated_fdr_missing' ELSE 'tested' END AS status, CASE WHEN event_id % 4 = 0 THEN 'too few donors' WHEN event_id % 4 = 1 THEN ' ' END AS reason FROM events),
+g AS (SELECT *, p IS NULL AS gp, isnan(q) AS gq, status <> 'tested' AS ex FROM r),
+n AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT gp AND (p < 0 OR p > 1)) AS n_p_out_of_range, count(*) FILTER (WHERE NOT gq AND (q < 0 OR q > 1)) AS n_q_out_of_range, count(*) FILTER (WHERE NOT gq AND isinf(q)) AS n_infinite,
+  count(*) FILTER (WHERE NOT gq AND gp) AS n_q_without_p, count(*) FILTER (WHERE ex AND trim(coalesce(reason, '')) = '') AS n_without_reason, count(*) FILTER (WHERE gp AND NOT ex) AS n_unmarked_p, count(*) FILTER (WHERE gq AND NOT ex) AS n_unmarked_q FROM g)
+SELECT *, n_p_out_of_range + n_q_out_of_range + n_infinite + n_q_without_p + n_without_reason + n_unmarked_p + n_unmarked_q = 0 AS passed FROM n""")
+def _(spark, sf):
+    i = F.col("event_id")
+    r = v.table(spark, sf, "events").select(
+        F.when(i % 13 == 0, None).when(i % 37 == 0, 1.5).otherwise(F.col("value") / 1000).alias("p_value"),
+        F.when(i % 11 == 0, float("nan")).when(i % 53 == 0, float("inf")).when(i % 43 == 0, -0.1).otherwise(F.col("value") / 900).alias("fdr_q_value"),
+        F.when(i % 26 == 0, "not_estimated").when(i % 22 == 0, "estimated_fdr_missing").otherwise("tested").alias("status"),
+        F.when(i % 4 == 0, "too few donors").when(i % 4 == 1, " ").alias("status_reason"),
+    )
+    return ev.audit_statistics(r)
+
+
 @query("e08_recomputed_adjustment", v.with_ctes(v.COUNTS, v.CELLS, v.GENES, PAIRS, BULK, CPM, *WELCH, *DE) + """
 , s AS (SELECT *, CASE WHEN gene_id % 50 = 0 THEN fdr_q_value * 0.01 ELSE fdr_q_value END AS stored FROM de)
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE abs(stored - fdr_q_value) > 1e-9) AS n_wrong_q, count(*) FILTER (WHERE (stored < 0.05) <> (fdr_q_value < 0.05)) AS n_wrong_decision,
