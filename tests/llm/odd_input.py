@@ -1,11 +1,7 @@
-import sys
-from pathlib import Path
+"""Tables of odd rows, shared by the tests of this folder."""
 
 import pytest
-
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
-from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="session")

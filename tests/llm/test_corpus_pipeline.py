@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 from compare import compare, oracle_connection
-from test_operators import brute_classes, brute_contaminated
+from test_training_data import brute_classes, brute_contaminated
 
 from countloom.llm.queries import ORACLES, QUERIES
 

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
+from odd_input import none, odd  # noqa: F401
 from pyspark.sql import functions as F
 
 from countloom.llm import boosting, components, decontamination, elias_fano, exact_dedup, html_text, language_id, lm_scoring, mixing, near_dedup, quality, revisits, textarrays, token_counts
