@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from countloom.operators import checks, donor_stats as ds, embed, evidence as ev, markers, neighbors, normalize, ordering, partitions as pt
+from countloom.functions.ranking import ordered_positions
+from countloom.operators import checks, donor_stats as ds, embed, evidence as ev, genesets, markers, neighbors, normalize, ordering, partitions as pt
 from countloom.operators import pairs, qc, reconcile as rc, sensitivity as sens, signatures as sg, spatial as sx
 
 
@@ -380,3 +381,47 @@ def test_soft_assignment_is_a_distribution(spark):
     cells = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "cell_id long, state string")
     out = sg.state_transitions(sg.soft_assignment(values, cells)).groupBy("from_state").agg(F.sum("probability").alias("s"))
     assert all(r["s"] == pytest.approx(1.0) for r in out.collect())
+
+
+def test_network_check_and_refusal(spark):
+    genes = spark.createDataFrame([("g1",), ("g2",)], "gene_id string")
+    net = spark.createDataFrame([("tf", "g1", 1.0), ("tf", None, 1.0), (" ", "g2", 1.0), ("tf", "g2", None), ("tf", "g2", float("nan"))], "source string, target string, weight double")
+    one = ds.check_network(net).head()
+    assert (one["n_edges"], one["n_missing_ends"], one["n_bad_weights"], one["valid"]) == (5, 2, 2, False)
+    assert [tuple(r) for r in ds.prepare_network(net, genes).collect()] == [("tf", "g1", 1.0)]
+    with pytest.raises(ValueError):
+        ds.prepare_network(net, genes, strict=True)
+
+
+def test_pair_without_a_common_donor_stays(spark):
+    rows = spark.createDataFrame(
+        [("s", "t", "L", "R", "d1", "a", 0.1, 0.2), ("s", "t", "L", "R", "d2", "b", 0.3, 0.4)],
+        "source string, target string, ligand string, receptor string, donor string, condition string, magnitude_rank double, specificity_rank double",
+    )
+    out = pairs.compare_pair_scores(rows, "a", "b", paired=True).collect()
+    assert len(out) == 1 and out[0]["n_donors_a"] == 0 and out[0]["status"] == "insufficient_donors"
+
+
+def test_title_case_of_symbols(spark):
+    info = spark.createDataFrame(
+        [("COX7A2", "homo_sapiens", [], {}, 1), ("cox7A2", "mus_musculus", [], {}, 2), ("ACTB", "homo_sapiens", [], {}, 1), ("actB", "mus_musculus", [], {}, 2)],
+        "gene_symbol string, species string, aliases array<string>, orthologs map<string,string>, entry_order int",
+    )
+    asked = spark.createDataFrame([("Cox7a2",), ("Actb",)], "symbol string")
+    found = {r["symbol"]: r["species"] for r in genesets.lookup_genes(asked, info).collect()}
+    assert found == {"Cox7a2": "homo_sapiens", "Actb": "mus_musculus"}
+
+
+def test_one_cluster_and_ordered_positions(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "cell_id long, vec array<double>")
+    assert {r["cluster"] for r in embed.kmeans(vectors, 1).collect()} == {0}
+    names = spark.createDataFrame([(n,) for n in ("b", "a", "d", "c")], "name string")
+    assert {r["name"]: (r["n_below"], r["n_total"]) for r in ordered_positions(names, "name").collect()} == {"a": (0, 4), "b": (1, 4), "c": (2, 4), "d": (3, 4)}
+
+
+def test_donor_folds_have_no_silent_bound(spark):
+    cells = spark.createDataFrame([(i, f"d{i % 6}") for i in range(60)], "cell_id long, donor string")
+    branches = {r["branch"] for r in pt.perturbed_sets(cells).select("branch").distinct().collect()}
+    assert {f"leave_out_d{k}" for k in range(6)} <= branches
+    assert pt.fold_status(cells, most=4).head()["status"] == "not_eligible"
+    assert not any(b.startswith("leave_out") for b in {r["branch"] for r in pt.perturbed_sets(cells, most=4).select("branch").distinct().collect()})
