@@ -13,11 +13,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import columns_of, text_slices
+from countloom.llm.common import columns_of, stash, text_slices
 from countloom.llm.textarrays import mix
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_KNOWN = 500_000  # words remembered per worker; it starts anew beyond that
+_KNOWN = 2_500_000  # numbers remembered per worker, one per word and language and one more; it starts anew beyond that
+_MOST_LANGS = 1_000
 _FLOOR = 1e-9  # probability of a letter that no piece covers
 _SHORT, _RESCALE = 24, 16  # words of up to _SHORT letters need no scaling
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -108,14 +109,14 @@ def _forward(table: PieceTable, words: list[str], probs: np.ndarray) -> tuple[li
     return alpha, scale, kept
 
 
-def _by_length(words: list[str], most: int = 1 << 18):
-    """Indices of the words in groups of one length; at most ``most`` letters a group."""
+def _by_length(words: list[str], langs: int, most: int = 1 << 20):
+    """Indices of the words in groups of one length; at most ``most`` letters times languages a group."""
     lengths = np.array([len(w) for w in words])
     order = np.argsort(lengths, kind="stable")
     cuts = np.flatnonzero(np.diff(lengths[order])) + 1
     for group in np.split(order, cuts):
         if len(group):
-            step = max(1, most // int(lengths[group[0]]))
+            step = max(1, most // (int(lengths[group[0]]) * langs))
             for k in range(0, len(group), step):
                 yield group[k : k + step]
 
@@ -123,7 +124,7 @@ def _by_length(words: list[str], most: int = 1 << 18):
 def word_log_probs(table: PieceTable, words: list[str], probs: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability under each language: all segmentations are summed."""
     out = np.zeros((len(words), probs.shape[1]))
-    for group in _by_length(words):
+    for group in _by_length(words, probs.shape[1]):
         alpha, scale, _ = _forward(table, [words[i] for i in group], probs)
         out[group] = np.log(np.maximum(alpha[-1], 1e-300)) + scale
     return out
@@ -136,7 +137,7 @@ def expected_pieces(table: PieceTable, words: list[str], weights: np.ndarray, pr
     """
     total = np.zeros((len(table.hashes), weights.shape[1]))
     short = np.array([i for i, w in enumerate(words) if len(w) <= _SHORT], np.int64)
-    for group in _by_length([words[i] for i in short]):
+    for group in _by_length([words[i] for i in short], weights.shape[1]):
         group = short[group]
         part = [words[i] for i in group]
         alpha, _, edges = _forward(table, part, probs)
@@ -162,7 +163,7 @@ class Model:
         self.pieces, self.langs, self.probs = pieces, langs, probs
         self._table: PieceTable | None = None
         self._rows: dict[str, int] = {}
-        self._values = np.zeros((1 << 16, len(langs) + 1))
+        self._values = np.zeros((1 << 10, len(langs) + 1))
 
     def __getstate__(self):
         return self.pieces, self.langs, self.probs
@@ -171,7 +172,7 @@ class Model:
         self.__init__(*state)
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self._rows) > _KNOWN:
+        if len(self._rows) * (len(self.langs) + 1) > _KNOWN:
             self._rows.clear()
         new = [c for c in chunks if c not in self._rows]
         if not new:
@@ -229,19 +230,32 @@ def _piece_counts(model: Model, langs: list[str]):
     return count
 
 
-def train(docs: DataFrame, vocabulary: str, sample: int = 8_000, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn piece probabilities by expectation-maximisation from at most about ``sample`` labelled rows.
-
-    Rows without a language are left out. The rows are those with the smallest hash of their id, a fixed choice; each
-    round sums, per task, the expected counts over all segmentations of the task's words, starting from equal
-    probabilities. The driver gets one number per piece and language, a size that the vocabulary bounds.
+def _sample(d: DataFrame, quota: int) -> tuple[list[str], DataFrame]:
+    """(languages of all rows of d (id, text, lang) in order, the rows of each language's sample)."""
+    d = d.withColumn("h", F.xxhash64("id", "text"))
+    found = d.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(_MOST_LANGS + 1).collect()
+    if len(found) > _MOST_LANGS:
+        raise ValueError(f"More than {_MOST_LANGS} languages: the model has a number for each piece and language")
+    span = 1 << 40
+    # The count is exact within some per cent, so a language of up to ``quota`` rows is taken whole.
+    cuts = [(r["lang"], span if r["n"] <= 1.1 * quota else int(span * quota / r["n"])) for r in found]
+    cut = d.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    rows = d.join(F.broadcast(cut), "lang").where(F.pmod("h", F.lit(span)) < F.col("cut")).dropDuplicates(["lang", "h"])
+    return sorted(r["lang"] for r in found), rows.select("text", "lang")
+
+
+def train(docs: DataFrame, vocabulary: str, quota: int = 8_000, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn piece probabilities by expectation-maximisation from about ``quota`` labelled rows of each language.
+
+    Every language of any labelled row is learned: its rows are those with the smallest hash of id and text, a fixed
+    choice, and all of them where it has no more than ``quota``. Rows without a language are left out; rows equal in id,
+    text and language count once. Over 1,000 languages raise. Each round sums, per task, the expected counts over all
+    segmentations of the task's words, starting from equal probabilities. The driver gets one number per piece and
+    language. Runs jobs when called; the sample is stored in the shared folder.
     """
     d = columns_of(docs, id_col, text_col, lang_col).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    size = d.select(id_col).count()
-    share = min(1.0, sample / max(1, size))
-    hashed = F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < int(1_000_003 * share) + 1
-    rows = d.where(hashed).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    langs, rows = _sample(d.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), quota)
+    rows = stash(rows, "language-sample") if langs else rows
     pieces = vocabulary_pieces(vocabulary)
     model = Model(pieces, langs, np.full((len(pieces), 1), 1.0 / len(pieces)))
     for _ in range(rounds if langs else 0):

@@ -307,6 +307,21 @@ def test_language_held_out_and_odd(spark, odd, none):
     assert kept.columns == odd.columns and not {1, 2, 3, 4} & {r["doc_id"] for r in kept.collect()} and kept.where("doc_id IN (5, 6, 7, 8)").count() == 5
 
 
+def test_rare_languages_are_learned(spark):
+    docs = documents(spark).where("lang IN ('en', 'de')")
+    rare = docs.where("lang = 'de'").limit(3)
+    many = docs.where("lang = 'en'").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang").crossJoin(spark.range(200).withColumnRenamed("id", "copy"))
+    rows = many.select((F.col("doc_id") * 1000 + F.col("copy")).alias("doc_id"), "text", "lang").unionByName(rare.select("doc_id", "text", "lang"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "no id, one text many times", "same")] * 500, rows.schema))
+    langs, sample = language_id._sample(rows.withColumnRenamed("doc_id", "id"), 40)
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert langs == ["de", "en", "same"] and sizes["de"] == 3 and sizes["same"] == 1 and 10 <= sizes["en"] <= 90
+    model = language_id.train(rows, public_tokenizers.path("piece_bpe_32k.model"), 40)
+    assert model.langs == ["de", "en", "same"]
+    found = [r["lang_pred"] for r in as_dicts(language_id.identify(documents(spark).where("lang = 'de'"), model))]
+    assert np.mean([x == "de" for x in found]) > 0.9
+
+
 # 6 revisits
 
 
