@@ -20,15 +20,18 @@ SIZE = BANDS * ROWS  # registers
 #: Registers that agree between texts at LEAST or more: 3.5 deviations below the mean, so one link in 4,000 at LEAST
 #: itself, and fewer above, is not looked at.
 AGREE = int(LEAST * SIZE - 3.5 * (LEAST * (1 - LEAST) * SIZE) ** 0.5)
+_GAP = r"[^\p{L}\p{M}\p{N}\x00-\x7f]+"  # of characters beyond ASCII, what is no part of a word
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def weighted_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text index, shingle, weight): distinct shingles of each text, sorted; the weight is how often it occurs.
 
-    Words are runs of letters and digits of the lower-case text. A text of fewer words is one shingle.
+    Words are runs of letters, marks and digits of the lower-case text, in any script. A text of fewer words is one
+    shingle. Where a script has no spaces, words are what lies between punctuation.
     """
-    words, docs = word_hashes(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())), alnum=True)
+    lower = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    words, docs = word_hashes(pc.replace_substring_regex(lower, _GAP, " "), alnum=True)
     shingles, docs = shingle_hashes(words, docs, WORDS)
     if not len(shingles):
         return docs, shingles, np.empty(0, np.int64)

@@ -399,6 +399,31 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_near_duplicates_with_any_punctuation(spark):
+    rng = random.Random(12)
+    latin = rng.choices([f"mot{i}é" for i in range(500)], k=80)
+    clauses = ["".join(rng.choices("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往", k=rng.randint(4, 9))) for _ in range(80)]
+    kana = ["".join(rng.choices("アイウエオカキクケコがぎぐげご", k=rng.randint(4, 9))) for _ in range(60)]
+    changed = [*clauses[:40], "新" + clauses[40][1:], *clauses[41:]]
+    ascii_marks, marks = [" ", ", ", ' "', "-", "'"], ["\u00a0", " – ", "“", "”", "’", "…", "\u2003", "—"]
+    mixed = lambda words, gaps: "".join(w + gaps[i % len(gaps)] for i, w in enumerate(words))
+    texts = [
+        mixed(latin, ascii_marks), mixed(latin, marks), mixed(latin[:70], ["«", "»", " "]), mixed(clauses, "，。！"), mixed(changed, "、；？"), mixed(clauses[::-1], "，"), mixed(kana, "、。「」"), mixed(kana, "　・"),
+        "“one”—two", "one two", "क्षमा कीजिए।", "क्षमा, कीजिए",
+    ]
+    runs = [regex.findall(r"[\p{L}\p{M}\p{N}]+", t.lower()) for t in texts]
+    sets = [collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in runs]
+    wanted = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if sum((a & sets[j]).values()) >= 0.8 * sum((a | sets[j]).values()):
+                old, new = sorted((wanted[i], wanted[j]))[::-1]
+                wanted = [new if x == old else x for x in wanted]
+    assert wanted == [0, 0, 0, 3, 3, 5, 6, 6, 8, 8, 10, 10]
+    got = as_dicts(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [c for _, c in sorted((r["doc_id"], r["class_id"]) for r in got)] == wanted
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     elements = rng.integers(0, 1 << 63, 300).astype(np.uint64)
