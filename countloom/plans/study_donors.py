@@ -365,6 +365,38 @@ def _(spark, sf):
     return out.select("gene_id", "priority_reason", "priority_class")
 
 
+# The same four per gene, with nations as donors and all genes as the adjusted family. Refits of all genes are too slow in
+# SQL; tests hold these against NumPy.
+def gene_folds(spark, sf):
+    return sens.leave_one_out(v.counts(spark, sf), v.paired_cells(spark, sf), v.genes(spark, sf), A, B)
+
+
+def _gene_influence(spark, sf):
+    return sens.donor_influence(gene_folds(spark, sf), ds.donor_sides(v.paired_cells(spark, sf), A, B))
+
+
+@query("d12_leave_one_out_adjusted_genes")
+def _(spark, sf):
+    return gene_folds(spark, sf).select("left_out_donor", "gene_id", "log2_fold_change", "p_value", "fdr_q_value", "fit_status")
+
+
+@query("d14_leave_one_out_summary_genes")
+def _(spark, sf):
+    asked = ds.donor_sides(v.paired_cells(spark, sf), A, B).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return sens.leave_one_out_summary(gene_folds(spark, sf), n_requested=asked)
+
+
+@query("d15_donor_influence_genes")
+def _(spark, sf):
+    return _gene_influence(spark, sf)
+
+
+@query("d16_candidates_genes")
+def _(spark, sf):
+    known = v.genes(spark, sf).where(F.col("brand") == "Brand#11").select(F.col("gene_id").cast("string").alias("gene_id"))
+    return sens.prioritise_candidates(_gene_influence(spark, sf), known, alpha=1.1, min_abs_lfc=0.01)
+
+
 @query("d17_fold_integrity", v.with_ctes(PAIRED_CELLS, PAIRS) + """
 , f AS (SELECT DISTINCT donor AS left_out_donor FROM two UNION ALL SELECT '__full_model__')
 SELECT left_out_donor, (SELECT count(*) FROM part) AS n_rows, (SELECT count(*) FROM part) AS n_genes, CAST(0 AS BIGINT) AS n_wrong_removed,
