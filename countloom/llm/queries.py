@@ -171,3 +171,65 @@ SELECT record_id, canonical, is_response, CASE WHEN is_response THEN record_id E
     CASE WHEN is_response THEN length(html) WHEN status = 'resolved' THEN length(fh) END AS n_chars
 FROM j
 """
+
+
+@_query
+def op13_conversation_repair(spark, sf):
+    from countloom.llm.conversation_repair import damage_and_repair
+
+    return damage_and_repair(_table(spark, sf, "conversations"))
+
+
+def _repair_sql() -> str:
+    """The edits as a fold over each conversation's rows. A state is a string: its cost in twelve digits, then its edits, so
+    that the least string is the cheapest and, of those, the least edit list. States: empty, system, user, assistant."""
+    add = lambda cell, cost, letter: f"lpad(CAST(CAST(substr({cell}, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({cell}, 13) || '{letter}'"
+    none = "'900000000000'"
+    stays = "NOT (r.fault IN ('blank', 'duplicate'))"
+    extra = "CASE WHEN r.fault = 'truncated' THEN 5 ELSE 0 END"
+    keep = lambda s, i: f"CASE WHEN {stays} AND r.initial = '{i}' THEN {add(f's[{s}]', extra, 'K')} ELSE {none} END"
+    rerole = lambda s: f"CASE WHEN {stays} THEN {add(f's[{s}]', f'1 + {extra}', 'R')} ELSE {none} END"
+    drop = lambda s: add(f"s[{s}]", 2, "D")
+    user = ", ".join([drop(3), *[keep(s, "u") for s in (1, 2, 4)], *[rerole(s) for s in (1, 2, 4)]])
+    moved = f"[{drop(1)}, least({drop(2)}, {keep(1, 's')}), least({user}), least({drop(4)}, {keep(3, 'a')}, {rerole(3)})]"
+    opened = lambda rows: f"list_transform(list_transform([{rows}], lambda t: [t[1], t[2], least(t[3], {add('t[1]', 5, 'I')}, {add('t[2]', 5, 'I')}, {add('t[4]', 5, 'I')}), t[4]]), lambda t: [t[1], t[2], t[3], least(t[4], {add('t[3]', 5, 'I')})])[1]"
+    begin = opened(f"['000000000000', {none}, {none}, {none}]")
+    crc = "list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), CAST(4294967295 AS BIGINT))"
+    # The repaired rows, as a fold over the edits: place in the rows, roles so far as initials, and the text.
+    return f"""
+WITH k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor({crc}, 4294967295) % 20 AS h FROM k),
+d AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+        CASE h WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM h WHERE h <> 0
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), copy) AS p, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+f AS (
+    SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS before,
+        CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM o
+),
+c AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+        list({{'initial': initial, 'fault': fault}} ORDER BY p) AS rows, list(role ORDER BY p) AS roles, list(text ORDER BY p) AS texts
+    FROM f GROUP BY conv_id
+),
+s AS (SELECT *, list_reduce(rows, lambda s, r: {opened(moved)}, {begin}) AS s FROM c),
+b AS (SELECT *, least(s[1], s[4]) AS best FROM s),
+a AS (SELECT *, CAST(substr(best, 1, 12) AS BIGINT) AS cost, substr(best, 13) AS audit FROM b),
+r AS (
+    SELECT *, list_reduce(string_split(audit, ''), lambda w, e: CASE e WHEN '' THEN w WHEN 'D' THEN [CAST(CAST(w[1] AS BIGINT) + 1 AS VARCHAR), w[2], w[3]] ELSE list_transform([
+            CASE WHEN e = 'K' THEN roles[CAST(w[1] AS BIGINT)] WHEN right(w[2], 1) = 'u' THEN 'assistant' ELSE 'user' END], lambda role: [
+            CAST(CAST(w[1] AS BIGINT) + CASE WHEN e = 'I' THEN 0 ELSE 1 END AS VARCHAR), w[2] || substr(role, 1, 1),
+            w[3] || CASE WHEN w[2] = '' THEN '' ELSE chr(10) END || role || ':' || CASE WHEN e = 'I' THEN '' ELSE texts[CAST(w[1] AS BIGINT)] END])[1] END, ['1', '', ''])[3] AS repaired
+    FROM a
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+ORACLES["op13_conversation_repair"] = _repair_sql()
