@@ -233,3 +233,41 @@ FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN r ON r.conv_id IS
 
 
 ORACLES["op13_conversation_repair"] = _repair_sql()
+
+
+@_query
+def op12_collocations(spark, sf):
+    from countloom.llm.collocations import collocations
+
+    return collocations(_table(spark, sf, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+    SELECT lang, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS phrase
+    FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)
+),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND f >= 30),
+s AS (
+    SELECT c.lang, c.k, c.phrase, c.f AS a, cut, list_aggregate(string_split(c.phrase, ' ')[1:cut], 'string_agg', ' ') AS x, list_aggregate(string_split(c.phrase, ' ')[cut + 1:], 'string_agg', ' ') AS y
+    FROM c, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < c.k
+),
+t AS (
+    SELECT s.*, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+    FROM s JOIN f l ON l.lang = s.lang AND l.phrase = s.x JOIN f r ON r.lang = s.lang AND r.phrase = s.y
+),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM t),
+u AS (
+    SELECT DISTINCT lang, k, f, list_aggregate(string_split(phrase, ' ')[i:i + m - 1], 'string_agg', ' ') AS inner_phrase
+    FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < k AND i + m - 1 <= k
+),
+o AS (SELECT lang, inner_phrase, max(f) AS above FROM u GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.inner_phrase = b.phrase WHERE first = 1 AND (above IS NULL OR 100 * above < 80 * a)),
+z AS (SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k JOIN n ON n.lang = k.lang)
+SELECT * FROM z WHERE rank <= 2000
+"""
