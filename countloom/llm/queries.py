@@ -271,3 +271,11 @@ k AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.inner_phrase = b.ph
 z AS (SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k JOIN n ON n.lang = k.lang)
 SELECT * FROM z WHERE rank <= 2000
 """
+
+
+@_query
+def op11_personal_data(spark, sf):
+    from countloom.llm.pii import find_private, train
+
+    docs = _table(spark, sf, "documents")
+    return find_private(docs, train(docs))
