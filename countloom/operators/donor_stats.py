@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from countloom.functions.moments import mean_with_zeros, sq_dev_with_zeros, welch
 from countloom.functions.ranking import benjamini_hochberg
-from countloom.functions.special import normal_quantile, t_quantile, t_two_sided
+from countloom.functions.special import normal_quantile, t_two_sided
+from countloom.operators.contrasts import ols_contrast
 from countloom.operators.markers import group_sums
 from countloom.operators.normalize import counts_per_million
 
@@ -187,84 +187,6 @@ def safe_test(rows: DataFrame, keys: list[str], value: str, a: str, b: str, pair
     return out.withColumn("p_value", t_two_sided("t_stat", "df"))
 
 
-def design_matrix(samples: list[dict], tested: str, paired: bool = False, covariates: list[str] = ()):
-    """Treatment-coded design of the sample table: intercept, condition, donors when paired, covariates.
-
-    ``samples`` has one row per donor and condition, so it is small. Returns
-    (matrix, contrast, names) after rank and residual checks.
-    """
-    columns, names = [np.ones(len(samples))], ["intercept"]
-    columns.append(np.array([1.0 if s["condition"] == tested else 0.0 for s in samples]))
-    names.append("condition")
-    for factor in (["donor"] if paired else []) + list(covariates):
-        values = [s[factor] for s in samples]
-        if any(x is None for x in values):
-            raise ValueError(f"Design column {factor!r} has missing values")
-        if factor != "donor" and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in values):
-            columns.append(np.array(values, dtype=float))
-            names.append(factor)
-        else:
-            for level in sorted({str(x) for x in values})[1:]:
-                columns.append(np.array([1.0 if str(x) == level else 0.0 for x in values]))
-                names.append(f"{factor}={level}")
-    x = np.column_stack(columns)
-    rank = int(np.linalg.matrix_rank(x))
-    if rank < x.shape[1]:
-        raise ValueError(f"Design is rank deficient: rank {rank} of {x.shape[1]} columns {names}")
-    if len(samples) <= rank:
-        raise ValueError(f"Design has no residual degrees of freedom: {len(samples)} samples, rank {rank}")
-    contrast = np.zeros(x.shape[1])
-    contrast[1] = 1.0
-    return x, contrast, names
-
-
-MAX_DESIGN_SAMPLES = 20_000
-
-
-def ols_contrast(samples: DataFrame, values: DataFrame, features: DataFrame, tested: str, paired=False, covariates: list[str] = (), key="gene_id", value="y", alpha: float = 0.05) -> DataFrame:
-    """Adjusted condition effect of every feature under one shared linear design.
-
-    ``samples`` holds donor, condition and covariates. Only this small table
-    reaches the driver, where its design is factored once. The effect is a
-    weighted sum of the samples and the residual is the squared norm minus the
-    squared projections, so each feature needs sums over its stored values only
-    and zeros never have to be filled in.
-    """
-    order = samples.select("donor", "condition", *covariates).orderBy("donor", "condition")
-    meta = [r.asDict() for r in order.take(MAX_DESIGN_SAMPLES + 1)]
-    if len(meta) > MAX_DESIGN_SAMPLES:
-        raise ValueError(f"A design over more than {MAX_DESIGN_SAMPLES} donor-condition samples is refused")
-    x, contrast, _names = design_matrix(meta, tested, paired, covariates)
-    q, r = np.linalg.qr(x)
-    solved = np.linalg.solve(r, np.linalg.solve(r.T, contrast))
-    weights, unit_variance = x @ solved, float(contrast @ solved)
-    dof = len(meta) - x.shape[1]
-    spark = samples.sparkSession
-    design = spark.createDataFrame(
-        [(s["donor"], s["condition"], float(w), [float(v) for v in row]) for s, w, row in zip(meta, weights, q)],
-        "donor string, condition string, _w double, _q array<double>",
-    )
-    y = F.col(value)
-    rank = x.shape[1]
-    sums = values.join(design, ["donor", "condition"]).groupBy(key).agg(
-        F.sum(F.col("_w") * y).alias("_effect"), F.sum(y * y).alias("_square"),
-        *[F.sum(F.get("_q", F.lit(j)) * y).alias(f"_q{j}") for j in range(rank)],
-    )
-    fitted = sum((F.col(f"_q{j}") * F.col(f"_q{j}") for j in range(rank)), F.lit(0.0))
-    rss = F.when(F.col("_square") - fitted > 1e-12 * F.col("_square"), F.col("_square") - fitted).otherwise(F.lit(0.0))
-    se = F.sqrt(F.coalesce(rss, F.lit(0.0)) / dof * unit_variance)
-    out = features.select(key).join(sums, key, "left").select(
-        key, F.coalesce("_effect", F.lit(0.0)).alias("effect"), se.alias("se"),
-        F.lit(dof).cast("long").alias("residual_df"),
-    )
-    crit = t_quantile(1 - alpha / 2, dof)
-    out = out.withColumns({
-        "ci_low": F.col("effect") - crit * F.col("se"), "ci_high": F.col("effect") + crit * F.col("se"),
-        "statistic": F.when(F.col("se") > 0, F.col("effect") / F.col("se")),
-    }).withColumn("p_value", t_two_sided("statistic", F.col("residual_df").cast("double")))
-    return out.withColumn("status", F.when(F.col("p_value").isNotNull(), "estimated").otherwise("not_estimated"))
-
-
 def pseudobulk_de(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: str, paired=False, covariates: list[str] = (), alpha: float = 0.05) -> DataFrame:
     """Design-adjusted log2 effect on log1p CPM, with normal intervals and nullable significance flags."""
     chosen = cells.where(F.col("condition").isin(a, b))

@@ -12,48 +12,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from countloom.functions.ranking import hash_sample
 from countloom.operators.checks import subset_by_label
 from countloom.operators.markers import group_sums
+from countloom.operators.lowrank import principal_components
 from countloom.operators.neighbors import exact_neighbors
-from countloom.operators.signatures import gene_cross_sums
 from countloom.session import cut_lineage
 
-MAX_PCA_GENES = 4096
-
 
 def pca_scores(values: DataFrame, cells: DataFrame, k: int = 20, centre: bool = False, genes: DataFrame | None = None) -> DataFrame:
-    """Component scores of every cell from the long value table.
+    """Component scores of every cell from the long value table: cell_id, vec.
 
-    Only the gene-by-gene sum of products reaches the driver, so the number of
-    genes is limited; restrict them first, as with the most variable genes.
     ``centre=False`` is the uncentred decomposition used for sparse input.
-    Signs are fixed so that the largest loading is positive.
+    Signs are fixed so that the largest loading is positive. Any number of
+    genes; see ``lowrank.principal_components``.
     """
     used = values if genes is None else values.join(genes.select("gene_id"), "gene_id", "left_semi")
-    used = cut_lineage(used.select("cell_id", "gene_id", F.col("value").cast("double").alias("value")))
-    diag = used.groupBy("gene_id").agg(F.sum(F.col("value") ** 2).alias("ss"), F.sum("value").alias("s"))
-    head = diag.orderBy("gene_id").limit(MAX_PCA_GENES + 1).collect()
-    if len(head) > MAX_PCA_GENES:
-        raise ValueError(f"Principal components need at most {MAX_PCA_GENES} genes; select variable genes first")
-    n = cells.count()
-    at = {r["gene_id"]: i for i, r in enumerate(head)}
-    gram = np.diag([r["ss"] for r in head]).astype(float)
-    for r in gene_cross_sums(used).toLocalIterator():
-        i, j = at[r["gene_i"]], at[r["gene_j"]]
-        gram[i, j] = gram[j, i] = r["s"]
-    means = np.array([r["s"] for r in head]) / n
-    k = min(k, n, len(head)) if centre else min(k, max(1, n - 2), max(1, len(head) - 2))
-    if centre:
-        gram = gram - n * np.outer(means, means)
-    _, vectors = np.linalg.eigh(gram)
-    axes = vectors[:, ::-1][:, :k]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
-    shift = means @ axes if centre else np.zeros(k)
-    spark = values.sparkSession
-    gene_type = values.schema["gene_id"].dataType.simpleString()
-    loadings = spark.createDataFrame([(g, [float(x) for x in axes[i]]) for g, i in at.items()], f"gene_id {gene_type}, axes array<double>")
-    sums = used.join(loadings, "gene_id").groupBy("cell_id").agg(*[F.sum(F.col("value") * F.get("axes", F.lit(c))).alias(f"_{c}") for c in range(k)])
-    return cells.select("cell_id").join(sums, "cell_id", "left").select(
-        "cell_id", F.array(*[F.coalesce(f"_{c}", F.lit(0.0)) - float(shift[c]) for c in range(k)]).alias("vec")
-    )
+    used = used.join(cells.select("cell_id"), "cell_id", "left_semi")
+    return principal_components(used, cells, k, centre)[0]
 
 
 def centre_batches(vectors: DataFrame, batch: str = "batch", strength: float = 0.8) -> DataFrame:
