@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from countloom.functions.ranking import benjamini_hochberg, ordered_positions
 from countloom.functions.tails import normal_quantile
+from countloom.operators.graph import components
 from countloom.session import cut_lineage
 
 # Verbs that claim a cause.
@@ -105,24 +106,19 @@ def select_evidence(results: DataFrame, table: str = "table_id", alpha: float |
     )
 
 
-def merge_origins(evidence: DataFrame, groups: list[str], max_rounds: int = 10_000) -> DataFrame:
-    """Label evidence rows connected by shared origins, inside each group, with one component id.
+def merge_origins(evidence: DataFrame, groups: list[str]) -> DataFrame:
+    """Label evidence rows connected by shared origins, inside each group, with one component id, the least evidence_id.
 
-    ``evidence`` has evidence_id and an array ``origins``. The smallest id
-    spreads over shared origins until nothing changes.
+    ``evidence`` has evidence_id and an array ``origins``. Rows and origins are the two sides of a graph whose
+    components are found by star contraction, in a logarithmic number of steps.
     """
-    links = cut_lineage(evidence.select(*groups, "evidence_id", F.explode("origins").alias("origin")).distinct())
-    labels = cut_lineage(links.select(*groups, "evidence_id").distinct().withColumn("component", F.col("evidence_id")))
-    for _ in range(max_rounds):
-        by_origin = links.join(labels, [*groups, "evidence_id"]).groupBy(*groups, "origin").agg(F.min("component").alias("_c"))
-        spread = links.join(by_origin, [*groups, "origin"]).groupBy(*groups, "evidence_id").agg(F.min("_c").alias("_new"))
-        step = cut_lineage(labels.join(spread, [*groups, "evidence_id"]).select(
-            *groups, "evidence_id", "_new", (F.col("_new") < F.col("component")).alias("_moved")
-        ))
-        labels = step.select(*groups, "evidence_id", F.col("_new").alias("component"))
-        if step.where("_moved").isEmpty():
-            return labels
-    raise ValueError("Origins did not settle within max_rounds")
+    links = cut_lineage(evidence.select(*groups, "evidence_id", F.explode("origins").alias("origin")).where("origin IS NOT NULL").distinct())
+    name = lambda side, c: F.to_json(F.array(*[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups], *[F.col(g).isNull().cast("string") for g in groups], F.lit(side), F.col(c).cast("string")))
+    rows = links.select(*groups, "evidence_id", name("e", "evidence_id").alias("node")).distinct()
+    found = components(links.select(name("e", "evidence_id").alias("a"), name("o", "origin").alias("b")))
+    placed = cut_lineage(rows.join(found, "node").select(*groups, "evidence_id", F.col("component").alias("_star")))
+    least = placed.groupBy("_star").agg(F.min("evidence_id").alias("component"))
+    return placed.join(least, "_star").select(*groups, "evidence_id", "component")
 
 
 def score_confidence(evidence: DataFrame) -> DataFrame:

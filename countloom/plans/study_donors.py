@@ -365,8 +365,10 @@ def _(spark, sf):
     return out.select("gene_id", "priority_reason", "priority_class")
 
 
-# The same four per gene, with nations as donors and all genes as the adjusted family. Refits of all genes are too slow in
-# SQL; tests hold these against NumPy.
+# The same four per gene, with nations as donors and all genes as the adjusted family.
+LOO_GENES = (v.COUNTS, PAIRED_CELLS, v.GENES, PAIRS, *refit("genes", "counts"), sp.t_tail("ft", "fold, gene_id", n=1000), *LOO_Q[1:])
+
+
 def gene_folds(spark, sf):
     return sens.leave_one_out(v.counts(spark, sf), v.paired_cells(spark, sf), v.genes(spark, sf), A, B)
 
@@ -375,26 +377,53 @@ def _gene_influence(spark, sf):
     return sens.donor_influence(gene_folds(spark, sf), ds.donor_sides(v.paired_cells(spark, sf), A, B))
 
 
-@query("d12_leave_one_out_adjusted_genes")
+ADJUSTED, SUMMED, INFLUENCED = (
+    """
+SELECT fold AS left_out_donor, gene_id, round(lfc, 5) AS log2_fold_change, round(p_value, 4) AS p_value, round(q, 4) AS fdr_q_value,
+  CASE WHEN fold = '__full_model__' THEN 'full_model' ELSE 'estimated' END AS fit_status FROM loo""",
+    """
+SELECT gene_id, round(b, 5) AS baseline_log2_fold_change, round(bq, 5) AS baseline_fdr_q_value, bq < 0.05 AS baseline_significant_at_alpha,
+  n AS n_estimated_loo, round(n / (SELECT count(*) FROM dlist), 6) AS estimated_coverage, round(same / n, 6) AS direction_consistency,
+  round(lo, 5) AS min_log2_fold_change, round(hi, 5) AS max_log2_fold_change, round(med, 5) AS median_log2_fold_change, hits AS n_significant_loo,
+  round(kept / n, 6) AS significance_retention, 'estimated' AS summary_status FROM sm""",
+    """
+SELECT gene_id, round(b, 5) AS full_log2_fold_change, expected AS expected_donor_folds, n AS n_finite_loo_effects, same AS n_same_sign_loo_effects,
+  hits AS n_loo_q_below_alpha, flips AS n_flips, changed AS n_q_changes, round(top, 5) AS max_abs_delta_lfc, direction_status FROM infl""",
+)
+
+
+@query("d12_leave_one_out_adjusted_genes", v.with_ctes(*LOO_GENES) + ADJUSTED)
 def _(spark, sf):
-    return gene_folds(spark, sf).select("left_out_donor", "gene_id", "log2_fold_change", "p_value", "fdr_q_value", "fit_status")
+    out = gene_folds(spark, sf).select("left_out_donor", "gene_id", "log2_fold_change", "p_value", "fdr_q_value", "fit_status")
+    return rounded(rounded(out, "log2_fold_change", digits=5), "p_value", "fdr_q_value", digits=4)
 
 
-@query("d14_leave_one_out_summary_genes")
+@query("d14_leave_one_out_summary_genes", v.with_ctes(*LOO_GENES, SUMMARY) + SUMMED)
 def _(spark, sf):
     asked = ds.donor_sides(v.paired_cells(spark, sf), A, B).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return sens.leave_one_out_summary(gene_folds(spark, sf), n_requested=asked)
+    out = sens.leave_one_out_summary(gene_folds(spark, sf), n_requested=asked)
+    out = rounded(out, "baseline_log2_fold_change", "baseline_fdr_q_value", "min_log2_fold_change", "max_log2_fold_change", "median_log2_fold_change", digits=5)
+    return rounded(out, "estimated_coverage", "direction_consistency", "significance_retention")
 
 
-@query("d15_donor_influence_genes")
+@query("d15_donor_influence_genes", v.with_ctes(*LOO_GENES, SUMMARY, INFLUENCE) + INFLUENCED)
 def _(spark, sf):
-    return _gene_influence(spark, sf)
+    out = _gene_influence(spark, sf).select(
+        "gene_id", "full_log2_fold_change", "expected_donor_folds", "n_finite_loo_effects", "n_same_sign_loo_effects", "n_loo_q_below_alpha",
+        F.size("direction_flip_donors").cast("long").alias("n_flips"), F.size("q_status_changed_donors").cast("long").alias("n_q_changes"),
+        "max_abs_delta_lfc", "direction_status",
+    )
+    return rounded(out, "full_log2_fold_change", "max_abs_delta_lfc", digits=5)
 
 
-@query("d16_candidates_genes")
+@query("d16_candidates_genes", v.with_ctes(*LOO_GENES, SUMMARY, INFLUENCE) + """
+, c AS (SELECT *, CASE WHEN direction_status = 'direction_flip' THEN 'direction_flip' WHEN changed > 0 THEN 'q_status_change'
+   ELSE 'direction_stable_without_q_status_change' END AS priority_reason FROM infl WHERE bq < 1.1 AND abs(b) >= 0.01 AND gene_id NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11'))
+SELECT gene_id, priority_reason, CAST(CASE WHEN priority_reason = 'direction_flip' THEN 0 WHEN priority_reason = 'q_status_change' THEN 3 ELSE 4 END AS BIGINT) AS priority_class FROM c""".lstrip())
 def _(spark, sf):
     known = v.genes(spark, sf).where(F.col("brand") == "Brand#11").select(F.col("gene_id").cast("string").alias("gene_id"))
-    return sens.prioritise_candidates(_gene_influence(spark, sf), known, alpha=1.1, min_abs_lfc=0.01)
+    out = sens.prioritise_candidates(_gene_influence(spark, sf), known, alpha=1.1, min_abs_lfc=0.01)
+    return out.select("gene_id", "priority_reason", "priority_class")
 
 
 @query("d17_fold_integrity", v.with_ctes(PAIRED_CELLS, PAIRS) + """
