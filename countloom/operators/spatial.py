@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from countloom.functions.moments import fourth_dev_with_zeros, mean_with_zeros, sq_dev_with_zeros
 from countloom.functions.ranking import benjamini_hochberg, hash_shuffle_rank
+from countloom.functions.shuffle import shuffled_places
 from countloom.functions.special import normal_two_sided
 from countloom.operators.checks import identity_missing
 from countloom.operators.embed import kmeans
@@ -223,27 +228,34 @@ def pair_scores(values: DataFrame, cells: DataFrame, genes: DataFrame, pairs: Da
 def contact_permutations(graph: DataFrame, cells: DataFrame, n_permutations: int = 100, seed: int = 42, cell_type: str = "cell_type", section: str = "section", perms_per_batch: int = 50) -> DataFrame:
     """How often shuffled labels reach the observed contact of each type pair; labels move inside sections only.
 
-    A cell's shuffled label follows from its rank in a seeded hash order and the
-    label counts of its section, so no list of cells is built. Each cell carries
-    one array of shuffled labels and edges are read once per batch.
+    Cells are ranked once, in a seeded hash order of their section. In every permutation a cell's place follows from its
+    rank by arithmetic (``shuffled_places``), and its label from the place and the label counts of its section. So no
+    permutation is sorted, and no list of cells is built: each cell carries one array of shuffled labels, and edges are
+    read once per batch.
     """
     n = max(10, n_permutations)
     labels = cut_lineage(cells.select("cell_id", F.col(section).cast("string").alias("section"), F.col(cell_type).cast("string").alias("type")))
     graph = cut_lineage(graph.select("src", "dst", "weight"))
     counts = labels.groupBy("section", "type").agg(F.count(F.lit(1)).alias("c")).groupBy("section").agg(F.sort_array(F.collect_list(F.struct("type", "c"))).alias("_l"))
-    zero = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<struct<type:string,upto:bigint>>").alias("rows"))
-    folded = F.aggregate("_l", zero, lambda acc, x: F.struct(
-        (acc["upto"] + x["c"]).alias("upto"), F.array_append(acc["rows"], F.struct(x["type"].alias("type"), (acc["upto"] + x["c"]).alias("upto"))).alias("rows")
-    ))
-    edges_of = counts.select("section", folded["rows"].alias("_cuts"))
+    counts = counts.select("section", F.transform("_l", lambda x: x["type"]).alias("types"), F.transform("_l", lambda x: x["c"]).alias("counts"))
+    ranked = cut_lineage(hash_shuffle_rank(labels, ["section"], "cell_id", seed, "pos").join(counts, "section").select("cell_id", "section", "pos", "types", "counts"))
+    id_type = labels.schema["cell_id"].dataType.simpleString()
+
+    def shuffled(numbers: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for _, rows in batch.groupby("section", dropna=False, sort=False):
+                    upto = np.cumsum(np.asarray(rows["counts"].iloc[0], np.int64))
+                    places = shuffled_places(rows["pos"].to_numpy() - 1, np.full(len(rows), upto[-1]), seed, numbers)
+                    drawn = np.asarray(rows["types"].iloc[0], object)[np.searchsorted(upto, places, side="right")]
+                    yield pd.DataFrame({"cell_id": rows["cell_id"].to_numpy(), "ts": list(drawn)})
+
+        return run
+
     total = None
     for start in range(1, n + 1, perms_per_batch):
         stop = min(n, start + perms_per_batch - 1)
-        spread = labels.select("cell_id", "section", F.explode(F.sequence(F.lit(start), F.lit(stop))).alias("perm"))
-        key = F.concat_ws("/", F.lit(str(seed)), F.col("perm").cast("string"))
-        ranked = hash_shuffle_rank(spread, ["section", "perm"], "cell_id", key, "pos").join(edges_of, "section")
-        drawn = ranked.select("cell_id", "perm", F.get(F.filter("_cuts", lambda c: c["upto"] >= F.col("pos")), F.lit(0))["type"].alias("t"))
-        packed = cut_lineage(drawn.groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "t"))), lambda s: s["t"]).alias("ts")))
+        packed = cut_lineage(ranked.mapInPandas(shuffled(np.arange(start, stop + 1)), f"cell_id {id_type}, ts array<string>"))
         a, b = packed.select(F.col("cell_id").alias("src"), F.col("ts").alias("_a")), packed.select(F.col("cell_id").alias("dst"), F.col("ts").alias("_b"))
         both = graph.join(a, "src").join(b, "dst").select("weight", F.posexplode(F.arrays_zip("_a", "_b")).alias("p", "z"))
         sums = both.groupBy("p", F.col("z._a").alias("source"), F.col("z._b").alias("target")).agg(F.sum("weight").alias("s"))

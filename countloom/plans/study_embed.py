@@ -49,6 +49,12 @@ def _(spark, sf):
     return v.by_first_cell(em.kmeans(v.separate_vectors(spark, sf), 10), "cluster")
 
 
+@query("m04_embedding_kmeans")
+def _(spark, sf):
+    # The measured vectors as they are; Lloyd steps have no SQL form, tests hold their cost and agreement against NumPy.
+    return em.kmeans(v.vectors(spark, sf).select("cell_id", "vec"), 10).select("cell_id", "cluster")
+
+
 @query("m05_silhouette", v.with_ctes(v.VECTORS, SAMPLE.format(200)) + f"""
 , d AS (SELECT a.cell_id AS q, a.label AS ql, b.label AS ol, avg({DIST}) AS m FROM s a JOIN vectors b ON a.cell_id <> b.cell_id GROUP BY 1, 2, 3),
 p AS (SELECT q, coalesce(max(m) FILTER (WHERE ql = ol), 0) AS a, coalesce(min(m) FILTER (WHERE ql <> ol), 0) AS b FROM d GROUP BY 1)

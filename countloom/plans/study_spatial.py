@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from countloom.functions.shuffle import shuffled_place_sql
 from countloom.operators import spatial as sx
 from countloom.plans import sql_parts as sp, views as v
 from countloom.plans.catalog import query
@@ -91,6 +92,12 @@ def _(spark, sf):
     return v.by_first_cell(found.select("cell_id", "domain"), "domain")
 
 
+@query("x07_embedding_domains")
+def _(spark, sf):
+    # The measured vectors, smoothed over the graph; Lloyd steps have no SQL form, tests hold them against NumPy.
+    return sx.spatial_domains(v.vectors(spark, sf).select("cell_id", "vec"), graph(spark, sf), 64, k=10).select("cell_id", "domain")
+
+
 MORAN = f"""
 c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM places), gn AS (SELECT DISTINCT gene_id FROM pcounts),
 fx AS (SELECT gene_id, cell_id, coalesce(value, 0)::DOUBLE AS x FROM gn CROSS JOIN places LEFT JOIN pcounts USING (gene_id, cell_id)),
@@ -164,8 +171,9 @@ def _(spark, sf):
     return rounded(rounded(_scores(spark, sf), "mean_ligand_expr", "mean_receptor_expr", "raw_score"), "spatial_weight", "spatial_score", digits=8)
 
 
-PERMUTED = """
-rk AS (SELECT cell_id, section, k, row_number() OVER (PARTITION BY section, k ORDER BY substr(md5('42/' || k || ':' || cell_id), 1, 15), cell_id) AS pos FROM places, range(1, 21) t(k)),
+PERMUTED = f"""
+r0 AS (SELECT cell_id, section, row_number() OVER (PARTITION BY section ORDER BY substr(md5('42:' || cell_id), 1, 15), cell_id) - 1 AS p, count(*) OVER (PARTITION BY section) AS m FROM places),
+rk AS (SELECT cell_id, section, k, 1 + {shuffled_place_sql('p', 'm', '42', 'k')} AS pos FROM r0, range(1, 21) t(k)),
 cu AS (SELECT section, cell_type AS t, sum(count(*)) OVER (PARTITION BY section ORDER BY cell_type) AS hi, sum(count(*)) OVER (PARTITION BY section ORDER BY cell_type) - count(*) AS lo FROM places GROUP BY 1, 2),
 pl AS (SELECT cell_id, k, t FROM rk JOIN cu ON cu.section = rk.section AND pos > lo AND pos <= hi),
 pc AS (SELECT a.k, a.t AS source, b.t AS target, sum(weight) AS s FROM graph JOIN pl a ON a.cell_id = src JOIN pl b ON b.cell_id = dst AND b.k = a.k GROUP BY 1, 2, 3),
@@ -221,3 +229,12 @@ def _(spark, sf):
     types = [r[0] for r in cells.select("cell_type").distinct().orderBy("cell_type").collect()]
     found = sx.niches(shares, cells, types, k=len(types))
     return rounded(sx.niche_summary(found, types).drop("niche_id"), "dominant_cell_type_fraction")
+
+
+@query("x17_neighbourhood_niches")
+def _(spark, sf):
+    # Niches of the compositions that the graph gives; tests hold them against NumPy.
+    cells = v.places(spark, sf)
+    types = [r[0] for r in cells.select("cell_type").distinct().orderBy("cell_type").collect()]
+    found = sx.niches(sx.composition(edges(spark, sf), cells), cells, types, k=5)
+    return rounded(sx.niche_summary(found, types), "dominant_cell_type_fraction")
