@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from countloom.functions.ranking import hash_shuffle_rank
+from countloom.functions.ranking import hash_shuffle_rank, ordered_positions
 from countloom.operators.markers import group_sums
 from countloom.session import cut_lineage
 
@@ -16,7 +16,7 @@ CONTROL_CONDITIONS = ["control", "ctrl", "healthy", "wt", "wildtype", "con"]
 # Words inside a state label that mean a disease or a control state.
 DISEASE_STATE_WORDS = ["dam", "disease", "case", "ad", "m3", "cko", "mutant"]
 CONTROL_STATE_WORDS = ["homeo", "control", "healthy", "wt", "m1", "con"]
-MAX_STATES = 1000
+STATE_BLOCK = 64
 
 
 def condition_pair(cells: DataFrame, condition: str = "condition") -> tuple[str, str] | None:
@@ -97,31 +97,35 @@ def reversal_table(disease: DataFrame, compound: DataFrame) -> DataFrame:
 
 
 def soft_assignment(values: DataFrame, cells: DataFrame, state: str = "state", treated: DataFrame | None = None) -> DataFrame:
-    """Softmax of squared distances to state centroids for every cell.
+    """Squared distances of every cell to every state's centroid: cell_id, from_state, to_state, sq.
 
-    The state list is short and known to the driver; each gene carries one
-    centroid value per state, so a cell needs one row of sums.
+    States are numbered and cut into blocks of STATE_BLOCK; a gene carries one
+    short array of centroid values per block, and a cell one of sums. Squared
+    norms join by block. So rows stay short for any number of states.
     """
     treated = values if treated is None else treated
-    levels = [r[0] for r in cells.where(F.col(state).isNotNull()).select(F.col(state).cast("string").alias("s")).distinct().orderBy("s").take(MAX_STATES + 1)]
-    if len(levels) > MAX_STATES:
-        raise ValueError(f"More than {MAX_STATES} states")
-    sums = group_sums(values, cells, state)
-    sizes = cells.groupBy(F.col(state).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    centroid = sums.join(sizes, "level").groupBy("gene_id").agg(
-        *[F.sum(F.when(F.col("level") == s, F.col("total") / F.col("n"))).alias(f"_c{i}") for i, s in enumerate(levels)]
-    ).na.fill(0.0)
-    norms = centroid.agg(F.struct(*[F.sum(F.col(f"_c{i}") ** 2).alias(f"c{i}") for i in range(len(levels))]).alias("s")).scalar()
-    dots = treated.join(centroid, "gene_id", "left").groupBy("cell_id").agg(
-        F.sum(F.col("value") ** 2).alias("_xx"), *[F.sum(F.col("value") * F.col(f"_c{i}")).alias(f"_d{i}") for i in range(len(levels))]
+    levels = cells.where(F.col(state).isNotNull()).groupBy(F.col(state).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    numbered = ordered_positions(levels, "level").select(
+        "level", "n", F.floor(F.col("n_below") / STATE_BLOCK).cast("int").alias("block"), (F.col("n_below") % STATE_BLOCK).cast("int").alias("slot")
     )
-    named = cells.select("cell_id", F.col(state).cast("string").alias("from_state"))
-    dist = F.array(*[
-        F.struct(F.lit(s).alias("to_state"), F.greatest(
-            F.lit(0.0), F.coalesce("_xx", F.lit(0.0)) - 2 * F.coalesce(f"_d{i}", F.lit(0.0)) + norms[f"c{i}"]
-        ).alias("sq")) for i, s in enumerate(levels)
-    ])
-    return named.join(dots, "cell_id", "left").select("cell_id", "from_state", F.inline(dist))
+    numbered = cut_lineage(numbered)
+    blocks = (numbered.agg(F.max("block")).head()[0] if not numbered.isEmpty() else -1) + 1
+    slots = range(STATE_BLOCK if blocks > 1 else max(1, numbered.count()))
+    means = group_sums(values, cells, state).join(numbered, "level").select("gene_id", "block", "slot", (F.col("total") / F.col("n")).alias("c"))
+    spread = means.groupBy("gene_id", "block").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("c"))), F.lit(0.0)) for i in slots]).alias("_c"))
+    dots = treated.join(spread, "gene_id").groupBy("cell_id", "block").agg(F.array(*[F.sum(F.col("value") * F.col("_c")[i]) for i in slots]).alias("_d"))
+    own = treated.groupBy("cell_id").agg(F.sum(F.col("value") ** 2).alias("_xx"))
+    norms = means.groupBy("block", "slot").agg(F.sum(F.col("c") ** 2).alias("_cc"))
+    known = numbered.join(norms, ["block", "slot"], "left").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("slot", F.col("level").alias("to_state"), F.coalesce("_cc", F.lit(0.0)).alias("cc")))).alias("_states")
+    )
+    named = cells.select("cell_id", F.col(state).cast("string").alias("from_state")).join(own, "cell_id", "left")
+    grid = named.withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(blocks)]) if blocks <= 100 else F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks else F.explode(F.array().cast("array<int>")))
+    met = grid.join(dots, ["cell_id", "block"], "left").join(known, "block")
+    sq = F.transform("_states", lambda s: F.struct(s["to_state"].alias("to_state"), F.greatest(
+        F.lit(0.0), F.coalesce("_xx", F.lit(0.0)) - 2 * F.coalesce(F.get("_d", s["slot"]), F.lit(0.0)) + s["cc"]
+    ).alias("sq")))
+    return met.select("cell_id", "from_state", F.inline(sq))
 
 
 def state_transitions(distances: DataFrame) -> DataFrame:

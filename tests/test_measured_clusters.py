@@ -92,3 +92,27 @@ def test_shuffled_places_are_permutations(size):
         assert np.abs(share - 1 / 7).max() < 0.08
         pairs = Counter(zip(got[0].tolist(), got[1].tolist()))
         assert len(pairs) == 42 and max(pairs.values()) < 30
+
+
+def test_five_thousand_states(spark):
+    import pandas as pd
+
+    from countloom.operators import signatures as sg
+
+    n, g = 5000, 40
+    rng = np.random.default_rng(6)
+    x = rng.poisson(0.3, size=(n, g)).astype(float)
+    x[3] = 0
+    i, j = np.nonzero(x)
+    values = spark.createDataFrame(pd.DataFrame({"cell_id": i, "gene_id": j, "value": x[i, j]}))
+    states = np.array([f"s{k % 4999}" for k in range(n)])  # one state has two cells
+    cells = spark.createDataFrame(pd.DataFrame({"cell_id": np.arange(n), "state": states}))
+    names = sorted(set(states))
+    centres = np.array([x[states == s].mean(0) for s in names])
+    got = {}
+    for r in sg.soft_assignment(values, cells).where("cell_id IN (0, 3, 777)").collect():
+        got[r["cell_id"], r["to_state"]] = r["sq"]
+    assert len(got) == 3 * 4999
+    for c in (0, 3, 777):
+        assert np.allclose([got[c, s] for s in names], ((centres - x[c]) ** 2).sum(1), atol=1e-9)
+    assert sg.soft_assignment(values, cells.where("false")).count() == 0
