@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from countloom.functions.ranking import hash_sample
-
-MAX_MATCH_LABELS = 5_000
+from countloom.operators.matching import best_matching, pair_up
 
 
 def contingency(first: DataFrame, second: DataFrame, key: str = "cell_id") -> DataFrame:
@@ -57,62 +54,21 @@ def agreement(table: DataFrame) -> DataFrame:
     )
 
 
-def _assign(batch: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one assignment maximising total Jaccard on the label summary (shortest augmenting paths)."""
-    import numpy
-    import pandas
-
-    a = sorted(batch["a"].unique())
-    b = sorted(batch["b"].unique())
-    ia, ib = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-    score = numpy.zeros((len(a), len(b)))
-    for x, y, j in zip(batch["a"], batch["b"], batch["jaccard"]):
-        score[ia[x], ib[y]] = j
-    turned = score.shape[0] > score.shape[1]
-    cost = -(score.T if turned else score)
-    n, m = cost.shape
-    u, v = numpy.zeros(n + 1), numpy.zeros(m + 1)
-    owner = numpy.zeros(m + 1, dtype=int)
-    for row in range(1, n + 1):
-        owner[0], at = row, 0
-        best, back, done = numpy.full(m + 1, numpy.inf), numpy.zeros(m + 1, dtype=int), numpy.zeros(m + 1, dtype=bool)
-        while owner[at]:
-            done[at] = True
-            free = ~done
-            free[0] = False
-            reduced = cost[owner[at] - 1] - u[owner[at]] - v[1:]
-            better = free[1:] & (reduced < best[1:])
-            best[1:][better] = reduced[better]
-            back[1:][better] = at
-            open_cols = numpy.flatnonzero(free)
-            nxt = open_cols[numpy.argmin(best[open_cols])]
-            step = best[nxt]
-            u[owner[done]] += step
-            v[done] -= step
-            best[~done] -= step
-            at = nxt
-        while at:
-            owner[at] = owner[back[at]]
-            at = back[at]
-    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    pairs = [(j, i) if turned else (i, j) for i, j in pairs]
-    return pandas.DataFrame({"a": [a[i] for i, _ in pairs], "b": [b[j] for _, j in pairs]})
-
-
 def match_clusters(first: DataFrame, second: DataFrame, minimum: int = 10) -> DataFrame:
     """One-to-one matching of labels by Jaccard on shared cells; unmatched and small labels stay in the table.
 
     Branch labels without a partner follow as rows without a primary label, with their shared cells.
 
-    Only the label-by-label summary enters the assignment; its size is checked.
+    The assignment of greatest total Jaccard is found per component of overlapping labels; labels left on both sides,
+    which overlap nothing that is free, are paired in order.
     """
     table = contingency(first, second)
     size_a, size_b = table.groupBy("a").agg(F.sum("n").alias("na")), table.groupBy("b").agg(F.sum("n").alias("nb"))
     scored = table.join(size_a, "a").join(size_b, "b").withColumn("jaccard", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
-    k = scored.agg(F.countDistinct("a"), F.countDistinct("b")).first()
-    if max(k) > MAX_MATCH_LABELS:
-        raise ValueError(f"Matching is meant for at most {MAX_MATCH_LABELS} labels per partition")
-    matched = scored.select("a", "b", "jaccard").withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(_assign, "a string, b string")
+    matched = best_matching(scored.select("a", "b", F.col("jaccard").alias("weight")))
+    left_a, left_b = size_a.join(matched, "a", "left_anti").select("a"), size_b.join(matched, "b", "left_anti").select("b")
+    if not left_a.isEmpty() and not left_b.isEmpty():
+        matched = matched.unionByName(pair_up(left_a, left_b))
     totals = first.groupBy(F.col("label").cast("string").alias("a")).agg(F.count(F.lit(1)).alias("primary_total_cells"))
     both = totals.join(size_a, "a", "left").join(matched, "a", "left").join(size_b, "b", "left").join(table, ["a", "b"], "left")
     common, inter = F.coalesce("na", F.lit(0)), F.coalesce("n", F.lit(0))
