@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[list[str]] = []  # paths made inside open ``scratch`` blocks
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,8 @@ def new_path(spark: SparkSession, tag: str) -> str:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    for made in _MADE:
+        made.append(path)
     return path
 
 
@@ -44,7 +47,24 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the tables stored inside, at its end, but those handed to the function it yields."""
+    made: list[str] = []
+    kept: list[str] = []
+    _MADE.append(made)
+    try:
+        yield lambda df: kept.append(df.stored_at) or df
+    finally:
+        _MADE.remove(made)
+        for path in made:
+            if path not in kept:
+                drop_path(spark, path)
 
 
 @contextmanager

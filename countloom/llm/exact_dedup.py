@@ -8,10 +8,11 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import columns_of, new_path, stash
+from countloom.llm.common import columns_of, new_path, scratch, stash
 
 
 HOT_SHARE = 2000
+BROADCAST_ROWS = 500_000  # of an id and 32 letters each
 
 
 def normal_text(text: str | Column = "text") -> Column:
@@ -89,12 +90,19 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, batch: s
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, one per text, with all their columns.
 
-    A row that is there several times with the same id and text stays once.
+    A row that is there several times with the same id and text stays once. Only the rows that go are named, by id and
+    half of their digest. Up to BROADCAST_ROWS of them are sent to the tasks, so the texts stay where they are; beyond
+    that Spark shuffles both.
     """
-    kept = exact_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stash(kept, "kept-digests")
-    sha = F.sha2(normal_text(docs["text"]).cast("binary"), 256)
-    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha"))
-    out = docs.join(kept.where("_rows = 1"), same, "left_semi")
-    again = kept.where("_rows > 1")
-    return out if again.isEmpty() else out.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        marked = exact_duplicates(docs)
+        named = marked.groupBy(F.col("doc_id").alias("_id"), F.substring("text_sha256", 1, 32).alias("_sha"), "kept").agg(F.count(F.lit(1)).alias("_rows"))
+        named = keep(stash(named.where("NOT kept OR _rows > 1"), "dropped-digests"))
+    small = named.count() <= BROADCAST_ROWS
+    sha = F.substring(F.sha2(normal_text(docs["text"]).cast("binary"), 256), 1, 32)
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    side = lambda rows: F.broadcast(rows) if small else rows
+    out = docs.join(side(named), same, "left_anti")
+    again = named.where("kept")
+    return out if again.isEmpty() else out.unionByName(docs.join(side(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import columns_of, stash, text_slices
+from countloom.llm.common import columns_of, scratch, stash, text_slices
 from countloom.llm.components import components
 from countloom.llm.textarrays import mix, shingle_hashes, word_hashes
 
@@ -208,6 +208,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        bucket make no rows.
     4. Candidates are verified on the shingle sets of the whole texts; components close the classes.
     """
+    with scratch(docs.sparkSession) as keep:
+        out = keep(_classes(docs, id_col, text_col))
+    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
+    return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = columns_of(docs, id_col, text_col).where(F.col(id_col).isNotNull())
     named = named.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stash(signatures(named), "near-signatures")
@@ -258,9 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = nodes.join(comps, "node", "left").join(degree, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     joined = lean.where("n_shingles > 0").join(classes, ["d1", "d2"]).select("doc_id", "class_id", "links")
     alone = lean.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
-    out = stash(joined.unionByName(alone), "near-classes")
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return stash(joined.unionByName(alone), "near-classes")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
