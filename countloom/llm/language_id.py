@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from countloom.llm.common import columns_of, stash, text_slices
 from countloom.llm.textarrays import mix
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_KNOWN = 2_500_000  # numbers remembered per worker, one per word and language and one more; it starts anew beyond that
+_KNOWN = 1_500_000  # numbers remembered per worker, one per word and language and one more; it starts anew beyond that
 _MOST_LANGS = 1_000
 _FLOOR = 1e-9  # probability of a letter that no piece covers
 _SHORT, _RESCALE = 24, 16  # words of up to _SHORT letters need no scaling
@@ -31,13 +30,13 @@ def letter_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def vocabulary_pieces(path: str, longest: int = 8) -> list[str]:
-    """The distinct lower-case letter pieces of a public sentencepiece file, of at most ``longest`` letters."""
+def vocabulary_pieces(path: str) -> list[str]:
+    """The distinct lower-case letter pieces of a public sentencepiece file."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).replace("▁", "").lower() for i in range(model.vocab_size())}
-    return sorted(p for p in found if p and len(p) <= longest and regex.fullmatch(r"[\p{L}\p{M}]+", p))
+    return sorted(p for p in found if p and regex.fullmatch(r"[\p{L}\p{M}]+", p))
 
 
 class PieceTable:
@@ -87,18 +86,22 @@ class PieceTable:
 
 
 def _forward(table: PieceTable, words: list[str], probs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list]:
-    """Scaled forward sums at each position of words of one length: (alphas, log10 scale, edges)."""
+    """Scaled forward sums at each position of words of one length: (alphas, log scale, edges, divisors by position).
+
+    The sums at a position and after it are divided by the divisor of that position.
+    """
     n, langs = len(words[0]), probs.shape[1]
     alpha = [np.zeros((len(words), langs)) for _ in range(n + 1)]
     alpha[0][:] = 1.0
     scale = np.zeros((len(words), langs))
-    kept = []
+    kept, divisors = [], {}
     for start, length, rows, piece in table.edges(words):
         if length == 1 and n > _SHORT and start and start % _RESCALE == 0:  # all sums into ``start`` are done
             top = alpha[start].copy()
             for k in range(start, min(n, start + table.longest) + 1):
                 alpha[k] /= top
             scale += np.log(top)
+            divisors[start] = top
         if length == 1:
             covered = np.zeros(len(words), bool)
             covered[rows] = True
@@ -106,7 +109,7 @@ def _forward(table: PieceTable, words: list[str], probs: np.ndarray) -> tuple[li
             alpha[start + 1][bare] += alpha[start][bare] * _FLOOR
         alpha[start + length][rows] += alpha[start][rows] * probs[piece]
         kept.append((start, length, rows, piece))
-    return alpha, scale, kept
+    return alpha, scale, kept, divisors
 
 
 def _by_length(words: list[str], langs: int, most: int = 1 << 20):
@@ -125,31 +128,39 @@ def word_log_probs(table: PieceTable, words: list[str], probs: np.ndarray) -> np
     """Natural log of each word's probability under each language: all segmentations are summed."""
     out = np.zeros((len(words), probs.shape[1]))
     for group in _by_length(words, probs.shape[1]):
-        alpha, scale, _ = _forward(table, [words[i] for i in group], probs)
+        alpha, scale, _, _ = _forward(table, [words[i] for i in group], probs)
         out[group] = np.log(np.maximum(alpha[-1], 1e-300)) + scale
     return out
 
 
 def expected_pieces(table: PieceTable, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Expected piece counts of the words (weights: words x languages) by the forward-backward sums.
+    """Expected piece counts of the words (weights: words x languages) by the forward-backward sums, words of any length.
 
-    Longer runs of letters than _SHORT teach nothing about pieces here; they are scored like all others.
+    Backward sums are kept times the divisors that the forward sums have had before, over the word's probability, so
+    that their product at a position is the chance of a cut there.
     """
     total = np.zeros((len(table.hashes), weights.shape[1]))
-    short = np.array([i for i, w in enumerate(words) if len(w) <= _SHORT], np.int64)
-    for group in _by_length([words[i] for i in short], weights.shape[1]):
-        group = short[group]
+    for group in _by_length(words, weights.shape[1]):
         part = [words[i] for i in group]
-        alpha, _, edges = _forward(table, part, probs)
+        alpha, _, edges, divisors = _forward(table, part, probs)
         beta = [np.zeros_like(a) for a in alpha]
-        beta[-1][:] = 1.0
+        beta[-1] = 1.0 / np.maximum(alpha[-1], 1e-300)
+        crossed = lambda start, stop, rows: [top[rows] for at, top in divisors.items() if start < at <= stop]
         for start, length, rows, piece in reversed(edges):
-            beta[start][rows] += beta[start + length][rows] * probs[piece]
+            here = beta[start + length][rows] * probs[piece]
+            for top in crossed(start, start + length, rows):
+                here = here / top
+            beta[start][rows] += here
             if length == 1:
                 bare = np.setdiff1d(np.arange(len(part)), rows, assume_unique=True)
-                beta[start][bare] += beta[start + 1][bare] * _FLOOR
+                here = beta[start + 1][bare] * _FLOOR
+                for top in crossed(start, start + 1, bare):
+                    here = here / top
+                beta[start][bare] += here
         for start, length, rows, piece in edges:
-            share = alpha[start][rows] * probs[piece] * beta[start + length][rows] / np.maximum(beta[0][rows], 1e-300)
+            share = alpha[start][rows] * probs[piece] * beta[start + length][rows]
+            for top in crossed(start, start + length, rows):
+                share = share / top
             share = share * weights[group[rows]]
             for k in range(weights.shape[1]):
                 total[:, k] += np.bincount(piece, share[:, k], len(total))
@@ -193,6 +204,11 @@ class Model:
         self._values[first : first + len(new), -1] = count
         self._rows.update(zip(new, range(first, first + len(new))))
 
+    def forget(self) -> None:
+        """Let go of the remembered words."""
+        self._rows.clear()
+        self._values = np.zeros((1 << 10, len(self.langs) + 1))
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, probability among the languages) of each text; ``und`` and 0 without a letter."""
         chunks = [t.lower().split() if t.isascii() else unicodedata.normalize("NFC", t).lower().split() for t in texts]
@@ -266,9 +282,6 @@ def train(docs: DataFrame, vocabulary: str, quota: int = 8_000, rounds: int = 2,
     return model
 
 
-_CURRENT: dict[str, Model] = {}
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score.
 
@@ -289,14 +302,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def _predictor(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number per piece and language
-    key = uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]):
-        own = _CURRENT.get(key) or shared.value  # a worker that serves several tasks keeps the words it has met
-        _CURRENT.clear()
-        _CURRENT[key] = own
-        for part in text_slices(batches):
-            yield part, *own.predict([t or "" for t in part.column("text").to_pylist()])
+        own = shared.value
+        try:
+            for part in text_slices(batches):
+                yield part, *own.predict([t or "" for t in part.column("text").to_pylist()])
+        finally:
+            own.forget()  # the worker goes on to other stages
 
     return predict
 
@@ -307,10 +320,16 @@ def held_out(id_col: str, modulus: int, remainder: int):
 
 
 def keep_recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with at least that score, with all their columns, in place."""
+    """The rows of ``docs`` whose language is recognised with at least that score, with all their columns, in place.
+
+    Null texts and texts without a letter go. Where no row has a language there is nothing to learn from, and every row
+    stays.
+    """
     import public_tokenizers
 
     model = train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    if not model.langs:
+        return docs
     predict = _predictor(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
