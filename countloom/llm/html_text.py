@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,7 +38,10 @@ TOKENS = (
 ).split()
 _TAG_AT, _TOKEN_AT = {t: i for i, t in enumerate(TAGS)}, {t: i for i, t in enumerate(TOKENS)}
 _PARTS = re.compile(r"[a-z]+")
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A tag whose quoted values end; quantifiers keep what they took, so a match reads each character once.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 _NUMERIC = 24
@@ -55,26 +59,55 @@ class _Builder:
         self.inputs: list[int] = []
         self.images: list[int] = []
         self.block, self.link, self.never, self.run = 0, False, [], -1
-        at, end = 0, len(html)
-        while at < end:
-            found = _MARKUP.search(html, at)
+        self.open: Counter = Counter()  # elements on the stack, by tag
+        last, at, scan = html.rfind(">"), 0, 0
+        while (start := html.find("<", scan)) >= 0:
+            found = self._markup(html, start, last)
             if found is None:
-                self._text(html[at:])
-                break
-            if found.start() > at:
-                self._text(html[at : found.start()])
-            at = found.end()
-            name = found[2]
-            if name is None:
+                scan = start + 1
+                continue
+            closing, name, attributes, end = found
+            if start > at:
+                self._text(html[at:start])
+            at = scan = end
+            if not name:
                 continue
             name = name.lower()
-            if found[1]:
+            if closing:
                 self._end(name)
                 continue
-            self._start(name, found[3])
+            self._start(name, attributes)
             if name in _RAW_END:  # up to its end tag, this element holds no markup
                 close = _RAW_END[name].search(html, at)
-                at = close.start() if close else end
+                at = scan = close.start() if close else len(html)
+        self._text(html[at:])
+
+    @staticmethod
+    def _markup(html: str, start: int, last: int) -> tuple[str, str, str, int] | None:
+        """(slash, tag, attributes, end) of the markup at ``start``, no tag for comments; None for a plain "<".
+
+        A comment without an end goes to the end of the page. A tag whose quotes do not end stops at the next ">"; one
+        without any ">" is text. ``last`` is the page's last ">", so no search is in vain and a page takes linear time.
+        """
+        if html.startswith("<!--", start):
+            end = _COMMENT_END.search(html, start + 4)
+            return "", "", "", end.end() if end else len(html)
+        if start > last:
+            return None
+        named = _NAMED.match(html, start)
+        if named:
+            tag = _TAG.match(html, start)
+            if tag:
+                return tag[1], tag[2], tag[3], tag.end()
+            end = html.index(">", start)
+            return named[1], named[2], html[named.end() : end], end + 1
+        if html[start + 1 : start + 2] in ("!", "?", "/") and html[start + 2 : start + 3] != ">":
+            return "", "", "", html.index(">", start) + 1
+        return None
+
+    def _cut(self, k: int) -> None:
+        self.open.subtract(self.tag[i] for i in self.stack[k:])
+        del self.stack[k:]
 
     def _open(self, tag: str, attributes: str) -> int:
         node, up = len(self.tag), self.stack[-1]
@@ -121,22 +154,24 @@ class _Builder:
                 self.link = True
             if attributes and any(k in attributes for k in ("class", "id=", "role", "hidden")):
                 self.stack.append(self._open(tag, attributes))
+                self.open[tag] += 1
                 self.run = -1
             return
         self._break()
         stack, names = self.stack, self.tag
         while names[stack[-1]] in INLINE or names[stack[-1]] == "p":
-            stack.pop()
+            self._cut(len(stack) - 1)
         ends = CLOSES.get(tag)
-        if ends:
+        if ends and any(self.open[t] > 0 for t in ends):
             for k in range(len(stack) - 1, 0, -1):
                 name = names[stack[k]]
                 if name in ends:
-                    del stack[k:]
+                    self._cut(k)
                     break
                 if name in SCOPE:
                     break
         stack.append(self._open(tag, attributes))
+        self.open[tag] += 1
 
     def _end(self, tag: str) -> None:
         if self.never:
@@ -151,10 +186,12 @@ class _Builder:
         inline = tag in INLINE
         if not inline:
             self._break()
+        if self.open[tag] <= 0:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.tag[self.stack[k]]
             if name == tag:
-                del self.stack[k:]
+                self._cut(k)
                 self.run = -1
                 return
             if inline and name not in INLINE:
@@ -252,8 +289,10 @@ def node_features(pages: list[PageNodes]) -> np.ndarray:
     longest = total[:, 0].copy()
     start = np.full(n, np.inf)
     np.minimum.at(start, node, through - base[of_page])
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        here = np.flatnonzero(depth == d)
+    by_depth = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 2))
+    for d in range(len(cuts) - 2, -1, -1):
+        here = by_depth[cuts[d] : cuts[d + 1]]
         np.add.at(total, parent[here], total[here])
         np.maximum.at(longest, parent[here], longest[here])
         np.minimum.at(start, parent[here], start[here])
@@ -314,6 +353,33 @@ def _semantic_main(html: str) -> list[str] | None:
     return None
 
 
+def _densest_main(html: str) -> list[str] | None:
+    """The blocks of the smallest subtree that holds most of the text outside links; None for a page without text.
+
+    From the root down, the child with at least 0.6 of its parent's text is followed.
+    """
+    page = PageNodes(html)
+    n = len(page.tag)
+    size = np.zeros(n)
+    for node, _, text, link in page.pieces:
+        size[node] += 0 if link else len(text.strip())
+    for i in range(n - 1, 0, -1):
+        size[page.parent[i]] += size[i]
+    best = np.zeros(n, np.int64)  # each node's child with the most text
+    for i in range(1, n):
+        up = page.parent[i]
+        if best[up] == 0 or size[i] > size[best[up]]:
+            best[up] = i
+    at = 0
+    while best[at] and page.tag[best[at]] != "#run" and size[best[at]] >= 0.6 * size[at]:
+        at = int(best[at])
+    inside = np.zeros(n, bool)
+    inside[at] = True
+    for i in range(at + 1, n):
+        inside[i] = inside[page.parent[i]] and page.tag[i] not in ("nav", "header", "footer", "aside", "form")
+    return [t for t in page.text(inside).split("\n\n") if t] or None
+
+
 def _other_text(html: str) -> list[str]:
     """The blocks of the page outside its ``article`` and ``main`` elements."""
     page = PageNodes(html)
@@ -425,16 +491,19 @@ def training_page(rng, blocks: list[str], texts: list[str]) -> str:
 def fit_pages(pages: list[str], variants: int = 8, seed: int = 0) -> Trees:
     """Fit the node classifier on pages with an ``article`` or ``main`` element, as they are and in ``variants`` other templates.
 
+    Where no page has one, the densest subtree of each page stands for it, in the other templates only.
     Only nodes whose parent is open, that is holds main text, are examples: the classifier answers whether a node is
     open given that its parent is.
     """
     rng = np.random.default_rng(seed)
     mains = [(html, m) for html in pages if (m := _semantic_main(html))]
+    named = bool(mains)
+    mains = mains or [(html, m) for html in pages if (m := _densest_main(html))]
     texts = [t for html in pages for t in _other_text(html)]
     texts += [s for _, m in mains for b in m for s in [" ".join(b.split()[: int(rng.integers(4, 40))])] if s]
     x, y = [], []
     for html, blocks in mains:
-        for k in range(variants + 1):
+        for k in range(0 if named else 1, variants + 1):
             page = PageNodes(training_page(rng, blocks, texts), labelled=True) if k else PageNodes(html)
             main = page.main
             if not k:
@@ -468,11 +537,11 @@ def extract(trees: Trees, pages: list[str]) -> list[str]:
     return out
 
 
-def train(pages: DataFrame, sample: int = 200, id_col: str = "page_id", html_col: str = "html") -> Trees:
-    """Fit on at most about ``sample`` pages, those with the smallest hash of their id, in one task."""
-    d = columns_of(pages, id_col, html_col).where(F.col(html_col).isNotNull())
-    share = min(1.0, sample / max(1, d.select(id_col).count()))
-    few = d.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < int(1_000_003 * share) + 1).select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html"))
+def train(pages: DataFrame, sample: int = 200, html_col: str = "html") -> Trees:
+    """Fit on at most about ``sample`` pages, those with the smallest hash of their html, in one task; copies count once."""
+    d = columns_of(pages, html_col).where(F.col(html_col).isNotNull())
+    share = min(1.0, sample / max(1, d.count()))
+    few = d.where(F.pmod(F.xxhash64(html_col), F.lit(1_000_003)) < int(1_000_003 * share) + 1).select(F.lit("").alias("id"), F.col(html_col).alias("html")).distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = pd.concat([pd.DataFrame({"id": [], "html": []}), *frames]).sort_values(["id", "html"])

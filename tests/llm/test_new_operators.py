@@ -337,3 +337,51 @@ def test_a_long_conversation_is_cut_over_tasks(spark):
     assert (row["duplicate"], row["illegal"], row["cost"], row["gaps"]) == (n, 0, 2 * n, 100_000 - n) and row["audit"] == "K" * n + "D" * n
     text = "\n".join(f"{'user' if i % 2 == 0 else 'assistant'}:t{i}." for i in range(n))
     assert row["repaired_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+# 2 pages without an article, malformed markup
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "x<b " * 250_000, "<div>" * 100_000 + "</p>" * 100_000, '<a x="' * 150_000, "<a " * 200_000 + 'x=">"', "<" * 1_000_000, "<!--" * 200_000, "<center>" * 50_000 + "<td>" * 50_000])
+def test_malformed_pages_take_linear_time(html):
+    import time
+
+    from countloom.llm import html_text
+
+    start = time.process_time()
+    html_text.PageNodes(html)
+    assert time.process_time() - start < 4
+
+
+def test_markup_that_does_not_end():
+    from countloom.llm import html_text
+
+    text = lambda h: html_text.PageNodes(h).text([True] * 1000)
+    assert text("<p>a < b and c<d") == "a < b and c<d"
+    assert text('<p title="x>y">one</p><p class="open>two</p>three') == "one\n\ntwo\n\nthree"
+    assert text("<p>one<!-- two</p>three") == "one"
+    assert text("<p>one</p><? php ?><!doctype html>two") == "one\n\ntwo"
+
+
+def page_without_article(rng, k):
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 9)))
+    said = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    body = [said(rng.randint(25, 60)) for _ in range(rng.randint(4, 7))]
+    links = "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(rng.randint(5, 9)))
+    html = f"<html><body><div class='menu'><ul>{links}</ul></div><div class='wrap'><div class='story'>{''.join(f'<p>{b}</p>' for b in body)}</div></div><div class='footer'>{said(3)} <a href='/'>{word()}</a></div></body></html>"
+    return k, html, "\n\n".join(body)
+
+
+def test_pages_without_article_or_main_are_not_lost(spark):
+    from countloom.llm import html_text
+
+    rng = random.Random(3)
+    pages = [page_without_article(rng, k) for k in range(60)]
+    df = spark.createDataFrame([(None, "u", h) for _, h, _ in pages[:30]] + [(k, "u", h) for k, h, _ in pages[30:]], "page_id long, url string, html string")
+    trees = html_text.train(df, sample=40)
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(df, trees).where("page_id IS NOT NULL").collect()}
+    shares = []
+    for k, _, body in pages[30:]:
+        lines = set(body.split("\n\n"))
+        shares.append(len(lines & set(found[k].split("\n\n"))) / len(lines))
+    assert np.mean(shares) > 0.9, shares
