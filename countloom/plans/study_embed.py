@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from countloom.operators import embed as em, normalize, ordering as od
+from countloom.operators.neighbors_approx import approximate_neighbors
 from countloom.plans import sql_parts as sp, views as v
 from countloom.plans.catalog import query
 from countloom.plans.study_donors import rounded
@@ -107,6 +108,12 @@ def _(spark, sf):
     return v.by_first_cell(found, "sub_state")
 
 
+@query("m09_approximate_graph")
+def _(spark, sf):
+    # Neighbour descent is not exact; tests measure its recall and its distances.
+    return approximate_neighbors(v.vectors(spark, sf), 15).select("src", "dst", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("m09_knn_graph", v.with_ctes(v.VECTORS) + f"""
 , d AS (SELECT a.cell_id AS src, b.cell_id AS dst, {DIST} AS distance FROM vectors a JOIN vectors b ON a.cell_id <> b.cell_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM d) SELECT src, dst, round(distance, 6) AS distance, rank FROM r WHERE rank <= 15""".lstrip())
