@@ -3,7 +3,8 @@
 Points are cut into blocks of limited size around pivots. Each block first finds
 neighbours among its own points, which bounds every point's search radius; the
 triangle inequality then tells which other blocks can still hold a closer point,
-and only those are compared. Neither a block nor a comparison grows with the data.
+and only those are compared. Neither a block nor a comparison grows with the data,
+and nothing about the groups is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from countloom.functions.ranking import draw_key
 from countloom.session import cut_lineage
 
+CHUNK_ROWS = 20_000  # points that meet their group's pivots in one task
 METRICS = {"euclidean": "l2", "l2": "l2", "cityblock": "l1", "manhattan": "l1", "l1": "l1", "chebyshev": "linf", "linf": "linf", "infinity": "linf"}
 
 
@@ -67,41 +69,27 @@ def _across(k, metric):
     return run
 
 
-def _to_pivots(shared, metric):
+def _to_pivots(metric):
     """Nearest pivot of each point, and its distance, among the pivots of its group."""
-    def run(batches):
-        pivots = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            pivot, dist = np.empty(len(batch), dtype=np.int64), np.empty(len(batch))
-            vec = _stack(batch["vec"])
-            for g, rows in batch.groupby("grp").indices.items():
-                numbers, centres = pivots[g]
-                d = pair_distances(vec[rows], centres, metric)
-                best = d.argmin(axis=1)
-                pivot[rows], dist[rows] = numbers[best], d[np.arange(len(rows)), best]
-            yield batch.assign(pivot=pivot, pivot_distance=dist)
+    def run(points: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(points) or not len(pivots):
+            return pd.DataFrame({"id": [], "grp": [], "vec": [], "home": [], "pivot": [], "pivot_distance": []})
+        d = pair_distances(_stack(points["vec"]), _stack(pivots["at"]), metric)
+        best = d.argmin(axis=1)
+        return points[["id", "grp", "vec", "home"]].assign(pivot=pivots["pivot"].to_numpy()[best], pivot_distance=d[np.arange(len(d)), best])
 
     return run
 
 
-def _to_visit(shared, metric):
+def _to_visit(metric, columns):
     """Pivots, other than the home block, whose ball can hold a point closer than the radius known so far."""
-    def run(batches):
-        pivots, reach = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            vec, radius = _stack(batch["vec"]), batch["radius"].to_numpy()
-            out = []
-            for g, rows in batch.groupby("grp").indices.items():
-                numbers, centres = pivots[g]
-                d = pair_distances(vec[rows], centres, metric)
-                limit = radius[rows][:, None] + np.array([reach[int(p)] for p in numbers])[None, :]
-                i, j = np.nonzero(d <= limit * (1 + 1e-9) + 1e-12)
-                out.append(batch.iloc[rows[i]].assign(visit=numbers[j]))
-            yield pd.concat(out)
+    def run(points: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        if not len(points) or not len(pivots):
+            return pd.DataFrame({c: [] for c in columns})
+        d = pair_distances(_stack(points["vec"]), _stack(pivots["at"]), metric)
+        limit = points["radius"].to_numpy()[:, None] + pivots["reach"].to_numpy()[None, :]
+        i, j = np.nonzero(d <= limit * (1 + 1e-9) + 1e-12)
+        return points.iloc[i].assign(visit=pivots["pivot"].to_numpy()[j])[columns]
 
     return run
 
@@ -140,23 +128,21 @@ def exact_neighbors(points: DataFrame, k: int, metric: str = "euclidean", group:
 
 
 def _large_groups(able: DataFrame, k: int, metric: str, block_rows: int, max_pivots: int, found_schema: str, id_type: str) -> DataFrame:
-    spark = able.sparkSession
     drawn = W.partitionBy("grp").orderBy("_key", "id")
     want = F.least(F.lit(max_pivots), F.ceil(F.col("n") / block_rows))
     picked = able.where("home").withColumn("_key", draw_key(F.col("id"), 11)).withColumn("_r", F.row_number().over(drawn)).where(
         (F.col("_r") <= max_pivots) & (F.col("_r") <= want)
     )
-    table: dict[str, list] = {}
-    for number, r in enumerate(picked.select("grp", "vec").collect()):
-        table.setdefault(r["grp"], []).append((number, r["vec"]))
-    pivots = {g: (np.array([p for p, _ in items]), np.array([x for _, x in items], dtype=float)) for g, items in table.items()}
+    # A group's pivots meet its points a chunk of points at a time, so neither the driver nor a task sees all groups' pivots.
+    pivots = cut_lineage(picked.select(F.col("grp").alias("of"), F.concat_ws("/", "grp", F.col("_r").cast("string")).alias("pivot"), F.col("vec").alias("at"), F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks")))
+    dealt = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    chunk = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / CHUNK_ROWS)).alias("chunk")
     base = f"id {id_type}, grp string, vec array<double>, home boolean"
-    placed = cut_lineage(able.select("id", "grp", "vec", "home").mapInPandas(
-        _to_pivots(spark.sparkContext.broadcast(pivots), metric), base + ", pivot long, pivot_distance double"
-    ))
+    chunked = able.select("id", "grp", "vec", "home", chunk).groupBy("grp", "chunk")
+    placed = cut_lineage(chunked.cogroup(dealt.groupBy("of", "chunk")).applyInPandas(_to_pivots(metric), base + ", pivot string, pivot_distance double"))
     balls = placed.groupBy("pivot").agg(F.max("pivot_distance").alias("reach"), F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
-    reach = {r["pivot"]: r["reach"] for r in balls.collect()}
-    reach = {int(p): reach.get(int(p), -np.inf) for numbers, _ in pivots.values() for p in numbers}
+    balls = cut_lineage(balls)
+    reached = dealt.join(balls.select("pivot", "reach"), "pivot")  # a pivot without points needs no visit
     salted = placed.join(balls.select("pivot", "parts"), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     salted = cut_lineage(salted)
     local = cut_lineage(salted.groupBy("pivot", "part").applyInPandas(_local(k + 1, metric), found_schema))
@@ -164,8 +150,11 @@ def _large_groups(able: DataFrame, k: int, metric: str, block_rows: int, max_piv
         F.col("src").alias("id"), F.when(F.col("c") > k, F.col("m")).otherwise(F.lit(float("inf"))).alias("radius")
     )
     searching = salted.where("home").join(radius, "id").select("id", "grp", "vec", "home", F.col("pivot").alias("own"), F.col("part").alias("own_part"), "radius")
-    visits = searching.mapInPandas(
-        _to_visit(spark.sparkContext.broadcast((pivots, reach)), metric), base + ", own long, own_part long, radius double, visit long"
+    columns = ["id", "grp", "vec", "home", "own", "own_part", "radius", "visit"]
+    sizes = pivots.select(F.col("of").alias("grp"), "chunks").distinct()
+    searching = searching.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")))
+    visits = searching.drop("chunks").groupBy("grp", "chunk").cogroup(reached.groupBy("of", "chunk")).applyInPandas(
+        _to_visit(metric, columns), base + ", own string, own_part long, radius double, visit string"
     )
     parts = balls.select(F.col("pivot").alias("visit"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     targets = cut_lineage(visits.join(parts, "visit").where((F.col("visit") != F.col("own")) | (F.col("part") != F.col("own_part"))).select("id", "vec", "visit", "part"))

@@ -42,3 +42,22 @@ def test_small_tables_and_copies(spark):
     assert na.recall(found, df, 3) > 0.9
     assert na.approximate_neighbors(df.where("false"), 3).count() == 0
     assert na.approximate_neighbors(df.where("cell_id = 5"), 3).count() == 0
+
+
+def test_many_sections_and_a_crowded_spot(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    sections, crowd = 10_000, 3000
+    x = np.vstack([rng.random((sections * 2, 2)) * 50, 7 + 1e-3 * rng.random((crowd, 2)), rng.random((500, 2)) * 100])
+    where = np.concatenate([np.repeat(np.arange(sections), 2), np.full(crowd + 500, 3)])
+    df = spark.createDataFrame(pd.DataFrame({"cell_id": np.arange(len(x)), "vec": list(x), "section": where.astype(str)}))
+    found = exact_neighbors(df, 3, group="section", block_rows=200).toPandas()
+    counts = found.groupby("src").size()
+    assert len(found[found["src"] < 6]) == 6 and (counts.loc[sections * 2 :] == 3).all()  # section 3 is the crowded one
+    here = np.flatnonzero(where == 3)
+    d = np.linalg.norm(x[here][:, None] - x[here][None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.sort(d, axis=1)[:, :3]
+    got = found[found["src"].isin(here)].sort_values(["src", "rank"])["distance"].to_numpy().reshape(-1, 3)
+    assert np.allclose(got, near)
