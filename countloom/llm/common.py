@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -93,6 +95,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             start = stop
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker goes on to other stages after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that other columns of the input cannot clash with those an operator makes."""
     return df.select(*[df[n] for n in names])

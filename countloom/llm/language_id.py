@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import columns_of, stash, text_slices
+from countloom.llm.common import columns_of, release, stash, text_slices
 from countloom.llm.textarrays import mix
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -240,6 +240,7 @@ def _piece_counts(model: Model, langs: list[str]):
             words = sorted(seen)
             if words:
                 total += expected_pieces(table, words, np.array([seen[w] for w in words], np.float64), model.probs)
+        release()
         piece, lang = np.nonzero(total)
         yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 
@@ -309,7 +310,8 @@ def _predictor(docs: DataFrame, model: Model):
             for part in text_slices(batches):
                 yield part, *own.predict([t or "" for t in part.column("text").to_pylist()])
         finally:
-            own.forget()  # the worker goes on to other stages
+            own.forget()
+            release()
 
     return predict
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countloom.llm.common import columns_of, scratch, stash, text_slices
+from countloom.llm.common import columns_of, release, scratch, stash, text_slices
 from countloom.llm.components import components
 from countloom.llm.textarrays import mix, shingle_hashes, word_hashes
 
@@ -113,6 +113,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["doc_id", "n_shingles", "d1", "d2", "bands", "registers"],
         )
+    release()
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,6 +129,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.searchsorted(docs, np.arange(part.num_rows + 1))
         blobs = [(shingles[a:b].tobytes(), weights[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
         yield pa.record_batch([part.column("doc_id"), pa.array([x for x, _ in blobs], pa.binary()), pa.array([w for _, w in blobs], pa.binary())], names=["doc_id", "shingles", "weights"])
+    release()
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +142,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = (mix(np.repeat(shingles, weights) + number.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         cuts = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
         yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(marks))], names=["doc_id", "marks"])
+    release()
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
