@@ -9,27 +9,33 @@ from countloom.llm.common import stash
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is recognised; texts without letters and undecided ones go."""
+    """Keep the documents whose language is recognised; null texts, texts without letters and undecided ones go.
+
+    Where no row has a language there is nothing to learn from, and all rows stay.
+    """
     return language_id.keep_recognised(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the largest id of equal texts."""
+    """Keep the row with the largest id of equal texts; null equals the empty text, a null id is the smallest."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group of near copies; rows with a null id and texts without words stay."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark passage."""
+    """Drop the documents that hold a benchmark passage; null and empty items hold none, null and empty texts stay."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the mix takes, with ``copies`` (how often) and ``taken`` (words) beside their columns."""
+    """Keep the documents that the mix takes, with ``copies`` (how often) and ``taken`` (words) beside their columns.
+
+    A null text has no words; a null source is a source of its own, the last.
+    """
     return mixing.take_mix(docs)
 
 
@@ -46,7 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
+    """Apply all stages to ``documents``; columns beyond those named pass through, an empty table gives no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
