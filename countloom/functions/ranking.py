@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from countloom.session import cut_lineage
+from countloom.session import cut_lineage, stored
 
 
 def value_bucket(value: Column, per_octave: int = 64) -> Column:
@@ -66,7 +66,8 @@ def benjamini_hochberg(
     """Add adjusted p-values within each family.
 
     ``missing="one"`` counts null, NaN and +inf as 1 and -inf as 0. ``missing="keep"``
-    adjusts only finite values and leaves the others null.
+    adjusts only finite values and leaves the others null. The rows are written
+    first: they are joined on their own p, which must be the same on both sides.
     """
     family = list(family or [])
     raw = F.col(p)
@@ -79,7 +80,7 @@ def benjamini_hochberg(
         clean = F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     else:
         raise ValueError("missing must be 'one' or 'keep'")
-    rows = df.withColumn("_p", clean)
+    rows = stored(df.withColumn("_p", clean))
     pos = tie_positions(rows.where(F.col("_p").isNotNull()).select(*family, "_p"), family, "_p", keep_bucket=True)
     pos = pos.withColumn(
         "_cand", F.least(F.lit(1.0), F.col("_p") * F.col("n_total") / (F.col("n_below") + F.col("n_tie")).cast("double"))

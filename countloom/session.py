@@ -54,3 +54,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             raise ValueError("Set spark.checkpoint.dir to a shared folder before running iterative operators")
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the scratch folder and read it back, so that its values are computed once.
+
+    Sums of floating-point numbers depend on the order in which shuffled blocks arrive. A table that is joined with
+    something made from its own values must therefore not be computed twice.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

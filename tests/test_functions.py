@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,17 @@ def test_bh_policies(spark):
     assert all(kept[i] is None for i in range(10) if i not in finite)
 
 
+def test_bh_computes_p_once(spark):
+    @F.pandas_udf("double")
+    def noisy(i: pd.Series) -> pd.Series:
+        return i / 1000 * (1 + 1e-13 * np.random.default_rng().random(len(i)))
+
+    df = spark.range(1, 801).select("id", noisy.asNondeterministic()("id").alias("p_value"))
+    out = ranking.benjamini_hochberg(df).toPandas().sort_values("id")
+    assert len(out) == 800 and out["fdr_q_value"].notna().all()
+    assert np.allclose(out["fdr_q_value"], 0.8)
+
+
 def test_bh_empty_and_families(spark):
     empty = spark.createDataFrame([], "f string, p double")
     assert ranking.benjamini_hochberg(empty, "p", "q", ["f"]).count() == 0
