@@ -27,12 +27,12 @@ def _drop_one(n: Column, mean: Column, dev: Column, stored: Column, present: Col
     )
 
 
-def leave_one_out(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: str, pseudocount: float = 0.5, paired: bool = False) -> DataFrame:
+def leave_one_out(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: str, pseudocount: float = 0.5, paired: bool = False, adjust: bool = True) -> DataFrame:
     """Full model plus one fold per donor, every gene in every fold.
 
     The moments of a fold are the full moments with one donor taken out, so
     counts are aggregated once, not once per fold. Paired folds test donor
-    differences.
+    differences. Without ``adjust`` the columns p_value and fdr_q_value are left out.
     """
     sides = ds.donor_sides(cells, a, b)
     cpm = ds.donor_cpm(counts, cells, a, b)
@@ -52,6 +52,8 @@ def leave_one_out(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str,
             ds.sq_dev_with_zeros(F.col("_k"), F.col("_m"), F.col("_v"), F.col("n_a")).alias("dev_d"),
             F.coalesce("_k", F.lit(0)).alias("stored_d"),
         )
+    # The gene table may be a single small file: its rows are dealt out before each becomes one row per fold.
+    full = full.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gene_id")
     nobody = F.struct(F.lit(FULL_MODEL).alias("donor"), F.lit(False).alias("in_a"), F.lit(False).alias("in_b"))
     donors = sides.agg(F.collect_list(F.struct("donor", "in_a", "in_b")).alias("l")).scalar()
     grid = full.select("*", F.inline(F.concat(F.array(nobody), donors))).join(per_donor, ["gene_id", "donor"], "left")
@@ -75,7 +77,10 @@ def leave_one_out(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str,
         (F.col("in_a").cast("int") + F.col("in_b").cast("int")).cast("long").alias("removed_sample_count"),
         (F.col("fa") + F.col("fb")).cast("long").alias("n_pseudobulk_samples"),
         F.when(~fits, F.lit("failed")).when(F.col("donor") == FULL_MODEL, F.lit("full_model")).otherwise(F.lit("estimated")).alias("fit_status"),
-    ).withColumn("p_value", F.when(F.col("_fits"), F.coalesce(t_two_sided("t_stat", "df"), F.lit(1.0)))).drop("_fits")
+    )
+    if not adjust:
+        return rows.drop("_fits")
+    rows = rows.withColumn("p_value", F.when(F.col("_fits"), F.coalesce(t_two_sided("t_stat", "df"), F.lit(1.0)))).drop("_fits")
     return benjamini_hochberg(rows, family=["left_out_donor"], missing="keep")
 
 
