@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from countloom.functions.ranking import draw_key
 from countloom.session import cut_lineage
 
-CHUNK_ROWS = 20_000  # points that meet their group's pivots in one task
+CHUNK_PAIRS = 1_000_000  # pairs of a point and a pivot of its group that meet in one task
 METRICS = {"euclidean": "l2", "l2": "l2", "cityblock": "l1", "manhattan": "l1", "l1": "l1", "chebyshev": "linf", "linf": "linf", "infinity": "linf"}
 
 
@@ -89,7 +89,7 @@ def _to_visit(metric, columns):
         d = pair_distances(_stack(points["vec"]), _stack(pivots["at"]), metric)
         limit = points["radius"].to_numpy()[:, None] + pivots["reach"].to_numpy()[None, :]
         i, j = np.nonzero(d <= limit * (1 + 1e-9) + 1e-12)
-        return points.iloc[i].assign(visit=pivots["pivot"].to_numpy()[j])[columns]
+        return points.drop(columns="vec").iloc[i].assign(visit=pivots["pivot"].to_numpy()[j])[columns]
 
     return run
 
@@ -127,6 +127,12 @@ def exact_neighbors(points: DataFrame, k: int, metric: str = "euclidean", group:
     return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("src", "dst", "distance", "rank")
 
 
+def _chunks(block_rows: int, max_pivots: int):
+    """Into how many chunks the ``n`` points of a group are dealt, so that a chunk's pairs with pivots stay bounded."""
+    pivots = F.least(F.lit(max_pivots), F.ceil(F.col("n") / block_rows))
+    return F.ceil(F.col("n") * pivots / CHUNK_PAIRS)
+
+
 def _large_groups(able: DataFrame, k: int, metric: str, block_rows: int, max_pivots: int, found_schema: str, id_type: str) -> DataFrame:
     drawn = W.partitionBy("grp").orderBy("_key", "id")
     want = F.least(F.lit(max_pivots), F.ceil(F.col("n") / block_rows))
@@ -134,9 +140,9 @@ def _large_groups(able: DataFrame, k: int, metric: str, block_rows: int, max_piv
         (F.col("_r") <= max_pivots) & (F.col("_r") <= want)
     )
     # A group's pivots meet its points a chunk of points at a time, so neither the driver nor a task sees all groups' pivots.
-    pivots = cut_lineage(picked.select(F.col("grp").alias("of"), F.concat_ws("/", "grp", F.col("_r").cast("string")).alias("pivot"), F.col("vec").alias("at"), F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks")))
+    pivots = cut_lineage(picked.select(F.col("grp").alias("of"), F.concat_ws("/", "grp", F.col("_r").cast("string")).alias("pivot"), F.col("vec").alias("at"), _chunks(block_rows, max_pivots).alias("chunks")))
     dealt = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    chunk = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / CHUNK_ROWS)).alias("chunk")
+    chunk = F.pmod(F.xxhash64("id", F.lit(3)), _chunks(block_rows, max_pivots)).alias("chunk")
     base = f"id {id_type}, grp string, vec array<double>, home boolean"
     chunked = able.select("id", "grp", "vec", "home", chunk).groupBy("grp", "chunk")
     placed = cut_lineage(chunked.cogroup(dealt.groupBy("of", "chunk")).applyInPandas(_to_pivots(metric), base + ", pivot string, pivot_distance double"))
@@ -150,20 +156,21 @@ def _large_groups(able: DataFrame, k: int, metric: str, block_rows: int, max_piv
         F.col("src").alias("id"), F.when(F.col("c") > k, F.col("m")).otherwise(F.lit(float("inf"))).alias("radius")
     )
     searching = salted.where("home").join(radius, "id").select("id", "grp", "vec", "home", F.col("pivot").alias("own"), F.col("part").alias("own_part"), "radius")
-    columns = ["id", "grp", "vec", "home", "own", "own_part", "radius", "visit"]
+    columns = ["id", "own", "own_part", "visit"]
     sizes = pivots.select(F.col("of").alias("grp"), "chunks").distinct()
     searching = searching.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")))
     visits = searching.drop("chunks").groupBy("grp", "chunk").cogroup(reached.groupBy("of", "chunk")).applyInPandas(
-        _to_visit(metric, columns), base + ", own string, own_part long, radius double, visit string"
+        _to_visit(metric, columns), f"id {id_type}, own string, own_part long, visit string"
     )
     parts = balls.select(F.col("pivot").alias("visit"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    targets = cut_lineage(visits.join(parts, "visit").where((F.col("visit") != F.col("own")) | (F.col("part") != F.col("own_part"))).select("id", "vec", "visit", "part"))
+    targets = cut_lineage(visits.join(parts, "visit").where((F.col("visit") != F.col("own")) | (F.col("part") != F.col("own_part"))).select("id", "visit", "part"))
     loads = targets.groupBy("visit", "part").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("chunks"))
     asked = targets.join(loads, ["visit", "part"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")))
     offered = salted.select("id", "vec", F.col("pivot").alias("visit"), "part").join(loads, ["visit", "part"]).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     )
     keys = ["visit", "part", "chunk"]
+    asked = asked.join(salted.select("id", F.col("vec").alias("at")), "id").withColumnRenamed("at", "vec")
     far = asked.select("id", "vec", *keys).groupBy(*keys).cogroup(offered.select("id", "vec", *keys).groupBy(*keys)).applyInPandas(_across(k + 1, metric), found_schema)
     both = local.unionByName(far)
     best = W.partitionBy("src").orderBy("distance", "dst")
