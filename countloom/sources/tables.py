@@ -171,12 +171,18 @@ def check_run_events(events: DataFrame, log: str = "log") -> DataFrame:
 
 def read_run_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Read JSON-lines run logs, one log per file. A malformed last line is dropped; any other is an error."""
-    parsed = F.from_json("value", RUN_EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    raw = spark.read.text(path).select(
-        parsed.alias("e"), F.col("_metadata.file_path").alias("log"),
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("log"),
         F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("_position"),
-    ).select("e.*", "log", "_position")
-    last = raw.groupBy("log").agg(F.max("_position").alias("_last"))
+    )
+    return parse_run_events(lines, strict)
+
+
+def parse_run_events(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """Events of run-log lines (value, log, _position), of any number of logs; positions need only be ordered within a log."""
+    parsed = F.from_json("value", RUN_EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    raw = lines.select(parsed.alias("e"), "log", "_position").select("e.*", "log", "_position")
+    last = lines.groupBy("log").agg(F.max("_position").alias("_last"))
     kept = raw.join(last, "log").where(F.col("_bad").isNull() | (F.col("_position") != F.col("_last")))
     if strict:
         wrong = kept.agg(F.count_if(F.col("_bad").isNotNull())).first()[0]
