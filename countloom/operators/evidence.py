@@ -109,14 +109,21 @@ def select_evidence(results: DataFrame, table: str = "table_id", alpha: float |
 def merge_origins(evidence: DataFrame, groups: list[str]) -> DataFrame:
     """Label evidence rows connected by shared origins, inside each group, with one component id, the least evidence_id.
 
-    ``evidence`` has evidence_id and an array ``origins``. Rows and origins are the two sides of a graph whose
-    components are found by star contraction, in a logarithmic number of steps.
+    ``evidence`` has evidence_id and an array ``origins``. Origins are the nodes of a graph: each row ties its other
+    origins to its least one, and rows with the same origins give the same links. Components of the numbered origins
+    are found by star contraction, in a logarithmic number of steps.
     """
-    links = cut_lineage(evidence.select(*groups, "evidence_id", F.explode("origins").alias("origin")).where("origin IS NOT NULL").distinct())
-    name = lambda side, c: F.to_json(F.array(*[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups], *[F.col(g).isNull().cast("string") for g in groups], F.lit(side), F.col(c).cast("string")))
-    rows = links.select(*groups, "evidence_id", name("e", "evidence_id").alias("node")).distinct()
-    found = components(links.select(name("e", "evidence_id").alias("a"), name("o", "origin").alias("b")))
-    placed = cut_lineage(rows.join(found, "node").select(*groups, "evidence_id", F.col("component").alias("_star")))
+    node = lambda c: F.struct(*groups, F.col(c).alias("origin"))
+    own = evidence.select(*groups, "evidence_id", F.explode("origins").alias("origin")).where("origin IS NOT NULL")
+    tied = own.withColumn("_first", F.min("origin").over(W.partitionBy(*groups, "evidence_id")))
+    tied = cut_lineage(tied.select(*groups, "evidence_id", node("origin").alias("node"), node("_first").alias("first")))
+    names = cut_lineage(tied.select("node").distinct().withColumn("id", F.monotonically_increasing_id()))
+    links = tied.where("node != first").select("node", "first").distinct().join(names.withColumnRenamed("id", "a"), "node").join(
+        names.select(F.col("node").alias("first"), F.col("id").alias("b")), "first"
+    )
+    found = components(links.select("a", "b")).withColumnRenamed("node", "id")
+    stars = names.join(found, "id", "left").select(F.col("node").alias("first"), F.coalesce("component", "id").alias("_star"))
+    placed = cut_lineage(tied.select(*groups, "evidence_id", "first").distinct().join(stars, "first").drop("first"))
     least = placed.groupBy("_star").agg(F.min("evidence_id").alias("component"))
     return placed.join(least, "_star").select(*groups, "evidence_id", "component")
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from countloom.operators import neighbors, sensitivity, signatures
+from countloom.operators import evidence as ev, neighbors, sensitivity, signatures
 from countloom.sources import tables
 
 
@@ -33,3 +33,15 @@ def test_logs_need_no_file_each(spark):
     lines = [(str(u), n, f'{{"run_id": "r", "study_id": "s", "sequence": {n}, "elapsed_seconds": 1.0}}') for u in range(50) for n in (1, 2)]
     df = spark.createDataFrame(lines + [("7", 3, '{"run')], "log string, _position int, value string")
     assert tables.parse_run_events(df).groupBy("log").count().where("count = 2").count() == 50
+
+
+def test_rows_with_the_same_origins_are_linked_once(spark, monkeypatch):
+    rows = [(g, i, o) for g in (1, None) for i, o in enumerate([["a", "b", None]] * 50 + [["c"], ["b", "d"], ["e", "c"], []])]
+    rows.append((1, 0, ["f"]))  # a second row of the same evidence
+    sizes, components = [], ev.components
+    monkeypatch.setattr(ev, "components", lambda links: sizes.append(links.count()) or components(links))
+    found = ev.merge_origins(spark.createDataFrame(rows, "g int, evidence_id int, origins array<string>"), ["g"]).collect()
+    assert sizes == [7]  # of each group a-b, b-d, c-e; a-f
+    assert len(found) == 106 and {(r["g"], r["evidence_id"], r["component"]) for r in found} == {
+        (g, i, 50 if i in (50, 52) else 0) for g in (1, None) for i in range(53)
+    }
