@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window as W, functions as F
 
 RUN_EVENT_SCHEMA = (
     "run_id string, study_id string, sequence int, timestamp timestamp, elapsed_seconds double, "
@@ -61,6 +61,7 @@ def parse_matrix_market(matrix: DataFrame, barcodes: DataFrame, features: DataFr
     The matrix is features by barcodes; positions of its lines need only be
     ordered, those of the others count from 1. Shape, ids and values are checked
     with one aggregate per table. Values are long where the banner says integer.
+    The matrix is read three times: lines that are costly to make should be written first.
     """
     cells = barcodes.select(F.col("line").alias("cell_id"), F.col("position").alias("cell_index"))
     tabs = F.split("line", "\t")
@@ -72,13 +73,15 @@ def parse_matrix_market(matrix: DataFrame, barcodes: DataFrame, features: DataFr
     lines = matrix.where(F.trim("line") != "")
     comment = F.col("line").startswith("%")
     body = lines.where(~comment)
-    head = lines.agg(F.min_by("line", "position").alias("banner"), F.min_by(F.when(~comment, F.col("line")), F.when(~comment, F.col("position"))).alias("size")).head()
+    size = F.when(~comment, F.struct("position", "line"))
+    head = lines.agg(F.min_by("line", "position").alias("banner"), F.min(size).alias("first")).select("banner", F.col("first.line").alias("size"), F.col("first.position").alias("at")).head()
     if head is None or head["size"] is None:
         raise ValueError("Matrix Market file has no size line")
     n_rows, n_cols, n_stored = (int(v) for v in head["size"].split()[:3])
     kind = "long" if "integer" in head["banner"].lower().split() else "double"
     part = F.split(F.trim("line"), r"\s+")
-    size_line = body.agg(F.min("position").alias("p")).scalar()
+    at = head["at"]  # a number, or the parts of a position
+    size_line = F.struct(*[F.lit(v).cast("long").alias(c) for c, v in at.asDict().items()]) if isinstance(at, Row) else F.lit(at)
     entries = body.where(F.col("position") != size_line).select(
         part.getItem(0).cast("long").alias("gene_index"), part.getItem(1).cast("long").alias("cell_index"),
         part.getItem(2).cast("double").alias("value"),
@@ -97,10 +100,11 @@ def parse_matrix_market(matrix: DataFrame, barcodes: DataFrame, features: DataFr
     ).first()
     if found[0] != n_stored or found[1] or found[2]:
         raise ValueError("Matrix entries must match the size line and be finite, nonnegative and inside the shape")
+    # Ids are unique, so entries may be added up by their indices, where the join has put them.
     counts = (
-        entries.join(genes.select("gene_id", "gene_index"), "gene_index")
-        .join(cells, "cell_index").where(F.col("value") != 0)
-        .groupBy("cell_id", "gene_id").agg(F.sum("value").cast(kind).alias("value"))
+        entries.where(F.col("value") != 0).join(genes.select("gene_id", "gene_index"), "gene_index")
+        .join(cells, "cell_index").groupBy("cell_index", "gene_index", "cell_id", "gene_id").agg(F.sum("value").cast(kind).alias("value"))
+        .select("cell_id", "gene_id", "value")
     )
     return counts, cells, genes
 

@@ -45,3 +45,20 @@ def test_rows_with_the_same_origins_are_linked_once(spark, monkeypatch):
     assert len(found) == 106 and {(r["g"], r["evidence_id"], r["component"]) for r in found} == {
         (g, i, 50 if i in (50, 52) else 0) for g in (1, None) for i in range(53)
     }
+
+
+def test_matrix_entries_are_added_up_where_their_join_put_them(spark):
+    lines = ["%%MatrixMarket matrix coordinate integer general", "% note", "3 2 5", "1 1 5", "3 1 2", "2 2 7", "3 2 1", "3 1 4"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(int(batch["line"].str.startswith("1 1").sum()))
+            yield batch
+
+    matrix = spark.createDataFrame(list(enumerate(lines)), "position long, line string").mapInPandas(watched, "position long, line string")
+    barcodes, features = (spark.createDataFrame([(i + 1, x) for i, x in enumerate(xs)], "position long, line string") for xs in (["A", "B"], ["G", "H", "I"]))
+    counts, _, _ = tables.parse_matrix_market(matrix, barcodes, features)
+    assert {(r["cell_id"], r["gene_id"], r["value"]) for r in counts.collect()} == {("A", "G", 5), ("A", "I", 6), ("B", "H", 7), ("B", "I", 1)}
+    assert seen.value == 3  # banner and size, checks, counts
+    assert "hashpartitioning(cell_id" not in counts._jdf.queryExecution().toString()
