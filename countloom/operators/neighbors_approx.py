@@ -13,9 +13,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from countloom.operators.neighbors import nearest_rows
+from countloom.operators.neighbors import nearest_rows, pair_distances
 from countloom.session import cut_lineage
 
+TASK_ROWS = 4096  # points of a node that one task splits to leaves
+
 
 def _stack(column) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(float)
@@ -30,31 +32,64 @@ def _sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": batch["id"], "tree": batch["tree"], "node": 2 * batch["node"] + 1 + nearer})
 
 
+def _split(x: np.ndarray, rows: np.ndarray, leaf_rows: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Rows cut by bisectors of drawn pairs into leaves; where three draws cut nothing off, as among copies, by number."""
+    todo = [rows]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf_rows:
+            yield rows
+            continue
+        for _ in range(3):
+            p, q = x[rng.choice(rows, 2, replace=False)]
+            nearer = ((x[rows] - q) ** 2).sum(axis=1) < ((x[rows] - p) ** 2).sum(axis=1)
+            if nearer.any():
+                todo += [rows[nearer], rows[~nearer]]
+                break
+        else:
+            yield from np.array_split(rows, -(-len(rows) // leaf_rows))
+
+
+def _leaves(leaf_rows: int, seed: int):
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("id")  # the same leaves whatever order the rows arrive in
+        tree, node, part = int(batch["tree"].iloc[0]), int(batch["node"].iloc[0]), np.zeros(len(batch), np.int64)
+        for number, rows in enumerate(_split(_stack(batch["vec"]), np.arange(len(batch)), leaf_rows, np.random.default_rng([seed, tree, node]))):
+            part[rows] = number
+        return pd.DataFrame({"id": batch["id"], "tree": tree, "node": node, "part": part})
+
+    return run
+
+
 def _forest(points: DataFrame, trees: int, leaf_rows: int, seed: int) -> DataFrame:
     """(id, tree, node, part): leaves of at most about ``leaf_rows`` points.
 
-    Every level splits the nodes that are still too large, of all trees in one job, by the bisector of two of their
-    points, drawn by hash. Leaves that no split makes smaller, as copies of one point, are cut by hash.
+    Every level splits the nodes of more than ``TASK_ROWS`` points, of all trees in one job, by the bisector of two of
+    their points, drawn by hash. Smaller nodes are split to leaves in one task each, so the number of levels hardly
+    grows. Nodes that no level makes smaller, as copies of one point, are cut by hash.
     """
     kind = points.schema["id"].dataType.simpleString()
+    leaf = f"id {kind}, tree int, node long, part long"
+    task_rows = max(TASK_ROWS, leaf_rows)
     placed = cut_lineage(points.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(0).cast("long").alias("node")))
-    depth = int(np.ceil(np.log2(max(2.0, points.count() / leaf_rows)))) * 2 + 4
+    depth = int(np.ceil(np.log2(max(2.0, points.count() / task_rows)))) * 2 + 4
     done = None
     for level in range(depth):
         sizes = placed.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"))
         sized = cut_lineage(placed.join(sizes, ["tree", "node"]))
-        small = sized.where(F.col("n") <= leaf_rows).select("id", "tree", "node")
+        small = sized.where(F.col("n") <= task_rows).select("id", "tree", "node")
         done = small if done is None else done.unionByName(small)
-        large = sized.where(F.col("n") > leaf_rows).join(points, "id")
+        large = sized.where(F.col("n") > task_rows).select("id", "tree", "node")
         if large.isEmpty():
-            placed = large.select("id", "tree", "node")
+            placed = large
             break
         draw = F.xxhash64("id", "tree", F.lit(seed + level))
-        pivots = large.groupBy("tree", "node").agg(F.min_by("vec", draw).alias("p"), F.max_by("vec", draw).alias("q"))
-        placed = cut_lineage(large.join(pivots, ["tree", "node"]).select("id", "tree", "node", "vec", "p", "q").mapInPandas(_sides, f"id {kind}, tree int, node long"))
+        drawn = large.groupBy("tree", "node").agg(F.min_by("id", draw).alias("p_id"), F.max_by("id", draw).alias("q_id"))
+        pivots = drawn.join(points.select(F.col("id").alias("p_id"), F.col("vec").alias("p")), "p_id").join(points.select(F.col("id").alias("q_id"), F.col("vec").alias("q")), "q_id")
+        placed = cut_lineage(large.join(points, "id").join(cut_lineage(pivots.drop("p_id", "q_id")), ["tree", "node"]).select("id", "tree", "node", "vec", "p", "q").mapInPandas(_sides, f"id {kind}, tree int, node long"))
     left = placed.groupBy("tree", "node").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("parts"))
     rest = placed.join(left, ["tree", "node"]).select("id", "tree", "node", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")).alias("part"))
-    return rest if done is None else rest.unionByName(done.withColumn("part", F.lit(0).cast("long")))
+    return cut_lineage(rest.unionByName(done.join(points, "id").groupBy("tree", "node").applyInPandas(_leaves(leaf_rows, seed), leaf)))
 
 
 def _within(k: int):
@@ -66,23 +101,33 @@ def _within(k: int):
     return run
 
 
-def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _introduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distances inside each circle of points, both ways, where they do not exceed the limit of the first point."""
     for batch in batches:
-        if len(batch):
-            yield pd.DataFrame({"src": batch["src"], "dst": batch["dst"], "distance": np.sqrt(((_stack(batch["a"]) - _stack(batch["b"])) ** 2).sum(axis=1))})
+        found = []
+        for ids, limits, flat in zip(batch["ids"], batch["limits"], batch["flat"]):
+            x = np.asarray(flat, float).reshape(len(ids), -1)
+            d = pair_distances(x, x, "l2")
+            np.fill_diagonal(d, np.nan)
+            i, j = np.nonzero(d <= np.asarray(limits)[:, None])
+            found.append(pd.DataFrame({"src": ids[i], "dst": ids[j], "distance": d[i, j]}))
+        if found:
+            yield pd.concat(found).drop_duplicates(["src", "dst"])
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """The first k of each point, from one shuffle by point; pairs may come more than once."""
     order = W.partitionBy("src").orderBy("distance", "dst")
-    return cut_lineage(pairs.dropDuplicates(["src", "dst"]).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k))
+    once = pairs.repartition("src").groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+    return cut_lineage(once.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k))
 
 
 def approximate_neighbors(points: DataFrame, k: int, trees: int = 6, leaf_rows: int = 32, rounds: int = 2, friends: int = 10, seed: int = 5, distances: list[int] | None = None) -> DataFrame:
     """About the k nearest other points of every point: ``src``, ``dst``, ``distance``, ``rank``, as ``exact_neighbors``.
 
     ``points`` has cell_id and vec. Leaves of ``trees`` random trees give the first lists. In each round a point's
-    ``friends`` nearest, and as many of those that list it, are introduced to each other; pairs that already know each
-    other are not compared again. So there are at most n (trees x leaf_rows + rounds x friends (2 friends - 1)) distances.
+    ``friends`` nearest, and as many of those that list it, are introduced to each other: they meet in one task, each with
+    its vector, and only pairs that can enter a list leave it. So there are at most n (trees x leaf_rows + rounds x friends (2 friends - 1)) distances.
     Equal distances are ordered by id. ``distances`` gets the numbers that the leaves and the rounds computed.
     """
     rows = cut_lineage(points.select(F.col("cell_id").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec")))
@@ -98,15 +143,15 @@ def approximate_neighbors(points: DataFrame, k: int, trees: int = 6, leaf_rows:
         back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")
         back = back.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))).where(F.col("r") <= friends).drop("r")
         circle = cut_lineage(near.unionByName(back).select("src", "dst").distinct())
-        met = circle.join(circle.select("src", F.col("dst").alias("other")), "src").where("dst < other").select(F.col("dst").alias("a_id"), F.col("other").alias("b_id")).distinct()
-        known = lists.select(F.least("src", "dst").alias("a_id"), F.greatest("src", "dst").alias("b_id")).distinct()
-        new = met.join(known, ["a_id", "b_id"], "left_anti")
-        new = new.join(rows.select(F.col("id").alias("a_id"), F.col("vec").alias("a")), "a_id").join(rows.select(F.col("id").alias("b_id"), F.col("vec").alias("b")), "b_id")
-        found = cut_lineage(new.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), "a", "b").mapInPandas(_distances, pair))
+        full = lists.groupBy("src").agg(F.count(F.lit(1)).alias("c"), F.max("distance").alias("m")).where(F.col("c") == k)
+        limited = rows.join(full.select(F.col("src").alias("id"), "m"), "id", "left").select(F.col("id").alias("dst"), F.struct("id", F.coalesce("m", F.lit(float("inf"))).alias("limit"), "vec").alias("p"))
+        gathered = circle.join(limited, "dst").groupBy("src").agg(F.collect_list("p").alias("l")).select(
+            F.col("l.id").alias("ids"), F.col("l.limit").alias("limits"), F.flatten("l.vec").alias("flat")
+        )
         if distances is not None:
-            distances.append(found.count())
-        both = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance"))
-        lists = _best(lists.drop("rank").unionByName(both), k)
+            sizes = circle.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+            distances.append(sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long")).head()[0] or 0)
+        lists = _best(lists.drop("rank").unionByName(gathered.mapInPandas(_introduced, pair)), k)
     return lists
 
 

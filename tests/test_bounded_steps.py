@@ -1,8 +1,9 @@
 """Steps whose memory, traffic or files must not grow with one group of the data."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from countloom.operators import evidence as ev, neighbors, sensitivity, signatures
+from countloom.operators import evidence as ev, neighbors, neighbors_approx, sensitivity, signatures
 from countloom.sources import tables
 
 
@@ -62,3 +63,12 @@ def test_matrix_entries_are_added_up_where_their_join_put_them(spark):
     assert {(r["cell_id"], r["gene_id"], r["value"]) for r in counts.collect()} == {("A", "G", 5), ("A", "I", 6), ("B", "H", 7), ("B", "I", 1)}
     assert seen.value == 3  # banner and size, checks, counts
     assert "hashpartitioning(cell_id" not in counts._jdf.queryExecution().toString()
+
+
+def test_only_pairs_that_can_enter_a_list_leave_a_round(spark, monkeypatch):
+    n, k, passed, best = 500, 5, [], neighbors_approx._best
+    x = np.random.default_rng(4).normal(size=(n, 16))
+    monkeypatch.setattr(neighbors_approx, "_best", lambda pairs, k: passed.append(pairs.count()) or best(pairs, k))
+    points = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "cell_id long, vec array<double>")
+    found = neighbors_approx.approximate_neighbors(points, k)
+    assert found.count() == n * k and len(passed) == 3 and max(passed[1:]) < 20 * n, passed
