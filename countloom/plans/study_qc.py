@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from countloom.operators import normalize, qc
 from countloom.plans import views as v
 from countloom.plans.catalog import query
+from countloom.session import spread
 
 METRICS = (
     "metrics AS (SELECT c.cell_id, c.donor, c.condition, c.cluster, c.batch, count(value) AS n_genes, "
@@ -257,6 +258,8 @@ def _(spark, sf):
 SELECT nation, condition, gene_id, round(ln(1 + value / sum(value) OVER (PARTITION BY nation, condition) * 1000000.0::DOUBLE), 6) AS cpm
 FROM b""".lstrip())
 def _(spark, sf):
-    bulk = v.counts(spark, sf).join(v.cells(spark, sf), "cell_id").groupBy("nation", "condition", "gene_id").agg(F.sum("value").alias("value"))
+    rows = v.table(spark, sf, "lineitem").count()
+    placed = spread(spread(v.counts(spark, sf, rows), rows, "cell_id").join(v.cells(spark, sf), "cell_id"), rows, "nation", "condition", "gene_id")
+    bulk = placed.groupBy("nation", "condition", "gene_id").agg(F.sum("value").alias("value"))
     out = normalize.counts_per_million(bulk, ["nation", "condition"], log=True)
     return out.select("nation", "condition", "gene_id", F.round("cpm", 6).alias("cpm"))

@@ -65,3 +65,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, *keys: str, rows_per_task: int = 500_000) -> DataFrame:
+    """Shuffle by ``keys`` to as many tasks as ``rows`` ask for, so that a task's memory does not grow with the table.
+
+    A shuffle that Spark adds itself has spark.sql.shuffle.partitions tasks at most, whatever the size.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // rows_per_task)), *keys)

@@ -72,3 +72,13 @@ def test_only_pairs_that_can_enter_a_list_leave_a_round(spark, monkeypatch):
     points = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "cell_id long, vec array<double>")
     found = neighbors_approx.approximate_neighbors(points, k)
     assert found.count() == n * k and len(passed) == 3 and max(passed[1:]) < 20 * n, passed
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark):
+    from countloom.plans import load_catalog
+    from countloom.session import spread
+
+    df = spark.range(1000).withColumn("k", F.col("id") % 100)
+    assert spread(df, 10, "k").rdd.getNumPartitions() == 4 and spread(df, 1000, "k", rows_per_task=100).rdd.getNumPartitions() == 10
+    plan = load_catalog()[0]["n03_pseudobulk_cpm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 3  # line items, counts by cell, counts by sample and gene
