@@ -8,6 +8,7 @@ from countloom.plans import sql_parts as sp, views as v
 from countloom.plans.catalog import query
 from countloom.plans.study_donors import A, B, N_A, N_B, PAIRED_CELLS, PAIRS, rounded
 from countloom.plans.study_qc import LOGN
+from countloom.session import spread
 
 
 def sets(spark, sf):
@@ -247,7 +248,9 @@ GROUP_SCORES = GROUP_SCORES.replace("sqrt(l.m * r.m) AS magnitude, l.share * r.s
 
 def group_scores(spark, sf):
     cells = v.paired_cells(spark, sf)
-    return lr.group_pair_scores(v.counts(spark, sf), cells, _pair_keys(spark, sf), cell_type="cluster", digits=9)
+    rows = v.table(spark, sf, "lineitem").count()
+    counts = spread(v.counts(spark, sf, rows), rows, "cell_id")
+    return lr.group_pair_scores(counts, cells, _pair_keys(spark, sf), cell_type="cluster", digits=9)
 
 
 @query("l05_group_pair_scores", v.with_ctes(v.COUNTS, PAIRED_CELLS, PAIRS, PK, GROUP_SCORES) + """

@@ -82,3 +82,15 @@ def test_large_tables_are_dealt_to_more_tasks(spark):
     assert spread(df, 10, "k").rdd.getNumPartitions() == 4 and spread(df, 1000, "k", rows_per_task=100).rdd.getNumPartitions() == 10
     plan = load_catalog()[0]["n03_pseudobulk_cpm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 3  # line items, counts by cell, counts by sample and gene
+
+
+def test_pair_scores_deal_their_counts(spark):
+    from countloom.plans.study_sets import group_scores
+
+    seen, repartition = [], type(spark.range(1)).repartition
+    type(spark.range(1)).repartition = lambda df, n, *keys: seen.append(keys) or repartition(df, n, *keys)
+    try:
+        assert group_scores(spark, "/root/testdata/sf0.001").count()
+    finally:
+        type(spark.range(1)).repartition = repartition
+    assert seen == [("l_orderkey", "l_partkey"), ("cell_id",)]
