@@ -17,6 +17,7 @@ from countloom.functions.ranking import draw_key
 from countloom.session import cut_lineage
 
 CHUNK_PAIRS = 1_000_000  # pairs of a point and a pivot of its group that meet in one task
+TILE, TILED_DIMS = 32, 3  # close points searched together, in so few dimensions that a box leaves out most others
 METRICS = {"euclidean": "l2", "l2": "l2", "cityblock": "l1", "manhattan": "l1", "l1": "l1", "chebyshev": "linf", "linf": "linf", "infinity": "linf"}
 
 
@@ -35,17 +36,62 @@ def pair_distances(a, b, metric):
     return out
 
 
-def nearest_rows(query_ids, queries, ids, points, k, metric):
-    """(query, candidate, distance) of the k nearest per query; ties go to the lower id."""
+def _least(d, k):
+    """Row, column and value of the k least of every row; ties go to the lower column."""
+    k = min(k, d.shape[1])
+    if not k:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    last = np.partition(d, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero(~(d > last[:, None]))
+    order = np.lexsort((col, d[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], d[row[keep], col[keep]]
+
+
+def _in_tiles(queries, points, k, metric, radius):
+    """As ``_least`` of all distances, up to each query's radius: a tile of close queries meets only points of its widened box.
+
+    Without a radius the points are their own queries, and each tile bounds its radius by its own points.
+    """
+    size = max(TILE, 4 * k)
+    strips = max(1, round(np.sqrt(len(queries) / size)))
+    by_first = np.empty(len(queries), int)
+    by_first[np.argsort(queries[:, 0], kind="stable")] = np.arange(len(queries)) * strips // max(1, len(queries))
+    order, found = np.lexsort((queries[:, -1], by_first)), []
+    for s in range(0, len(order), size):
+        rows = order[s:s + size]
+        at = queries[rows]
+        if radius is not None:
+            bound = radius[rows]
+        elif len(at) < k:
+            bound = np.full(len(at), np.inf)
+        else:
+            bound = np.partition(pair_distances(at, at, metric), k - 1, axis=1)[:, k - 1]
+        reach = bound.max() * (1 + 1e-9) + 1e-12
+        cols = np.flatnonzero(((points >= at.min(axis=0) - reach) & (points <= at.max(axis=0) + reach)).all(axis=1))
+        row, col, d = _least(pair_distances(at, points[cols], metric), k)
+        near = d <= bound[row] * (1 + 1e-9) + 1e-12
+        found.append((rows[row[near]], cols[col[near]], d[near]))
+    row, col, d = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((col, d, row))
+    return row[order], col[order], d[order]
+
+
+def nearest_rows(query_ids, queries, ids, points, k, metric, radius=None):
+    """(query, candidate, distance) of the k nearest per query; ties go to the lower id.
+
+    Candidates beyond a query's ``radius`` may be left out.
+    """
+    own = radius is None and queries is points
     order = np.argsort(ids, kind="stable")
+    query_ids, queries = (query_ids[order], queries[order]) if own else (query_ids, queries)
     ids, points = ids[order], points[order]
-    d = pair_distances(queries, points, metric)
-    k = min(k, len(ids))
-    pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-    rows = np.arange(len(queries))[:, None]
-    return pd.DataFrame({
-        "src": np.repeat(query_ids, k), "dst": ids[pick].ravel(), "distance": d[rows, pick].ravel(),
-    })
+    if points.shape[1] <= TILED_DIMS and (own or radius is not None) and np.isfinite(points).all() and np.isfinite(queries).all():
+        row, col, d = _in_tiles(queries, points, k, metric, radius)
+    else:
+        row, col, d = _least(pair_distances(queries, points, metric), k)
+    return pd.DataFrame({"src": query_ids[row], "dst": ids[col], "distance": d})
 
 
 def _stack(column):
@@ -64,7 +110,9 @@ def _across(k, metric):
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"src": [], "dst": [], "distance": []})
-        return nearest_rows(queries["id"].to_numpy(), _stack(queries["vec"]), points["id"].to_numpy(), _stack(points["vec"]), k, metric)
+        return nearest_rows(
+            queries["id"].to_numpy(), _stack(queries["vec"]), points["id"].to_numpy(), _stack(points["vec"]), k, metric, queries["radius"].to_numpy()
+        )
 
     return run
 
@@ -156,14 +204,14 @@ def _large_groups(able: DataFrame, k: int, metric: str, block_rows: int, max_piv
         F.col("src").alias("id"), F.when(F.col("c") > k, F.col("m")).otherwise(F.lit(float("inf"))).alias("radius")
     )
     searching = salted.where("home").join(radius, "id").select("id", "grp", "vec", "home", F.col("pivot").alias("own"), F.col("part").alias("own_part"), "radius")
-    columns = ["id", "own", "own_part", "visit"]
+    columns = ["id", "own", "own_part", "radius", "visit"]
     sizes = pivots.select(F.col("of").alias("grp"), "chunks").distinct()
     searching = searching.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks")))
     visits = searching.drop("chunks").groupBy("grp", "chunk").cogroup(reached.groupBy("of", "chunk")).applyInPandas(
-        _to_visit(metric, columns), f"id {id_type}, own string, own_part long, visit string"
+        _to_visit(metric, columns), f"id {id_type}, own string, own_part long, radius double, visit string"
     )
     parts = balls.select(F.col("pivot").alias("visit"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    targets = cut_lineage(visits.join(parts, "visit").where((F.col("visit") != F.col("own")) | (F.col("part") != F.col("own_part"))).select("id", "visit", "part"))
+    targets = cut_lineage(visits.join(parts, "visit").where((F.col("visit") != F.col("own")) | (F.col("part") != F.col("own_part"))).select("id", "radius", "visit", "part"))
     loads = targets.groupBy("visit", "part").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("chunks"))
     asked = targets.join(loads, ["visit", "part"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")))
     offered = salted.select("id", "vec", F.col("pivot").alias("visit"), "part").join(loads, ["visit", "part"]).withColumn(
@@ -171,7 +219,7 @@ def _large_groups(able: DataFrame, k: int, metric: str, block_rows: int, max_piv
     )
     keys = ["visit", "part", "chunk"]
     asked = asked.join(salted.select("id", F.col("vec").alias("at")), "id").withColumnRenamed("at", "vec")
-    far = asked.select("id", "vec", *keys).groupBy(*keys).cogroup(offered.select("id", "vec", *keys).groupBy(*keys)).applyInPandas(_across(k + 1, metric), found_schema)
+    far = asked.select("id", "vec", "radius", *keys).groupBy(*keys).cogroup(offered.select("id", "vec", *keys).groupBy(*keys)).applyInPandas(_across(k + 1, metric), found_schema)
     both = local.unionByName(far)
     best = W.partitionBy("src").orderBy("distance", "dst")
     return both.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).select("src", "dst", "distance")

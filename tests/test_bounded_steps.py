@@ -13,6 +13,21 @@ def test_points_meet_pivots_in_bounded_chunks(spark):
     assert n / chunks * pivots <= neighbors.CHUNK_PAIRS
 
 
+def test_close_points_in_few_dimensions_meet_only_points_near_them(monkeypatch):
+    distances, asked = neighbors.pair_distances, []
+    monkeypatch.setattr(neighbors, "pair_distances", lambda a, b, metric: asked.append(len(a) * len(b)) or distances(a, b, metric))
+    rng, k = np.random.default_rng(6), 7
+    for points in (rng.normal(size=(2000, 2)), rng.integers(0, 30, (2000, 2)).astype(float)):  # the second has ties
+        ids = rng.permutation(9000)[:2000]
+        for radius in (None, rng.choice([0.01, 1.5], 2000)):
+            asked.clear()
+            found = neighbors.nearest_rows(ids, points, ids, points, k, "l2", radius)
+            d = distances(points, points, "l2")
+            want = {(ids[i], ids[j], d[i, j]) for i in range(2000) for j in np.lexsort((ids, d[i]))[:k] if radius is None or d[i, j] <= radius[i]}
+            assert set(zip(found["src"], found["dst"], found["distance"])) == want
+            assert radius is not None or sum(asked) < 2000 * 2000 / 4, sum(asked)
+
+
 def test_folds_without_adjustment(spark):
     counts = spark.createDataFrame([(c, g, 1 + (c * g) % 5) for c in range(12) for g in range(3)], "cell_id long, gene_id long, value long")
     cells = spark.createDataFrame([(c, str(c % 3), "ab"[c % 2]) for c in range(12)], "cell_id long, donor string, condition string")
