@@ -7,6 +7,7 @@ from countloom.operators import spatial as sx
 from countloom.plans import sql_parts as sp, views as v
 from countloom.plans.catalog import query
 from countloom.plans.study_donors import rounded
+from countloom.session import cut_lineage
 
 K = 6
 KNN = """
@@ -160,8 +161,8 @@ ps AS (SELECT source, target, 'GENE' || l AS ligand, 'gene' || r AS receptor, co
   FROM cd CROSS JOIN lp LEFT JOIN tm a ON a.t = source AND a.gene_id = l LEFT JOIN tm b ON b.t = target AND b.gene_id = r)"""
 
 
-def _scores(spark, sf):
-    return sx.pair_scores(v.place_counts(spark, sf), v.places(spark, sf), genes(spark, sf), lr_pairs(spark, sf), graph(spark, sf))
+def _scores(spark, sf, found=None):
+    return sx.pair_scores(v.place_counts(spark, sf), v.places(spark, sf), genes(spark, sf), lr_pairs(spark, sf), graph(spark, sf) if found is None else found)
 
 
 @query("x12_pair_scores", v.with_ctes(*GRAPH, v.PLACE_COUNTS, CONTACT, SCORES) + """
@@ -191,8 +192,9 @@ def _(spark, sf):
 , r AS (SELECT ps.*, CASE WHEN raw > 0 THEN p ELSE 1.0 END AS p_value FROM ps JOIN pp USING (source, target)), b AS (SELECT *, {sp.bh_ranks()} FROM r), q AS (SELECT *, {sp.bh()} AS q FROM b)
 SELECT source, target, ligand, receptor, round(p_value, 6) AS p_value, round(q, 6) AS fdr_q_value, q < 0.2 AND raw * density > 0 AS is_significant FROM q""".lstrip())
 def _(spark, sf):
-    permuted = sx.contact_permutations(graph(spark, sf), v.places(spark, sf), 20)
-    out = sx.pair_significance(_scores(spark, sf), permuted, fdr=0.2)
+    found = cut_lineage(graph(spark, sf))  # searched once for both
+    permuted = sx.contact_permutations(found, v.places(spark, sf), 20)
+    out = sx.pair_significance(_scores(spark, sf, found), permuted, fdr=0.2)
     return rounded(out.select("source", "target", "ligand", "receptor", "p_value", "fdr_q_value", "is_significant"), "p_value", "fdr_q_value")
 
 

@@ -28,6 +28,15 @@ def test_close_points_in_few_dimensions_meet_only_points_near_them(monkeypatch):
             assert radius is not None or sum(asked) < 2000 * 2000 / 4, sum(asked)
 
 
+def test_pair_significance_searches_its_neighbours_once(spark, monkeypatch):
+    from countloom.operators import spatial
+    from countloom.plans import load_catalog
+
+    searched, search = [], spatial.exact_neighbors
+    monkeypatch.setattr(spatial, "exact_neighbors", lambda *a, **k: searched.append(1) or search(*a, **k))
+    assert load_catalog()[0]["x13_pair_significance"](spark, "/root/testdata/sf0.001").count() and len(searched) == 1
+
+
 def test_folds_without_adjustment(spark):
     counts = spark.createDataFrame([(c, g, 1 + (c * g) % 5) for c in range(12) for g in range(3)], "cell_id long, gene_id long, value long")
     cells = spark.createDataFrame([(c, str(c % 3), "ab"[c % 2]) for c in range(12)], "cell_id long, donor string, condition string")
