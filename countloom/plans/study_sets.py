@@ -246,10 +246,14 @@ gx AS (SELECT gp.*, (rank() OVER (PARTITION BY gp.donor, gp.condition ORDER BY m
 GROUP_SCORES = GROUP_SCORES.replace("sqrt(l.m * r.m) AS magnitude, l.share * r.share AS specificity", "round(sqrt(l.m * r.m), 9) AS magnitude, round(l.share * r.share, 9) AS specificity")
 
 
-def group_scores(spark, sf):
-    cells = v.paired_cells(spark, sf)
+def dealt_counts(spark, sf):
+    """Counts by cell, in as many tasks as the line items need."""
     rows = v.table(spark, sf, "lineitem").count()
-    counts = spread(v.counts(spark, sf, rows), rows, "cell_id")
+    return spread(v.counts(spark, sf, rows), rows, "cell_id")
+
+
+def group_scores(spark, sf):
+    counts, cells = dealt_counts(spark, sf), v.paired_cells(spark, sf)
     return lr.group_pair_scores(counts, cells, _pair_keys(spark, sf), cell_type="cluster", digits=9)
 
 
@@ -370,7 +374,7 @@ nw AS (SELECT src, dst, r, r / sum(abs(r)) OVER (PARTITION BY src) AS weight FRO
 
 
 def _network(spark, sf):
-    return sg.correlation_network(normalize.log_normalize(v.counts(spark, sf)), v.cells(spark, sf), threshold=0.02, max_degree=8)
+    return sg.correlation_network(normalize.log_normalize(dealt_counts(spark, sf)), v.cells(spark, sf), threshold=0.02, max_degree=8)
 
 
 @query("p06_correlation_network", v.with_ctes(v.COUNTS, v.CELLS, LOGN, CORR) + "SELECT src, dst, round(r, 6) AS correlation, round(weight, 6) AS weight FROM nw")

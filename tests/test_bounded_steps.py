@@ -118,3 +118,12 @@ def test_pair_scores_deal_their_counts(spark):
     finally:
         type(spark.range(1)).repartition = repartition
     assert seen == [("l_orderkey", "l_partkey"), ("cell_id",)]
+
+
+def test_correlation_network_deals_its_pairs(spark, monkeypatch):
+    seen, spread = [], signatures.spread
+    monkeypatch.setattr(signatures, "spread", lambda df, n, *keys, **k: seen.append((n, keys)) or spread(df, n, *keys, **k))
+    values = spark.range(90).select((F.col("id") / 3).cast("long").alias("cell_id"), (F.col("id") * 7 % 31).alias("gene_id"), (F.col("id") % 5 + 1).alias("value"))
+    assert signatures.correlation_network(values, values.select("cell_id").distinct(), 0.05).count()
+    assert seen[:2] == [(90, ("_b",)), (90, ("gene_i", "gene_j"))]  # 3 pairs in each of 30 cells
+    assert {keys for n, keys in seen if n == 90} >= {("gene_i",), ("gene_j",), ("src",)}
