@@ -95,7 +95,11 @@ def benjamini_hochberg(
     adjusted = pos.join(suffix, [*family, "_bucket"]).select(
         *family, "_p", F.least(F.min("_cand").over(down), F.coalesce("_later", F.lit(1.0))).alias(out)
     )
-    return rows.join(adjusted, [*family, "_p"], "left").select(*df.columns, out)
+    known = rows.where(F.col("_p").isNotNull()).join(adjusted, [*family, "_p"], "left").select(*df.columns, out)
+    if missing == "one":
+        return known
+    # Rows without a p need no join, where they would all meet in one task.
+    return known.unionByName(rows.where(F.col("_p").isNull()).select(*df.columns, F.lit(None).cast("double").alias(out)))
 
 
 def exact_median(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:

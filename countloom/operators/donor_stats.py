@@ -98,8 +98,12 @@ def donor_cpm(counts: DataFrame, cells: DataFrame, a: str, b: str, donor="donor"
 
 def welch_de(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: str, donor="donor", condition="condition", pseudocount: float = 0.5) -> DataFrame:
     """Welch comparison of donor CPM, one row per gene; an undefined test has p = 1."""
-    na, nb = side_counts(cells, a, b, donor, condition)
-    m = two_sided_moments(donor_cpm(counts, cells, a, b, donor, condition), genes, na, nb, a, b)
+    return welch_cpm(donor_cpm(counts, cells, a, b, donor, condition), genes, *side_counts(cells, a, b, donor, condition), a, b, pseudocount)
+
+
+def welch_cpm(cpm: DataFrame, genes: DataFrame, na: Column, nb: Column, a: str, b: str, pseudocount: float = 0.5) -> DataFrame:
+    """``welch_de`` from CPM by donor, condition and gene, and the donors of each condition."""
+    m = two_sided_moments(cpm, genes, na, nb, a, b)
     va, vb = F.col("dev_a") / (F.col("n_a") - 1), F.col("dev_b") / (F.col("n_b") - 1)
     t, df = welch(F.col("mean_a"), va, F.col("n_a"), F.col("mean_b"), vb, F.col("n_b"))
     rows = m.select(
@@ -155,36 +159,57 @@ def safe_test(rows: DataFrame, keys: list[str], value: str, a: str, b: str, pair
     with n = 0. A spread below 1e-12, a side
     with fewer than two values or any infinite value gives null.
     """
-    x = F.col(value)
-    usable = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return safe_tests(rows, keys, [value], a, b, paired, donor, condition).select(*keys, f"{value}.*")
+
+
+def safe_tests(rows: DataFrame, keys: list[str], values: list[str], a: str, b: str, paired: bool, donor="donor", condition="condition") -> DataFrame:
+    """``safe_test`` of several values in one pass: the keys, and a struct of results named as each value."""
+    def usable(x):
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+    parts = {value: f"_{i}" for i, value in enumerate(values)}  # prefix of a value's columns
     if paired:
-        wide = rows.groupBy(*keys, donor).agg(
-            F.max(F.when(F.col(condition) == a, x)).alias("_x"), F.max(F.when(F.col(condition) == b, x)).alias("_y"),
-        ).withColumn("_d", F.col("_x") - F.col("_y"))
-        both = F.col("_d").isNotNull()
-        fine = ~F.isnan("_d") & (F.abs("_d") != float("inf"))
-        m = wide.groupBy(*keys).agg(
-            F.count("_d").alias("n_a"), F.count_if(both & ~fine).alias("_bad"), F.avg(F.when(both, F.col("_x"))).alias("mean_a"), F.avg(F.when(both, F.col("_y"))).alias("mean_b"),
-            F.avg("_d").alias("_m"), F.var_samp("_d").alias("_v"), (F.max("_d") - F.min("_d")).alias("_range"),
-        )
-        ok = (F.col("n_a") >= 2) & (F.col("_bad") == 0) & (F.col("_range") > 1e-12)
-        t, df = F.col("_m") / F.sqrt(F.col("_v") / F.col("n_a")), (F.col("n_a") - 1).cast("double")
-        m = m.withColumn("n_b", F.col("n_a"))
-    else:
-        aggs = [F.count_if(~usable).alias("_bad")]
-        for side, level in (("a", a), ("b", b)):
-            y = F.when(F.col(condition) == level, x)
+        wide = rows.groupBy(*keys, donor).agg(*[
+            F.max(F.when(F.col(condition) == level, F.col(value))).alias(f"{c}_{side}") for value, c in parts.items() for side, level in (("x", a), ("y", b))
+        ]).withColumns({f"{c}_d": F.col(f"{c}_x") - F.col(f"{c}_y") for c in parts.values()})
+        aggs = []
+        for c in parts.values():
+            d = F.col(f"{c}_d")
+            both = d.isNotNull()
+            fine = ~F.isnan(d) & (F.abs(d) != float("inf"))
             aggs += [
-                F.count(y).alias(f"n_{side}"), F.avg(y).alias(f"mean_{side}"), F.var_samp(y).alias(f"_v_{side}"),
-                (F.max(y) - F.min(y)).alias(f"_r_{side}"),
+                F.count(d).alias(f"{c}_n_a"), F.count_if(both & ~fine).alias(f"{c}_bad"), F.avg(F.when(both, F.col(f"{c}_x"))).alias(f"{c}_mean_a"),
+                F.avg(F.when(both, F.col(f"{c}_y"))).alias(f"{c}_mean_b"), F.avg(d).alias(f"{c}_m"), F.var_samp(d).alias(f"{c}_v"), (F.max(d) - F.min(d)).alias(f"{c}_range"),
             ]
+        m = wide.groupBy(*keys).agg(*aggs).withColumns({f"{c}_n_b": F.col(f"{c}_n_a") for c in parts.values()})
+    else:
+        aggs = []
+        for value, c in parts.items():
+            aggs.append(F.count_if(~usable(F.col(value))).alias(f"{c}_bad"))
+            for side, level in (("a", a), ("b", b)):
+                y = F.when(F.col(condition) == level, F.col(value))
+                aggs += [
+                    F.count(y).alias(f"{c}_n_{side}"), F.avg(y).alias(f"{c}_mean_{side}"), F.var_samp(y).alias(f"{c}_v_{side}"),
+                    (F.max(y) - F.min(y)).alias(f"{c}_r_{side}"),
+                ]
         m = rows.where(F.col(condition).isin(a, b)).groupBy(*keys).agg(*aggs)
-        ok = (F.col("n_a") >= 2) & (F.col("n_b") >= 2) & (F.col("_bad") == 0) & (F.col("_r_a") > 1e-12) & (F.col("_r_b") > 1e-12)
-        t, df = welch(F.col("mean_a"), F.col("_v_a"), F.col("n_a"), F.col("mean_b"), F.col("_v_b"), F.col("n_b"))
-    out = m.select(
-        *keys, "n_a", "n_b", "mean_a", "mean_b", F.when(ok, t).alias("t_stat"), F.when(ok, df).alias("df")
-    )
-    return out.withColumn("p_value", t_two_sided("t_stat", "df"))
+
+    def tested(c):
+        x = {name: F.col(f"{c}_{name}") for name in ("n_a", "n_b", "mean_a", "mean_b", "bad")}
+        if paired:
+            ok = (x["n_a"] >= 2) & (x["bad"] == 0) & (F.col(f"{c}_range") > 1e-12)
+            t, df = F.col(f"{c}_m") / F.sqrt(F.col(f"{c}_v") / x["n_a"]), (x["n_a"] - 1).cast("double")
+        else:
+            ok = (x["n_a"] >= 2) & (x["n_b"] >= 2) & (x["bad"] == 0) & (F.col(f"{c}_r_a") > 1e-12) & (F.col(f"{c}_r_b") > 1e-12)
+            t, df = welch(x["mean_a"], F.col(f"{c}_v_a"), x["n_a"], x["mean_b"], F.col(f"{c}_v_b"), x["n_b"])
+        return [F.when(ok, t).alias(f"{c}_t_stat"), F.when(ok, df).alias(f"{c}_df")]
+
+    sides = ["n_a", "n_b", "mean_a", "mean_b"]
+    out = m.select(*keys, *[F.col(f"{c}_{name}") for c in parts.values() for name in sides], *[x for c in parts.values() for x in tested(c)])
+    out = out.withColumns({f"{c}_p_value": t_two_sided(f"{c}_t_stat", f"{c}_df") for c in parts.values()})
+    return out.select(*keys, *[
+        F.struct(*[F.col(f"{c}_{name}").alias(name) for name in (*sides, "t_stat", "df", "p_value")]).alias(value) for value, c in parts.items()
+    ])
 
 
 def pseudobulk_de(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: str, paired=False, covariates: list[str] = (), alpha: float = 0.05) -> DataFrame:

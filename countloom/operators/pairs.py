@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from countloom.functions.ranking import benjamini_hochberg, tie_positions
-from countloom.operators.donor_stats import safe_test
+from countloom.operators.donor_stats import safe_tests
 from countloom.session import cut_lineage
 
 PAIR = ["ligand", "receptor"]
@@ -65,19 +65,18 @@ def coverage_gaps(rows: DataFrame, groups: DataFrame, expected: DataFrame, types
 def compare_pair_scores(rows: DataFrame, a: str, b: str, paired: bool, min_donors: int = 2) -> DataFrame:
     """Donor-level test of both rank scores per interaction, each with its own FDR family over estimated tests.
 
-    Rows of one donor and condition are averaged first.
+    Rows of one donor and condition are averaged first. Rows are shuffled once, by interaction, and both scores are
+    tested in the same pass.
     """
     keys = ["source", "target", *PAIR]
-    donors = cut_lineage(rows.groupBy(*keys, "donor", "condition").agg(
-        F.avg("magnitude_rank").alias("magnitude_rank"), F.avg("specificity_rank").alias("specificity_rank")
-    ))
-    out = None
-    for score in ("magnitude", "specificity"):
-        tested = safe_test(donors, keys, f"{score}_rank", a, b, paired).select(
-            *keys, F.col("n_a").alias(f"n_a_{score}"), F.col("n_b").alias(f"n_b_{score}"), F.col("mean_a").alias(f"mean_{score}_rank_a"),
-            F.col("mean_b").alias(f"mean_{score}_rank_b"), F.col("p_value").alias(f"p_{score}"),
+    donors = rows.repartition(*keys).groupBy(*keys, "donor", "condition").agg(
+        F.avg("magnitude_rank").alias("magnitude"), F.avg("specificity_rank").alias("specificity")
+    )
+    out = safe_tests(donors, keys, ["magnitude", "specificity"], a, b, paired).select(*keys, *[
+        F.col(f"{score}.{name}").alias(to) for score in ("magnitude", "specificity") for name, to in (
+            ("n_a", f"n_a_{score}"), ("n_b", f"n_b_{score}"), ("mean_a", f"mean_{score}_rank_a"), ("mean_b", f"mean_{score}_rank_b"), ("p_value", f"p_{score}")
         )
-        out = tested if out is None else out.join(tested, keys)
+    ])
     out = out.withColumnsRenamed({"n_a_magnitude": "n_donors_a", "n_b_magnitude": "n_donors_b"}).drop("n_a_specificity", "n_b_specificity")
     enough = F.least("n_donors_a", "n_donors_b") >= min_donors
     out = out.withColumns({c: F.when(enough, F.col(c)) for c in ("p_magnitude", "p_specificity")}).withColumn(

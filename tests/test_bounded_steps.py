@@ -127,3 +127,34 @@ def test_correlation_network_deals_its_pairs(spark, monkeypatch):
     assert signatures.correlation_network(values, values.select("cell_id").distinct(), 0.05).count()
     assert seen[:2] == [(90, ("_b",)), (90, ("gene_i", "gene_j"))]  # 3 pairs in each of 30 cells
     assert {keys for n, keys in seen if n == 90} >= {("gene_i",), ("gene_j",), ("src",)}
+
+
+def test_pair_scores_are_compared_in_one_shuffle(spark, monkeypatch):
+    from countloom.operators import pairs
+
+    plans, adjust = [], pairs.benjamini_hochberg
+    monkeypatch.setattr(pairs, "benjamini_hochberg", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or adjust(df, *a, **k))
+    rows = spark.range(80).select(
+        *[(F.col("id") % 5).cast("string").alias(c) for c in ("source", "target", "ligand", "receptor")], (F.col("id") % 4).alias("donor"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("condition"), (F.col("id") % 7 / 7).alias("magnitude_rank"), (F.col("id") % 11 / 11).alias("specificity_rank"),
+    )
+    assert pairs.compare_pair_scores(rows, "a", "b", paired=True).count() == 5
+    assert plans[0].count("Exchange hashpartitioning") == 1, plans[0]
+
+
+def test_rows_without_p_values_keep_their_place(spark):
+    from countloom.functions.ranking import benjamini_hochberg
+
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, None, 0.04, float("nan"), 0.02, None])], "id int, p double")
+    out = {r["id"]: r["q"] for r in benjamini_hochberg(df, "p", "q", missing="keep").collect()}
+    assert out == {0: 0.03, 1: None, 2: 0.04, 3: None, 4: 0.03, 5: None}
+
+
+def test_branches_share_their_sums(spark, monkeypatch):
+    from countloom.operators import donor_stats
+    from countloom.plans import study_donors
+
+    summed, pseudobulk = [], donor_stats.pseudobulk
+    monkeypatch.setattr(donor_stats, "pseudobulk", lambda *a, **k: summed.append(1) or pseudobulk(*a, **k))
+    first, second = study_donors._two_results(spark, "/root/testdata/sf0.001")
+    assert first.count() > second.count() > 0 and len(summed) == 1
