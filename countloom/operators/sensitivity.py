@@ -123,7 +123,7 @@ def leave_one_out_summary(folds: DataFrame, alpha: float = 0.05, n_requested: Co
     rest = ~F.col("_full")
     e, q = F.when(rest, F.col("_e")), F.when(rest, F.col("_q"))
     out = _with_baseline(folds).groupBy("gene_id", "_b", "_bq").agg(
-        F.count(e).alias("n_estimated_loo"), F.count_if(rest & (F.signum("_e") == F.signum("_b"))).alias("_same"),
+        F.count(e).alias("n_estimated_loo"), F.count_if(rest & (F.signum("_e") == F.signum("_b"))).alias("_same"), F.count_if(e == 0).alias("n_zero_loo"),
         F.min(e).alias("min_log2_fold_change"), F.max(e).alias("max_log2_fold_change"),
         F.median(e).alias("median_log2_fold_change"), F.count_if(q < alpha).alias("n_significant_loo"),
         F.count(q).alias("_nq"), F.count_if((q < alpha) == (F.col("_bq") < alpha)).alias("_kept"),
@@ -131,7 +131,7 @@ def leave_one_out_summary(folds: DataFrame, alpha: float = 0.05, n_requested: Co
     return out.select(
         "gene_id", F.col("_b").alias("baseline_log2_fold_change"), F.col("_bq").alias("baseline_fdr_q_value"),
         (F.col("_bq") < alpha).alias("baseline_significant_at_alpha"),
-        "n_estimated_loo", F.when(n_requested > 0, F.col("n_estimated_loo") / n_requested).alias("estimated_coverage"),
+        "n_estimated_loo", "n_zero_loo", F.when(n_requested > 0, F.col("n_estimated_loo") / n_requested).alias("estimated_coverage"),
         F.when((F.col("n_estimated_loo") > 0) & (F.col("_b") != 0), F.col("_same") / F.col("n_estimated_loo")).alias("direction_consistency"),
         "min_log2_fold_change", "max_log2_fold_change", "median_log2_fold_change", "n_significant_loo",
         F.when((F.col("_nq") > 0) & F.col("_bq").isNotNull(), F.col("_kept") / F.col("_nq")).alias("significance_retention"),
@@ -143,7 +143,8 @@ def donor_influence(folds: DataFrame, expected: DataFrame, alpha: float = 0.05)
     """Per gene: the donor whose removal moves the effect most, flips, losses and an overall status.
 
     ``expected`` lists the donors that must have a fold; a fold that is absent
-    counts as missing. Lists are as long as the donor list.
+    counts as missing. Lists are as long as the donor list; ``zero_effect_donors``
+    is also given where the full effect is zero or missing.
     """
     donors = expected.agg(F.sort_array(F.collect_set("donor")).alias("l")).scalar()
     defined = F.col("_b").isNotNull() & (F.col("_b") != 0)
@@ -157,7 +158,7 @@ def donor_influence(folds: DataFrame, expected: DataFrame, alpha: float = 0.05)
     gap = F.abs(F.col("_e") - F.col("_b"))
     out = _with_baseline(folds).groupBy("gene_id", "_b", "_bq").agg(
         F.count_if(rest & F.col("_e").isNotNull()).alias("n_finite_loo_effects"), F.count_if(rest & defined & (sign == base)).alias("_same"),
-        named(defined & (sign == -base)).alias("direction_flip_donors"), F.count_if(rest & defined & (sign == 0)).alias("_zero"),
+        named(defined & (sign == -base)).alias("direction_flip_donors"), named(sign == 0).alias("zero_effect_donors"),
         named(F.col("_e").isNotNull()).alias("_seen"), named((F.col("_q") < alpha) != (F.col("_bq") < alpha)).alias("q_status_changed_donors"),
         F.count_if(rest & (F.col("_q") < alpha)).alias("n_loo_q_below_alpha"),
         F.min(F.when(rest & gap.isNotNull(), F.struct((-gap).alias("d"), F.col("left_out_donor").alias("who")))).alias("_top"),
@@ -167,10 +168,10 @@ def donor_influence(folds: DataFrame, expected: DataFrame, alpha: float = 0.05)
         "gene_id", F.col("_b").alias("full_log2_fold_change"), F.col("_bq").alias("full_fdr_q_value"),
         F.size(donors).cast("long").alias("expected_donor_folds"), "n_finite_loo_effects",
         F.when(defined, F.col("_same")).alias("n_same_sign_loo_effects"),
-        "n_loo_q_below_alpha", "direction_flip_donors", "missing_effect_donors", "q_status_changed_donors",
+        "n_loo_q_below_alpha", "direction_flip_donors", "zero_effect_donors", "missing_effect_donors", "q_status_changed_donors",
         (-F.col("_top.d")).alias("max_abs_delta_lfc"), F.col("_top.who").alias("most_influential_donor"),
         F.when(~defined, "undefined_full_effect").when(flips & missing, "direction_flip_and_incomplete_coverage")
-        .when(flips, "direction_flip").when(missing, "incomplete_coverage").when(F.col("_zero") > 0, "zero_effect_nonstable")
+        .when(flips, "direction_flip").when(missing, "incomplete_coverage").when(F.size("zero_effect_donors") > 0, "zero_effect_nonstable")
         .otherwise("direction_stable").alias("direction_status"),
     )
 
