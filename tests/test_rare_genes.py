@@ -23,7 +23,7 @@ def rare(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["d14_leave_one_out_summary_genes", "d15_donor_influence_genes"])
+@pytest.mark.parametrize("name", ["d14_leave_one_out_summary_genes", "d15_donor_influence_genes", "d16_candidates_genes"])
 def test_folds_without_an_effect_count_as_in_the_sql(spark, rare, name):
     queries, oracles = load_catalog()
     assert compare(spark, oracle_connection(rare), rare, name, queries[name], oracles[name])[2] == "ok"
