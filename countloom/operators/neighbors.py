@@ -1,10 +1,12 @@
 """Exact nearest neighbours inside groups, by bounded blocks of points.
 
-Points are cut into blocks of limited size around pivots. Each block first finds
-neighbours among its own points, which bounds every point's search radius; the
-triangle inequality then tells which other blocks can still hold a closer point,
-and only those are compared. Neither a block nor a comparison grows with the data,
-and nothing about the groups is gathered on the driver.
+In few dimensions points are cut into blocks of limited size around pivots. Each
+block first finds neighbours among its own points, which bounds every point's search
+radius; the triangle inequality then tells which other blocks can still hold a closer
+point, and only those are compared. In many dimensions nearly all blocks could, so a
+point would be sent to each of them; there a group is cut into large parts instead,
+and every part of the queries meets every part of the points once. Neither a block nor
+a comparison grows with the data, and nothing about the groups is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from countloom.session import cut_lineage
 
 CHUNK_PAIRS = 1_000_000  # pairs of a point and a pivot of its group that meet in one task
 TILE, TILED_DIMS = 32, 3  # close points searched together, in so few dimensions that a box leaves out most others
+QUERY_ROWS, POINT_ROWS, FEW_PARTS = 50_000, 80_000, 12  # rows of a group that meet in one task, where it has many dimensions
+SLICE, TILE_COLUMNS = 500, 2048  # queries and points of one screened product
 METRICS = {"euclidean": "l2", "l2": "l2", "cityblock": "l1", "manhattan": "l1", "l1": "l1", "chebyshev": "linf", "linf": "linf", "infinity": "linf"}
 
 
@@ -94,6 +98,68 @@ def nearest_rows(query_ids, queries, ids, points, k, metric, radius=None):
     return pd.DataFrame({"src": query_ids[row], "dst": ids[col], "distance": d})
 
 
+def _screened(queries, points, k):
+    """As ``_least`` of all Euclidean distances: products in single precision leave out what cannot be among the k least, the rest is measured.
+
+    The score of a point, q.p - p.p / 2, is the higher the closer it is. ``slack`` is more than a score can be wrong by.
+    """
+    centre, dims = points.mean(axis=0), points.shape[1]
+    q, p = queries - centre, points - centre
+    pp = np.einsum("ij,ij->i", p, p)
+    norms, far = np.sqrt(np.einsum("ij,ij->i", q, q)), np.sqrt(pp.max())
+    largest = max(np.abs(queries).max(), np.abs(points).max())
+    slack = (dims + 8) * 2.0 ** -22 * (norms * far + far * far + 1e-30) + dims * 2.0 ** -48 * largest * (norms + far)
+    q32, p32 = np.c_[q, np.ones(len(q))].astype(np.float32), np.c_[p, -pp / 2].astype(np.float32)
+    found = []
+    for s in range(0, len(q), SLICE):
+        at, n = slice(s, s + SLICE), len(q[s:s + SLICE])
+        kept = np.empty(0, int), np.empty(0, int), np.empty(0)
+        new, waiting, floor = [], 0, np.full(n, -np.inf)
+        for t in range(0, len(p), TILE_COLUMNS):
+            score = q32[at] @ p32[t:t + TILE_COLUMNS].T
+            if t == 0 and score.shape[1] > k:
+                floor = np.partition(score, -k, axis=1)[:, -k].astype(float) - 2 * slack[at]
+            # rounded down, so that the comparison in single precision leaves out nothing
+            row, col = np.divmod(np.flatnonzero(score >= np.nextafter(floor.astype(np.float32), np.float32(-np.inf))[:, None]), score.shape[1])
+            new.append((row, col + t))
+            waiting += len(row)
+            if waiting > 64 * n or t + TILE_COLUMNS >= len(p):
+                row, col = (np.concatenate(x) for x in zip(*new))
+                d = np.concatenate([_measured(queries[at], points, row[i:i + 65_536], col[i:i + 65_536]) for i in range(0, len(row), 65_536)] or [np.empty(0)])
+                row, col, d = (np.concatenate(x) for x in zip(kept, (row, col, d)))
+                order = np.lexsort((col, d, row))
+                row, col, d = row[order], col[order], d[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                last = place == k - 1
+                floor[row[last]] = (norms[at][row[last]] ** 2 - d[last] ** 2) / 2 - slack[at][row[last]]
+                kept, new, waiting = (row[place < k], col[place < k], d[place < k]), [], 0
+        found.append((kept[0] + s, *kept[1:]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _measured(queries, points, row, col):
+    diff = queries[row] - points[col]
+    return np.sqrt(np.einsum("ij,ij->i", diff, diff))
+
+
+def _part_pair(k, metric):
+    """The k nearest points of one part of a group for each query of another."""
+    def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(points):
+            return pd.DataFrame({"src": [], "dst": [], "distance": []})
+        points = points.sort_values("id", kind="stable")
+        src, ids, q, p = queries["id"].to_numpy(), points["id"].to_numpy(), _stack(queries["vec"]), _stack(points["vec"])
+        if metric == "l2" and max(np.abs(q).max(), np.abs(p).max()) < 1e15:
+            row, col, d = _screened(q, p, k)
+        else:
+            step = max(1, 4_000_000 // len(p))
+            parts = [(s, _least(pair_distances(q[s:s + step], p, metric), k)) for s in range(0, len(q), step)]
+            row, col, d = (np.concatenate(x) for x in zip(*[(r + s, c, x) for s, (r, c, x) in parts]))
+        return pd.DataFrame({"src": src[row], "dst": ids[col], "distance": d})
+
+    return run
+
+
 def _stack(column):
     return np.vstack(column.to_numpy()).astype(float)
 
@@ -160,13 +226,16 @@ def exact_neighbors(points: DataFrame, k: int, metric: str = "euclidean", group:
     able = cut_lineage(able.select(F.col("cell_id").alias("id"), "grp", "vec", (F.col("_n") == 1).alias("home")))
     id_type = rows.schema["cell_id"].dataType.simpleString()
     found_schema = f"src {id_type}, dst {id_type}, distance double"
-    sizes = able.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = able.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims"))
     big = cut_lineage(sizes.where(F.col("n") > block_rows))
     small = able.join(big, "grp", "left_anti")
     whole = able.where("home").select(F.col("id").alias("src"))
     near = small.groupBy("grp").applyInPandas(_local(k + 1, metric), found_schema)
-    if not big.isEmpty():
-        near = near.unionByName(_large_groups(able.join(big, "grp"), k, metric, block_rows, max_pivots, found_schema, id_type))
+    flat, deep = big.where(F.col("dims") <= TILED_DIMS).drop("dims"), big.where(F.col("dims") > TILED_DIMS)
+    if not flat.isEmpty():
+        near = near.unionByName(_large_groups(able.join(flat, "grp"), k, metric, block_rows, max_pivots, found_schema, id_type))
+    if not deep.isEmpty():
+        near = near.unionByName(_large_groups_by_parts(able, deep, k, metric, block_rows, found_schema))
     near = cut_lineage(near.join(whole, "src", "left_semi"))
     # every member of a location takes the location's list without itself
     lists = near.withColumnRenamed("src", "home")
@@ -175,6 +244,29 @@ def exact_neighbors(points: DataFrame, k: int, metric: str = "euclidean", group:
     return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("src", "dst", "distance", "rank")
 
 
+def _large_groups_by_parts(able: DataFrame, big: DataFrame, k: int, metric: str, block_rows: int, found_schema: str) -> DataFrame:
+    """Every part of a group's queries meets every part of its points in one task: a point is sent once for each part of the queries."""
+    n = F.col("n")
+    parts = cut_lineage(big.select(
+        "grp", F.greatest(F.ceil(n / QUERY_ROWS), F.least(F.lit(FEW_PARTS), F.ceil(n / block_rows))).alias("asking"), F.ceil(n / POINT_ROWS).alias("offering")
+    ))
+    # Keys fall on tasks by hash; with four tasks for each most keys have one of their own.
+    meetings = parts.agg(F.sum(F.col("asking") * F.col("offering"))).head()[0]
+    tasks = max(int(able.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4 * meetings, 2000))
+    rows = able.join(parts, "grp").repartition(tasks, "id")  # dealt out before each becomes a row for every part that it meets
+
+    def sent(df, own, to, tag):
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(to) - 1))
+        keys = {"grp": F.col("grp"), own: F.pmod(F.xxhash64("id", F.lit(5)), F.col(own)), to: every}
+        named = [f"{tag}_{c}" for c in ("grp", "asking", "offering")]
+        sides = df.select(F.col("id").alias("id"), F.col("vec").alias("vec"), *[keys[c.removeprefix(f"{tag}_")].alias(c) for c in named])
+        return sides.repartition(tasks, *named).groupBy(*named)
+
+    met = sent(rows.where("home"), "asking", "offering", "q").cogroup(sent(rows, "offering", "asking", "p")).applyInPandas(_part_pair(k + 1, metric), found_schema)
+    best = W.partitionBy("src").orderBy("distance", "dst")
+    return met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).select("src", "dst", "distance")
+
+
 def _chunks(block_rows: int, max_pivots: int):
     """Into how many chunks the ``n`` points of a group are dealt, so that a chunk's pairs with pivots stay bounded."""
     pivots = F.least(F.lit(max_pivots), F.ceil(F.col("n") / block_rows))
