@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def counts(spark, sf, rows: int | None = None) -> DataFrame:
-    """``rows``, the number of line items, deals them to as many tasks as they need."""
+def counts(spark, sf, rows: int | None = None, keys: tuple[str, ...] = ("l_orderkey", "l_partkey")) -> DataFrame:
+    """``rows``, the number of line items, deals them by ``keys`` to as many tasks as they need."""
     items = table(spark, sf, "lineitem")
-    return (items if rows is None else spread(items, rows, "l_orderkey", "l_partkey")).groupBy(
+    return (items if rows is None else spread(items, rows, *keys)).groupBy(
         F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_id")
     ).agg(F.sum("l_quantity").cast("long").alias("value"))
 
